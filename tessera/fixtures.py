@@ -164,3 +164,61 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_fixtures(*names: str) -> str:
     """``WITH`` clause that defines the named stand-ins for the DuckDB oracle."""
     return "WITH " + ",\n".join(f"{n} AS ({FIXTURE_SQL[n]})" for n in names) + "\n"
+
+FIXTURE_SQL["country"] = """
+SELECT code, CASE code WHEN 'JP' THEN 'Japan' ELSE 'United States' END AS name,
+       'lblCountry' || code AS label, CASE code WHEN 'JP' THEN 0 ELSE 10 END AS sort_order,
+       true AS is_available, false AS is_deleted
+  FROM (SELECT DISTINCT CASE WHEN s_suppkey % 4 = 3 THEN 'US' ELSE 'JP' END AS code FROM supplier) c
+"""
+
+FIXTURE_SQL["location_meta"] = """
+SELECT CAST(p_partkey % 150 + 1 AS INT) AS location_id, 'photo.' || lower(replace(p_brand, '#', '')) AS key,
+       p_type AS value, p_partkey % 9 = 0 AS is_deleted
+  FROM part
+"""
+
+FIXTURE_SQL["note_meta"] = """
+SELECT CAST(doc_id + 1 AS INT) AS note_id, 'source.' || source AS key, lang AS value, doc_id % 5 = 0 AS is_deleted
+  FROM documents WHERE doc_id % 3 <> 1
+"""
+
+FIXTURE_SQL["note_history"] = """
+SELECT CAST(conv_id * 10 + turn AS INT) AS id, CAST(conv_id + 1 AS INT) AS note_id, role AS type, text AS content,
+       CAST(turn % 50 + 1 AS INT) AS updated_by, turn % 7 = 6 AS is_deleted
+  FROM conversations
+"""
+
+FIXTURE_SQL["locale"] = """
+SELECT lang || '-' || CASE lang WHEN 'en' THEN 'us' ELSE lang END AS code, lang AS language_code,
+       lang <> 'es' AS is_available, lang = 'en' AS is_default, false AS is_deleted
+  FROM (SELECT DISTINCT lang FROM documents) d
+"""
+
+FIXTURE_SQL["site"] = """
+SELECT CAST(n_nationkey + 1 AS INT) AS id, n_name AS name, md5(n_name) AS guid,
+       CASE WHEN n_nationkey % 3 = 0 THEN 'en-us' WHEN n_nationkey % 3 = 1 THEN 'fr-fr' ELSE 'xx-yy' END AS locale_code,
+       n_nationkey % 2 = 0 AS https, 'theme' || CAST(n_regionkey AS STRING) AS theme,
+       n_nationkey = 3 AS is_default, n_nationkey % 12 = 11 AS is_deleted
+  FROM nation
+"""
+
+FIXTURE_SQL["site_url"] = """
+SELECT CAST(page_id + 1 AS INT) AS id, CAST(page_id % 25 + 1 AS INT) AS site_id,
+       lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)) AS url,
+       page_id % 4 = 0 AS is_active, page_id % 13 = 12 AS is_deleted,
+       make_timestamp(2024, 1, CAST(page_id % 28 + 1 AS INT), CAST(page_id % 24 AS INT), CAST(page_id % 60 AS INT), 0) AS updated_at
+  FROM pages
+"""
+
+FIXTURE_SQL["site_meta"] = """
+SELECT CAST(page_id % 25 + 1 AS INT) AS site_id,
+       CASE WHEN page_id % 3 = 0 THEN 'banner.src' ELSE 'site.keywords' END AS key,
+       'b' || CAST(page_id AS STRING) || '.png' AS value, page_id % 5 = 4 AS is_deleted
+  FROM pages
+"""
+
+FIXTURE_SQL["host_request"] = """
+SELECT page_id AS request_id, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)) AS host
+  FROM pages
+"""

@@ -1,0 +1,26 @@
+"""Join helpers shared by the relational jobs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A dimension is broadcast only when it is proven to hold at most this many
+# rows; beyond it the join is left to the planner (sort-merge, with AQE free
+# to switch to a broadcast from runtime sizes).
+DEFAULT_BROADCAST_ROWS = 200_000
+
+
+def bounded_broadcast(dim: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Return ``broadcast(dim)`` if ``dim`` has at most ``max_rows`` rows.
+
+    The check runs ``limit(max_rows + 1).count()``, which stops reading as
+    soon as the bound is exceeded, so it costs at most ``max_rows`` rows.
+    """
+    n = dim.limit(max_rows + 1).count()
+    return F.broadcast(dim) if n <= max_rows else dim
+
+
+def literal_broadcast(dim: DataFrame) -> DataFrame:
+    """Broadcast a lookup built from fixed values (size known from code)."""
+    return F.broadcast(dim)

@@ -44,3 +44,37 @@ def usage_ctes() -> str:
 
 def window_start(days: int) -> str:
     return f"strftime(DATE '{AS_OF_DATE}' - INTERVAL {days} DAY, '%Y-%m-%d')"
+
+
+def encode_key_sql(n: str) -> str:
+    """G4 encode written as DuckDB SQL (oracle side)."""
+    from tessera.functions.keys import KEY_ALPHABETS
+
+    off = f"(({n}) % 62)"
+    high = f"(({n}) // 62)"
+    parts = [f"substr('{KEY_ALPHABETS[0]}', CAST({off} + 1 AS INTEGER), 1)"]
+    for pos in range(1, 6):
+        digit = f"(({high} // {62 ** (5 - pos)}) % 62)"
+        parts.append(f"substr('{KEY_ALPHABETS[pos]}', CAST((({digit} + {off}) % 62) + 1 AS INTEGER), 1)")
+    return f"(CASE WHEN ({n}) > 0 THEN {' || '.join(parts)} ELSE '' END)"
+
+
+LOCATION_DETAIL = """
+SELECT lo.id AS location_id, lo.src, lo.name, CAST(lo.longitude AS DOUBLE) AS longitude,
+       CAST(lo.latitude AS DOUBLE) AS latitude, lo.country_code, lo.state_id, lo.note_id, lo.created_by,
+       lo.is_published, lo.is_visible,
+       acct.display_name AS account_name, acct.first_name,
+       co.name AS country_name, co.label AS country_label,
+       cs.name AS state_name, cs.label AS state_label, cs.region_id, cr.name AS region_name,
+       nn.type AS note_type, nn.is_private AS note_private,
+       EXISTS (SELECT 1 FROM location_meta z WHERE NOT z.is_deleted AND z.location_id = lo.id) AS has_meta
+  FROM account acct INNER JOIN location lo ON acct.id = lo.created_by
+                    INNER JOIN country co ON lo.country_code = co.code
+               LEFT OUTER JOIN state cs ON lo.state_id = cs.id AND NOT cs.is_deleted
+               LEFT OUTER JOIN country_region cr ON cs.region_id = cr.id AND NOT cr.is_deleted
+               LEFT OUTER JOIN note nn ON lo.note_id = nn.id AND NOT nn.is_deleted
+ WHERE NOT acct.is_deleted AND NOT lo.is_deleted AND NOT co.is_deleted AND co.code = 'JP'
+   AND lo.is_published AND lo.is_visible
+"""
+
+LOCATION_FIXTURES = ("location", "account", "country", "state", "country_region", "note", "location_meta")
