@@ -222,3 +222,44 @@ FIXTURE_SQL["host_request"] = """
 SELECT page_id AS request_id, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)) AS host
   FROM pages
 """
+
+FIXTURE_SQL["note_request"] = """
+SELECT o_orderkey AS request_id, CAST(o_custkey % 60 + 1 AS INT) AS account_id,
+       CAST(o_orderkey % 997 + 1 AS INT) AS note_id
+  FROM orders
+"""
+
+FIXTURE_SQL["file"] = """
+SELECT CAST(p_partkey + 1 AS INT) AS id, CAST(p_partkey % 40 + 1 AS INT) AS account_id,
+       replace(p_name, ' ', '_') AS name, p_size * 1000 + CAST(p_partkey % 700 AS INT) AS bytes,
+       CASE WHEN p_partkey % 3 = 0 THEN NULL
+            ELSE make_timestamp(2024, CAST(p_partkey % 3 AS INT), CAST(p_partkey % 28 + 1 AS INT), 0, 0, 0) END AS expires_at,
+       p_partkey % 17 = 16 AS is_deleted
+  FROM part
+"""
+
+FIXTURE_SQL["file_request"] = """
+SELECT o_orderkey AS request_id, CAST(o_custkey % 60 + 1 AS INT) AS account_id,
+       CAST(o_orderkey % 2500 + 1 AS INT) AS file_id
+  FROM orders
+"""
+
+FIXTURE_SQL["account_request"] = """
+SELECT c_custkey AS request_id,
+       CASE WHEN c_custkey % 3 = 0 THEN upper(c_name) ELSE 'new' || CAST(c_custkey AS STRING) END AS login,
+       CASE WHEN c_custkey % 2 = 0 THEN 'U' || CAST(c_custkey + 7 AS STRING) || '@Mail.Example' ELSE 'x@y' END AS email,
+       CASE CAST(c_custkey % 4 AS INT) WHEN 0 THEN 'en-us' WHEN 1 THEN 'fr_CA' WHEN 2 THEN 'es-mx' ELSE 'zz' END AS locale
+  FROM customer
+"""
+
+FIXTURE_SQL["label_text"] = """
+SELECT 'lbl' || replace(n_name, ' ', '') AS label,
+       CASE WHEN n_nationkey % 4 = 0 THEN ' ' ELSE lower(n_name) || '-ja' END AS value
+  FROM nation WHERE n_nationkey % 5 <> 2
+"""
+
+FIXTURE_SQL["site_request"] = """
+SELECT page_id AS request_id, CAST(page_id % 23 + 1 AS INT) AS site_id,
+       upper(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)) AS url
+  FROM pages
+"""

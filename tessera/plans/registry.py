@@ -37,6 +37,7 @@ def register(name: str, oracle: str | None = None):
 def load_all() -> dict[str, Query]:
     """Import every query module so their ``register`` calls run."""
     from tessera.plans import (  # noqa: F401
+        catalog_queries,
         geo_queries,
         usage_queries,
     )
