@@ -143,8 +143,16 @@ SELECT CAST(p_partkey + 1 AS INT) AS id, CAST(p_partkey % 40 + 1 AS INT) AS acco
 QUOTA_BYTES = 400000
 
 
+_REGISTERED: dict[int, str] = {}
+
+
 def register_driver_tables(spark: SparkSession, sf_dir: str) -> None:
-    """Expose each driver parquet file as a temp view named after the table."""
+    """Expose each driver parquet file as a temp view named after the table
+    (once per session and directory)."""
+    key = id(spark)
+    if _REGISTERED.get(key) == sf_dir and spark.catalog.tableExists("events"):
+        return
+    _REGISTERED[key] = sf_dir
     for name in DRIVER_TABLES:
         path = os.path.join(sf_dir, f"{name}.parquet")
         if os.path.exists(path):

@@ -24,14 +24,24 @@ RADIX = 62
 KEY_LEN = 6
 
 
-def encode_key(n: Column) -> Column:
-    """Integer id → six-letter key; ids ≤ 0 (or NULL) give ''."""
+def encode_parts(n: Column) -> tuple[Column, Column]:
+    """(offset, high): lowest base-62 digit of the id and the id without it."""
     n = n.cast("bigint")
-    offset = F.pmod(n, F.lit(RADIX))
-    high = F.floor(n / RADIX).cast("bigint")
+    return F.pmod(n, F.lit(RADIX)), F.floor(n / RADIX).cast("bigint")
+
+
+def encode_key(n: Column, offset: Column | None = None, high: Column | None = None) -> Column:
+    """Integer id → six-letter key; ids ≤ 0 (or NULL) give ''.
+
+    ``offset``/``high`` may be columns already holding ``encode_parts(n)``
+    so they are computed once per row.
+    """
+    n = n.cast("bigint")
+    if offset is None or high is None:
+        offset, high = encode_parts(n)
     letters = [F.substring(F.lit(KEY_ALPHABETS[0]), (offset + 1).cast("int"), 1)]
     for pos in range(1, KEY_LEN):
-        # position `pos` carries the digit of weight 62 ** (5 - pos) of `high`
+        # position `pos` carries the digit of weight 62 ** (5 - pos) of `high`;
         # operands are non-negative wherever the result is used, so plain
         # `%` (cheaper code than pmod) gives the same digits
         digit = F.floor(high / F.lit(RADIX ** (KEY_LEN - 1 - pos))) % RADIX
@@ -61,7 +71,10 @@ def decode_key(key: Column, offset: Column | None = None) -> Column:
         value = value * RADIX + digit
     value = value * RADIX + offset
     ok = (F.length(k) == KEY_LEN) & (offset >= 0)
-    return F.when(ok, value).otherwise(F.lit(0).cast("bigint"))
+    # never NULL: declaring it (coalesce with a literal) stops the planner
+    # from inferring an `isnotnull(decoded)` join filter and pushing the
+    # whole decode expression down into the scan-side filter
+    return F.coalesce(F.when(ok, value), F.lit(0).cast("bigint"))
 
 
 def key_is_valid(key: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.keys import decode_key, encode_key, key_is_valid, key_offset
+from tessera.functions.keys import decode_key, encode_key, encode_parts, key_is_valid, key_offset
 
 EARTH_RADIUS_KM = 6371.0
 
@@ -85,8 +85,11 @@ def score_attempts(attempts: DataFrame, locations: DataFrame) -> DataFrame:
 
 
 def encode_keys(df: DataFrame, id_col: str, out: str = "key") -> DataFrame:
-    """G4 encode: id → key ('' for ids ≤ 0)."""
-    return df.withColumn(out, encode_key(F.col(id_col)))
+    """G4 encode: id → key ('' for ids ≤ 0).  The shared digit parts are
+    staged as columns so each letter reuses them (small generated code)."""
+    off, high = encode_parts(F.col(id_col))
+    staged = df.withColumn("_eoff", off).withColumn("_ehigh", high)
+    return staged.withColumn(out, encode_key(F.col(id_col), F.col("_eoff"), F.col("_ehigh"))).drop("_eoff", "_ehigh")
 
 
 def decode_keys(df: DataFrame, key_col: str, out: str = "decoded_id") -> DataFrame:
