@@ -271,3 +271,17 @@ SELECT page_id AS request_id, CAST(page_id % 23 + 1 AS INT) AS site_id,
        upper(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)) AS url
   FROM pages
 """
+
+FIXTURE_SQL["file_upload"] = """
+SELECT CAST(p_partkey + 1 AS INT) AS id, CAST(p_partkey % 40 + 1 AS INT) AS account_id,
+       CASE WHEN p_partkey % 7 = 0 THEN replace(p_name, ' ', '_')
+            ELSE CAST(p_partkey % 40 + 1 AS STRING) || '-' || replace(p_name, ' ', '_') END
+         || CASE CAST(p_partkey % 6 AS INT) WHEN 0 THEN '.jpg' WHEN 1 THEN '_thumb.png' WHEN 2 THEN '.pdf'
+                 WHEN 3 THEN '.gif' WHEN 4 THEN '' ELSE '.docx' END AS name,
+       CASE CAST(p_partkey % 6 AS INT) WHEN 4 THEN 'image/png' WHEN 5 THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document'
+            ELSE NULL END AS given_mime,
+       CAST(p_size * 40 AS INT) AS width, p_partkey % 11 = 0 AS is_animated,
+       CASE WHEN p_partkey % 9 = 0 THEN 'pw' || CAST(p_partkey AS STRING) ELSE '' END AS password,
+       CASE CAST(p_partkey % 4 AS INT) WHEN 0 THEN 'private' WHEN 1 THEN 'Public-Read' WHEN 2 THEN 'public-read-write' ELSE 'other' END AS acl
+  FROM part
+"""
