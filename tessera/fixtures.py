@@ -65,7 +65,7 @@ SELECT CAST(c_custkey + 1 AS INT) AS id, lower(c_name) AS login,
        CASE CAST(c_custkey % 6 AS INT) WHEN 0 THEN 'account.admin' WHEN 1 THEN 'account.expert' WHEN 2 THEN 'account.pro'
             WHEN 3 THEN 'account.expired' WHEN 4 THEN 'account.global' ELSE 'account.basic' END AS type,
        CASE WHEN c_custkey % 2 = 0 THEN 'ja_JP' ELSE 'en_US' END AS locale_code,
-       c_custkey % 20 = 0 AS is_deleted
+       c_custkey % 20 = 0 AS is_deleted, md5(c_name) AS guid
   FROM customer
 """
 
@@ -242,7 +242,10 @@ SELECT CAST(p_partkey + 1 AS INT) AS id, CAST(p_partkey % 40 + 1 AS INT) AS acco
        replace(p_name, ' ', '_') AS name, p_size * 1000 + CAST(p_partkey % 700 AS INT) AS bytes,
        CASE WHEN p_partkey % 3 = 0 THEN NULL
             ELSE make_timestamp(2024, CAST(p_partkey % 3 AS INT), CAST(p_partkey % 28 + 1 AS INT), 0, 0, 0) END AS expires_at,
-       p_partkey % 17 = 16 AS is_deleted
+       p_partkey % 17 = 16 AS is_deleted,
+       substr(md5(p_name || CAST(p_partkey AS STRING)), 1, 8) || '-' || substr(md5(p_name || CAST(p_partkey AS STRING)), 9, 4)
+         || '-' || substr(md5(p_name || CAST(p_partkey AS STRING)), 13, 4) || '-' || substr(md5(p_name || CAST(p_partkey AS STRING)), 17, 4)
+         || '-' || substr(md5(p_name || CAST(p_partkey AS STRING)), 21, 12) AS guid
   FROM part
 """
 
@@ -285,3 +288,110 @@ SELECT CAST(p_partkey + 1 AS INT) AS id, CAST(p_partkey % 40 + 1 AS INT) AS acco
        CASE CAST(p_partkey % 4 AS INT) WHEN 0 THEN 'private' WHEN 1 THEN 'Public-Read' WHEN 2 THEN 'public-read-write' ELSE 'other' END AS acl
   FROM part
 """
+
+FIXTURE_SQL["meta_change"] = """
+SELECT CAST(o_custkey + 1 AS INT) AS account_id,
+       CASE CAST(o_orderkey % 5 AS INT) WHEN 0 THEN ' Profile.Avatar ' WHEN 1 THEN 'preference.theme' WHEN 2 THEN 'nodotkey'
+            WHEN 3 THEN 'preference.fontsize' ELSE 'profile.bio' END AS key,
+       CASE WHEN o_orderkey % 4 = 0 THEN '  ' ELSE ' ' || o_orderpriority || ' ' END AS value,
+       o_orderkey AS seq
+  FROM orders
+"""
+
+FIXTURE_SQL["note_change"] = """
+SELECT conv_id * 100 + turn AS request_id, CAST(turn % 50 + 1 AS INT) AS account_id,
+       CASE WHEN turn % 5 = 4 THEN 0 ELSE CAST(conv_id % 997 + 1 AS INT) END AS note_id,
+       CASE WHEN turn % 6 = 5 THEN '  ' ELSE text END AS content,
+       CASE CAST(turn % 3 AS INT) WHEN 0 THEN 'NOTE.Secret' WHEN 1 THEN 'bogus' ELSE 'note.locked' END AS type,
+       CASE WHEN turn % 2 = 0 THEN 'y' ELSE 'N' END AS private
+  FROM conversations
+"""
+
+FIXTURE_SQL["url_change"] = """
+SELECT CAST(CASE WHEN page_id % 2 = 0 THEN page_id + 1 ELSE page_id + 100001 END AS INT) AS id,
+       CAST(page_id % 25 + 1 AS INT) AS site_id,
+       upper(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)) || '/x' AS url, page_id % 3 = 1 AS is_active
+  FROM pages
+"""
+
+FIXTURE_SQL["file_stamp"] = """
+SELECT CAST(p_partkey + 1 AS INT) AS id,
+       CASE WHEN p_partkey % 2 = 0 THEN NULL ELSE 'g' || CAST(p_partkey AS STRING) END AS guid,
+       CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE make_timestamp(2024, 1, CAST(p_partkey % 28 + 1 AS INT), 0, 0, 0) END AS start_at,
+       CASE WHEN p_partkey % 4 = 0 THEN NULL
+            ELSE make_timestamp(2024, CAST(1 + p_partkey % 2 AS INT), CAST(p_partkey % 28 + 1 AS INT), 0, 0, 0) END AS until_at,
+       p_partkey % 5 <> 0 AS is_active
+  FROM part
+"""
+
+FIXTURE_SQL["account_signup"] = """
+SELECT c_custkey AS request_id,
+       CASE CAST(c_custkey % 5 AS INT) WHEN 0 THEN c_name WHEN 1 THEN 'ab' WHEN 2 THEN 'New_' || CAST(c_custkey % 300 AS STRING)
+            WHEN 3 THEN 'Sign' || CAST(c_custkey AS STRING) ELSE 'x' || CAST(c_custkey AS STRING) END AS nickname,
+       CASE CAST(c_custkey % 3 AS INT) WHEN 0 THEN 'U' || CAST(c_custkey + 3 AS STRING) || '@Mail.Example'
+            WHEN 1 THEN 'a@b' ELSE '' END AS email,
+       CASE WHEN c_custkey % 2 = 0 THEN '' ELSE c_name END AS display_name,
+       CASE WHEN c_custkey % 7 = 0 THEN 'short' ELSE 'longpassword' || CAST(c_custkey AS STRING) END AS password,
+       CASE CAST(c_custkey % 3 AS INT) WHEN 0 THEN 'f' WHEN 1 THEN 'G' ELSE 'x' END AS gender,
+       ' L' || CAST(c_nationkey AS STRING) || ' ' AS last_name, 'F' || CAST(c_custkey AS STRING) AS first_name,
+       CASE CAST(c_custkey % 4 AS INT) WHEN 0 THEN 'en-us' WHEN 1 THEN 'fr_CA' WHEN 2 THEN 'es-mx' ELSE 'zz' END AS locale,
+       'UTC' AS timezone,
+       CASE WHEN c_custkey % 2 = 0 THEN 'Account.PRO' ELSE 'bogus' END AS type
+  FROM customer
+"""
+
+FIXTURE_SQL["account_update"] = """
+SELECT o_orderkey AS request_id, CAST(o_custkey + 1 AS INT) AS account_id,
+       CASE WHEN o_orderkey % 7 = 0 THEN 'wrong' ELSE md5(c_name) END AS account_guid,
+       'D' || CAST(o_orderkey AS STRING) AS display_name, 'New' || CAST(o_orderkey AS STRING) || '@Mail.Example' AS email,
+       CASE WHEN o_orderkey % 2 = 0 THEN 'g' ELSE 'm' END AS gender, 'en-us' AS locale_code
+  FROM orders JOIN customer ON c_custkey = o_custkey
+"""
+
+FIXTURE_SQL["file_register"] = """
+SELECT p_partkey AS request_id, CAST(p_partkey % 60 + 1 AS INT) AS account_id,
+       CASE CAST(p_partkey % 3 AS INT) WHEN 0 THEN ''
+            WHEN 1 THEN substr(md5(p_name || CAST(p_partkey AS STRING)), 1, 8) || '-' || substr(md5(p_name || CAST(p_partkey AS STRING)), 9, 4)
+              || '-' || substr(md5(p_name || CAST(p_partkey AS STRING)), 13, 4) || '-' || substr(md5(p_name || CAST(p_partkey AS STRING)), 17, 4)
+              || '-' || substr(md5(p_name || CAST(p_partkey AS STRING)), 21, 12)
+            ELSE 'bad-guid' END AS file_guid,
+       CASE WHEN p_partkey % 11 = 0 THEN 'ab' ELSE replace(p_name, ' ', '_') END AS local_name,
+       ' ' || p_name || ' ' AS file_name, '2024-01' AS path,
+       CASE WHEN p_partkey % 13 = 0 THEN 0 ELSE p_size * 1000 END AS bytes,
+       CASE WHEN p_partkey % 17 = 0 THEN 'x' ELSE ' Image/JPEG ' END AS mimetype,
+       CASE CAST(p_partkey % 4 AS INT) WHEN 0 THEN '2024-03-01 10:00:00' WHEN 1 THEN 'soon' WHEN 2 THEN NULL ELSE '2023-12-31' END AS expires_at,
+       CASE CAST(p_partkey % 3 AS INT) WHEN 0 THEN 'private' WHEN 1 THEN 'PUBLIC-READ' ELSE 'public-read-write' END AS access
+  FROM part
+"""
+
+FIXTURE_SQL["contact_request"] = """
+SELECT conv_id * 100 + turn AS request_id, CASE WHEN turn % 5 = 0 THEN '' ELSE ' ' || role || ' ' END AS name,
+       CASE CAST(turn % 3 AS INT) WHEN 0 THEN 'User' || CAST(conv_id AS STRING) || '@Mail.Example' WHEN 1 THEN 'bad-mail' ELSE '' END AS mail,
+       CASE WHEN turn % 2 = 0 THEN '' ELSE 'S' || CAST(turn AS STRING) END AS subject, text AS message
+  FROM conversations
+"""
+
+FIXTURE_SQL["site_change"] = """
+SELECT page_id AS request_id, CAST(page_id % 60 + 1 AS INT) AS account_id,
+       CASE WHEN page_id % 3 = 0 THEN CAST(page_id % 25 + 1 AS INT) ELSE 0 END AS site_id,
+       ' Site ' || CAST(page_id AS STRING) AS name, 'About ' || CAST(page_id AS STRING) AS description, ' A,B ' AS keywords,
+       CASE CAST(page_id % 3 AS INT) WHEN 0 THEN 'EN-US' WHEN 1 THEN 'fr-fr' ELSE 'xx' END AS locale,
+       CASE WHEN page_id % 2 = 0 THEN 'y' ELSE 'n' END AS https, 'Dark' AS theme,
+       lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)) AS url
+  FROM pages
+"""
+
+FIXTURE_SQL["token_seen"] = """
+SELECT DISTINCT CAST(user_id + 1 AS INT) AS id, md5(CAST(user_id AS STRING)) || '-' || CAST(user_id AS STRING) AS guid
+  FROM events WHERE event_type = 'view'
+"""
+
+FIXTURE_SQL["token_revoke"] = """
+SELECT DISTINCT CAST(user_id + 1 AS INT) AS id,
+       CASE WHEN event_id % 2 = 0 THEN md5(CAST(user_id AS STRING)) || '-' || CAST(user_id AS STRING) ELSE 'nope' END AS guid
+  FROM events WHERE event_type = 'error'
+"""
+
+FIXTURE_SQL["login_request"] = """
+SELECT o_orderkey AS login_id, CAST(o_custkey + 1 AS INT) AS account_id FROM orders WHERE o_orderstatus = 'F'
+"""

@@ -40,6 +40,7 @@ def load_all() -> dict[str, Query]:
         catalog_queries,
         files_queries,
         geo_queries,
+        merge_queries,
         usage_queries,
     )
 
