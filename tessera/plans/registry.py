@@ -41,6 +41,7 @@ def load_all() -> dict[str, Query]:
         files_queries,
         geo_queries,
         merge_queries,
+        quality_queries,
         usage_queries,
     )
 
