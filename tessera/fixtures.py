@@ -395,3 +395,35 @@ SELECT DISTINCT CAST(user_id + 1 AS INT) AS id,
 FIXTURE_SQL["login_request"] = """
 SELECT o_orderkey AS login_id, CAST(o_custkey + 1 AS INT) AS account_id FROM orders WHERE o_orderstatus = 'F'
 """
+
+FIXTURE_SQL["path_request"] = """
+SELECT page_id AS request_id,
+       '/' || regexp_extract(url, '^[a-zA-Z]+://[^/]+/([a-z]{2})/', 1) || CASE WHEN page_id % 2 = 0 THEN '-jp' ELSE '-us' END
+         || CASE CAST(page_id % 4 AS INT) WHEN 0 THEN '/api/note/' WHEN 1 THEN '/note/' WHEN 2 THEN '/files/' ELSE '/wp-admin/' END
+         || substr(md5(url), 1, 8) || '-' || substr(md5(url), 9, 4) || '-' || substr(md5(url), 13, 4) || '-'
+         || substr(md5(url), 17, 4) || '-' || substr(md5(url), 21, 12)
+         || '/' || CAST(page_id % 7 AS STRING) || '/edit/edit?ref=' || CAST(page_id AS STRING) AS request_uri,
+       CASE CAST(page_id % 3 AS INT) WHEN 0 THEN 'api.example.com' WHEN 1 THEN 'files.example.com' ELSE 'www.example.com' END AS host
+  FROM pages
+"""
+
+FIXTURE_SQL["ip_headers"] = """
+SELECT event_id AS request_id,
+       CASE WHEN event_id % 5 = 0 THEN '10.1.' || CAST(user_id % 250 AS STRING) || '.7' ELSE NULL END AS cf_connecting_ip,
+       CASE CAST(event_id % 3 AS INT) WHEN 0 THEN 'unknown' WHEN 1 THEN '2001:db8::' || CAST(user_id % 9 AS STRING) ELSE NULL END AS x_forwarded_for,
+       CASE WHEN event_id % 7 = 0 THEN 'garbage-' || CAST(user_id AS STRING) ELSE '192.168.0.' || CAST(user_id % 256 AS STRING) END AS remote_addr
+  FROM events
+"""
+
+FIXTURE_SQL["licence_request"] = """
+SELECT n_nationkey AS id,
+       CASE CAST(n_nationkey % 6 AS INT) WHEN 0 THEN 'CC0' WHEN 1 THEN 'cc by-sa' WHEN 2 THEN 'CC BY-NC' WHEN 3 THEN 'bogus'
+            WHEN 4 THEN 'CC BY-NC-SA' ELSE 'CC BY' END AS licence_code
+  FROM nation
+"""
+
+FIXTURE_SQL["local_time"] = """
+SELECT o_orderkey AS id, CAST(CAST(o_orderdate AS DATE) AS STRING) || CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE ' 0' || CAST(o_orderkey % 10 AS STRING) || ':3' || CAST(o_orderkey % 6 AS STRING) || CASE WHEN o_orderkey % 4 = 1 THEN '' ELSE ':0' || CAST(o_orderkey % 10 AS STRING) END END AS local_text,
+       CASE CAST(o_custkey % 3 AS INT) WHEN 0 THEN 'Asia/Tokyo' WHEN 1 THEN 'Asia/Kolkata' ELSE 'UTC' END AS tz
+  FROM orders
+"""

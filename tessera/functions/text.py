@@ -1,4 +1,11 @@
-"""Column-level text helpers shared by the text jobs."""
+"""Column-level text helpers shared by the text jobs.
+
+All helpers are built-in Spark expressions (regexp_replace, translate,
+split, transform/filter/aggregate on arrays), so they run inside the JVM
+and, except for the higher-order array functions, inside generated code.
+Regular expressions use ASCII classes and no look-around so that Java's
+engine and RE2 (the oracle's) agree.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +13,95 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # E-mail shape: local part of the usual allowed characters, '@', then at
-# least two dot-separated DNS labels.  ASCII classes only, no look-around,
-# so Spark (Java regex) and RE2 agree.
+# least two dot-separated DNS labels.
 EMAIL_PATTERN = (r"^[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Za-z0-9]([A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
                  r"(\.[A-Za-z0-9]([A-Za-z0-9-]{0,61}[A-Za-z0-9])?)+$")
 
+WS = r"[ \t\n\r\x0B\f]"  # the whitespace a PHP-style trim removes (plus NUL handled separately)
+
 
 def valid_email(c: Column) -> Column:
     """E-mail shape check (NULL → false)."""
     return F.coalesce(c.rlike(EMAIL_PATTERN), F.lit(False))
+
+
+def strip_ws(c: Column) -> Column:
+    """Trim spaces, tabs, new lines and NULs at both ends."""
+    return F.regexp_replace(c, r"^[\s\x00]+|[\s\x00]+$", "")
+
+
+def no_null(c: Column) -> Column:
+    """NULL → '', full-width '#' → '#', variation selector and ideographic
+    space → ' ', then trimmed (the request-helper convention)."""
+    c = F.translate(F.coalesce(c, F.lit("")), "＃\ufe0f\u3000", "#  ")
+    return strip_ws(c)
+
+
+def ireplace(c: Column, find: str, repl: str) -> Column:
+    """Case-insensitive literal replace of every occurrence."""
+    return F.regexp_replace(c, "(?i)" + _quote(find), _quote_repl(repl))
+
+
+def _quote(s: str) -> str:
+    out = []
+    for ch in s:
+        out.append("\\" + ch if ch in r".^$*+?()[]{}|\/" else ch)
+    return "".join(out)
+
+
+def _quote_repl(s: str) -> str:
+    return s.replace("\\", "\\\\").replace("$", "\\$")
+
+
+def strip_tags(c: Column) -> Column:
+    """Remove HTML tags (anything from '<' to the next '>')."""
+    return F.regexp_replace(c, r"<[^>]*>", "")
+
+
+# Named HTML entities decoded by the text jobs (the common
+# set; numeric entities are decoded separately for the ASCII range).
+HTML_ENTITIES = [
+    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
+    ("&ndash;", "–"), ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"),
+    ("&ldquo;", "“"), ("&rdquo;", "”"), ("&hellip;", "…"), ("&copy;", "©"),
+    ("&reg;", "®"), ("&amp;", "&"),
+]
+
+
+def html_decode(c: Column) -> Column:
+    """Decode the common named entities ('&amp;' last, so '&amp;lt;' → '&lt;')."""
+    for ent, ch in HTML_ENTITIES:
+        c = F.replace(c, F.lit(ent), F.lit(ch))
+    return c
+
+
+# Characters folded for slugs (accented Latin letters to
+# ASCII), given as parallel strings, plus multi-letter folds.
+TRANSLIT_FROM = "ÀÁÂÃÄÅàáâãäåÇçÈÉÊËèéêëÌÍÎÏìíîïÑñÒÓÔÕÖØòóôõöøÙÚÛÜùúûüÝýÿ"
+TRANSLIT_TO = "AAAAAAaaaaaaCcEEEEeeeeIIIIiiiiNnOOOOOOooooooUUUUuuuuYyy"
+TRANSLIT_MULTI = [("ß", "ss"), ("Æ", "AE"), ("æ", "ae"), ("Œ", "OE"), ("œ", "oe")]
+
+
+def transliterate(c: Column) -> Column:
+    c = F.translate(c, TRANSLIT_FROM, TRANSLIT_TO)
+    for a, b in TRANSLIT_MULTI:
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def fullwidth_to_ascii(c: Column) -> Column:
+    """Full-width ASCII variants (U+FF01..U+FF5E) → ASCII, except the
+    full-width quote, apostrophe, backslash and tilde; ideographic space
+    becomes a space."""
+    src, dst = [], []
+    for cp in range(0x21, 0x7F):
+        if chr(cp) in "\"'\\~":
+            continue
+        src.append(chr(cp + 0xFEE0))
+        dst.append(chr(cp))
+    return F.translate(c, "".join(src) + "　", "".join(dst) + " ")
+
+
+def first_seen_distinct(arr: Column) -> Column:
+    """array_distinct keeps the first occurrence order."""
+    return F.array_distinct(arr)

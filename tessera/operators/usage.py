@@ -228,7 +228,7 @@ def parse_route(df: DataFrame, locales: list[str], uri_col: str = "request_uri",
     joined = F.array_join(kept, "/")
     no_query = F.split_part(joined, F.lit("?"), F.lit(1))
     segs = F.filter(F.split(no_query, "/"), lambda p: F.length(F.trim(p)) > 0)
-    first = F.element_at(segs, 1)
+    first = F.try_element_at(segs, F.lit(1))
     in_filters = F.coalesce(F.array_contains(F.array(*[F.lit(x) for x in ROUTE_FILTERS]), first), F.lit(False))
     if host_col:
         label = F.split_part(F.lower(F.trim(F.col(host_col))), F.lit("."), F.lit(1))
@@ -237,7 +237,7 @@ def parse_route(df: DataFrame, locales: list[str], uri_col: str = "request_uri",
     else:
         by_host = F.lit(None).cast("string")
     tmp = df.withColumn("_segs", segs).withColumn("_inf", in_filters)
-    route = F.coalesce(by_host, F.when(F.col("_inf"), F.element_at("_segs", 1)), F.lit("web"))
+    route = F.coalesce(by_host, F.when(F.col("_inf"), F.try_element_at("_segs", F.lit(1))), F.lit("web"))
     req_path = F.concat(F.lit("/"), F.coalesce(F.try_url_decode(F.array_join("_segs", "/")), F.array_join("_segs", "/")))
     root = F.try_url_decode(F.when(F.col("_inf"), F.try_element_at("_segs", F.lit(2)))
                             .otherwise(F.try_element_at("_segs", F.lit(1))))
@@ -258,7 +258,7 @@ def parse_route(df: DataFrame, locales: list[str], uri_col: str = "request_uri",
 def guid_from_path(df: DataFrame, subs_col: str = "pg_sub") -> DataFrame:
     """Right-most of the first nine sub-pages whose length is 36, else ''."""
     cands = F.filter(F.slice(F.col(subs_col), 1, 9), lambda s: F.length(F.trim(s)) == 36)
-    return df.withColumn("guid", F.coalesce(F.trim(F.element_at(cands, -1)), F.lit("")))
+    return df.withColumn("guid", F.coalesce(F.trim(F.try_element_at(cands, F.lit(-1))), F.lit("")))
 
 
 _IPV4 = r"^((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])$"

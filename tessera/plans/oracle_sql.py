@@ -78,3 +78,56 @@ SELECT lo.id AS location_id, lo.src, lo.name, CAST(lo.longitude AS DOUBLE) AS lo
 """
 
 LOCATION_FIXTURES = ("location", "account", "country", "state", "country_region", "note", "location_meta")
+
+
+# ---- text helpers as DuckDB SQL (oracle side) -------------------------------
+def q(s: str) -> str:
+    """SQL string literal."""
+    return "'" + s.replace("'", "''") + "'"
+
+
+def strip_ws_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^[\\s\\x00\\x0B]+|[\\s\\x00\\x0B]+$', '', 'g')"
+
+
+def no_null_sql(x: str) -> str:
+    return strip_ws_sql(f"translate(coalesce({x}, ''), {q(chr(0xFF03) + chr(0xFE0F) + chr(0x3000))}, '#  ')")
+
+
+def _re_quote(s: str) -> str:
+    return "".join("\\" + ch if ch in r".^$*+?()[]{}|\/" else ch for ch in s)
+
+
+def ireplace_sql(x: str, find: str, repl: str) -> str:
+    return f"regexp_replace({x}, {q('(?i)' + _re_quote(find))}, {q(repl.replace(chr(92), chr(92) * 2))}, 'g')"
+
+
+def strip_tags_sql(x: str) -> str:
+    return f"regexp_replace({x}, '<[^>]*>', '', 'g')"
+
+
+def html_decode_sql(x: str) -> str:
+    from tessera.functions.text import HTML_ENTITIES
+
+    for ent, ch in HTML_ENTITIES:
+        x = f"replace({x}, {q(ent)}, {q(ch)})"
+    return x
+
+
+def transliterate_sql(x: str) -> str:
+    from tessera.functions.text import TRANSLIT_FROM, TRANSLIT_MULTI, TRANSLIT_TO
+
+    x = f"translate({x}, {q(TRANSLIT_FROM)}, {q(TRANSLIT_TO)})"
+    for a, b in TRANSLIT_MULTI:
+        x = f"replace({x}, {q(a)}, {q(b)})"
+    return x
+
+
+def fullwidth_sql(x: str) -> str:
+    src, dst = [], []
+    for cp in range(0x21, 0x7F):
+        if chr(cp) in "\"'\\~":
+            continue
+        src.append(chr(cp + 0xFEE0))
+        dst.append(chr(cp))
+    return f"translate({x}, {q(''.join(src) + chr(0x3000))}, {q(''.join(dst) + ' ')})"
