@@ -42,6 +42,7 @@ def load_all() -> dict[str, Query]:
         geo_queries,
         merge_queries,
         quality_queries,
+        request_queries,
         text_queries,
         usage_queries,
     )
