@@ -427,3 +427,48 @@ SELECT o_orderkey AS id, CAST(CAST(o_orderdate AS DATE) AS STRING) || CASE WHEN
        CASE CAST(o_custkey % 3 AS INT) WHEN 0 THEN 'Asia/Tokyo' WHEN 1 THEN 'Asia/Kolkata' ELSE 'UTC' END AS tz
   FROM orders
 """
+
+FIXTURE_SQL["label_file"] = """
+SELECT DISTINCT lang AS lang_code, 'lbl.' || source AS key, ' v-' || lang || '-' || source || ' {year} ' AS value FROM documents
+UNION ALL
+SELECT DISTINCT lang || '_' || upper(CASE lang WHEN 'en' THEN 'us' ELSE lang END) AS lang_code, 'lbl.' || source AS key,
+       'loc-' || lang || '-' || source || ' {version_id}' AS value
+  FROM documents WHERE source < 'src3'
+"""
+
+FIXTURE_SQL["lang_request"] = """
+SELECT event_id AS request_id,
+       CASE WHEN event_id % 5 = 0 THEN 'FR-fr' WHEN event_id % 5 = 1 THEN 'x' ELSE NULL END AS cookie_lang,
+       CASE CAST(event_id % 3 AS INT) WHEN 0 THEN '/ja-jp/view/' || CAST(user_id AS STRING) WHEN 1 THEN '/About/'
+            ELSE '/' || event_type END AS request_uri,
+       CASE CAST(event_id % 4 AS INT) WHEN 0 THEN 'de-DE,de;q=0.9,en;q=0.8' WHEN 1 THEN 'es' WHEN 2 THEN 'ja,en_GB;q=0.5'
+            ELSE 'zz' END AS accept_language
+  FROM events
+"""
+
+FIXTURE_SQL["file_meta"] = """
+SELECT CAST(p_partkey % 40 + 1 AS INT) AS file_id,
+       CASE CAST(p_partkey % 4 AS INT) WHEN 0 THEN 'Image.W' || CAST(p_partkey AS STRING)
+            WHEN 1 THEN 'image.exif.f' || CAST(p_partkey AS STRING)
+            WHEN 2 THEN 'geo.gps.pos.k' || CAST(p_partkey AS STRING)
+            ELSE 'flat' || CAST(p_partkey AS STRING) END AS key,
+       CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS STRING) ELSE p_type END AS value,
+       p_partkey % 13 = 0 AS is_deleted
+  FROM part
+"""
+
+FIXTURE_SQL["customer_record"] = """
+SELECT c_custkey AS customer_id, 'cus_' || lpad(CAST(c_custkey AS STRING), 8, '0') AS id, c_name AS name,
+       CASE WHEN c_custkey % 3 = 0 THEN '+1-555-' || lpad(CAST(c_custkey AS STRING), 6, '0') ELSE '' END AS phone,
+       'u' || CAST(c_custkey AS STRING) || '@mail.example' AS email,
+       lpad(CAST(c_custkey % 100000 AS STRING), 5, '0') AS postal_code, n_name AS country,
+       CAST(n_regionkey AS STRING) AS state, c_mktsegment AS line1, '' AS line2, 'City' || CAST(c_nationkey AS STRING) AS city
+  FROM customer JOIN nation ON n_nationkey = c_nationkey
+"""
+
+FIXTURE_SQL["location_review"] = """
+SELECT CAST(l_suppkey + 1 AS INT) AS location_id, CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS key,
+       'Quantity ' || CAST(CAST(l_quantity AS INT) AS STRING) || ', flag ' || l_returnflag AS content,
+       l_shipdate AS publish_at, CAST(l_discount * 50 AS DECIMAL(6,3)) AS rating, l_linenumber = 7 AS is_deleted
+  FROM lineitem
+"""

@@ -38,6 +38,7 @@ def load_all() -> dict[str, Query]:
     """Import every query module so their ``register`` calls run."""
     from tessera.plans import (  # noqa: F401
         catalog_queries,
+        content_queries,
         files_queries,
         geo_queries,
         merge_queries,
