@@ -472,3 +472,36 @@ SELECT CAST(l_suppkey + 1 AS INT) AS location_id, CAST(l_orderkey AS STRING) ||
        l_shipdate AS publish_at, CAST(l_discount * 50 AS DECIMAL(6,3)) AS rating, l_linenumber = 7 AS is_deleted
   FROM lineitem
 """
+
+FIXTURE_SQL["exif_row"] = """
+SELECT CAST(s_suppkey + 1 AS INT) AS file_id,
+       CAST(CAST(floor((2400 + s_suppkey * 53 % 2100) / 100) AS BIGINT) AS STRING) || '/1' AS lat_d,
+       CAST(CAST(floor(((2400 + s_suppkey * 53 % 2100) % 100) * 36 / 60) AS BIGINT) AS STRING) || '/1' AS lat_m,
+       CAST(((2400 + s_suppkey * 53 % 2100) % 100) * 36 % 60 AS STRING) || CASE WHEN s_suppkey % 11 = 0 THEN '/0' ELSE '/1' END AS lat_s,
+       CAST(CAST(floor((12200 + s_suppkey * 37 % 2400) / 100) AS BIGINT) AS STRING) || '/1' AS lon_d,
+       CAST(CAST(floor(((12200 + s_suppkey * 37 % 2400) % 100) * 36 / 60) AS BIGINT) AS STRING) || '/1' AS lon_m,
+       CAST(((12200 + s_suppkey * 37 % 2400) % 100) * 36 % 60 * 100 AS STRING) || '/100' AS lon_s,
+       CASE WHEN s_suppkey % 13 = 0 THEN NULL WHEN s_suppkey % 2 = 1 THEN 'S' ELSE 'N' END AS lat_ref,
+       CASE WHEN s_suppkey % 3 = 0 THEN 'W' WHEN s_suppkey % 17 = 0 THEN 'x' ELSE 'E' END AS lon_ref,
+       CASE CAST(s_suppkey % 4 AS INT) WHEN 0 THEN CAST(s_suppkey % 360 AS STRING) || '/1' WHEN 1 THEN '5/0' ELSE NULL END AS direction,
+       CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE 'Maker' || CAST(s_suppkey % 7 AS STRING) END AS make,
+       'M' || CAST(s_suppkey AS STRING) AS model, '1/' || CAST(s_suppkey % 500 + 1 AS STRING) AS exposure,
+       CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE CAST(s_suppkey % 40 + 10 AS STRING) || '/10' END AS aperture,
+       CASE WHEN s_suppkey % 2 = 0 THEN NULL ELSE CAST(s_suppkey % 9 AS STRING) || '/1' END AS shutter,
+       CAST(s_suppkey % 8 * 100 AS STRING) AS iso, '2024:01:' || CAST(s_suppkey % 28 + 10 AS STRING) || ' 10:00:00' AS taken,
+       CAST(s_suppkey % 5 * 1000 AS STRING) AS width, CAST(s_suppkey % 4 * 750 AS STRING) AS height
+  FROM supplier
+"""
+
+FIXTURE_SQL["rss_source"] = """
+SELECT doc_id,
+       substr(md5(CAST(doc_id AS STRING)), 1, 8) || '-' || substr(md5(CAST(doc_id AS STRING)), 9, 4) || '-'
+         || substr(md5(CAST(doc_id AS STRING)), 13, 4) || '-' || substr(md5(CAST(doc_id AS STRING)), 17, 4) || '-'
+         || substr(md5(CAST(doc_id AS STRING)), 21, 12) AS guid,
+       lang || '_' || upper(lang) AS locale, source || ' #' || CAST(doc_id AS STRING) AS title,
+       'Author ' || CAST(doc_id % 50 AS STRING) AS author, 'https://home.example/note/' || CAST(doc_id AS STRING) AS url,
+       ' ' || source || ' ' AS summary, text AS html,
+       make_timestamp(2024, 1, CAST(doc_id % 28 + 1 AS INT), CAST(doc_id % 24 AS INT), 0, 0) AS publish_at,
+       make_timestamp(2024, 2, CAST(doc_id % 28 + 1 AS INT), CAST(doc_id % 24 AS INT), 30, 0) AS updated_at
+  FROM documents
+"""

@@ -44,6 +44,7 @@ def load_all() -> dict[str, Query]:
         merge_queries,
         quality_queries,
         request_queries,
+        sink_queries,
         stream_queries,
         text_queries,
         usage_queries,
