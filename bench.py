@@ -22,9 +22,10 @@ from tessera.session import get_spark  # noqa: E402
 HEADLINE = [
     "a1_site_daily_stats", "m13_normalise_usage", "a2_client_top_k", "g2_score_attempts",
     "j1_location_detail", "j3_resolve_host", "j8_session_profile", "j9_note_can_edit",
+    "w1_admit_uploads", "m1_merge_meta", "m2_note_history", "m7_create_accounts", "q1_check_rules",
+    "q2_orphans", "t1_clean_text", "t4_unique_words", "u1_parse_user_agent", "p7_parse_route",
 ]
-OPTIONAL = ["u1_parse_user_agent", "t4_unique_words", "m2_merge_notes", "q1_check_rules", "w1_admit_uploads",
-            "t9_duplicate_urls", "x2_usage_daily_stream"]
+OPTIONAL: list[str] = []
 
 
 def main() -> None:

@@ -149,8 +149,21 @@ def _decide() -> tuple[Column, Column, Column]:
     return out_p, out_b, out_v
 
 
-def parse_user_agent(df: DataFrame, col: str = "agent") -> DataFrame:
-    """Add ``platform``, ``browser`` and ``version`` parsed from ``col``."""
+def parse_user_agent(df: DataFrame, col: str = "agent", distinct: bool = False) -> DataFrame:
+    """Add ``platform``, ``browser`` and ``version`` parsed from ``col``.
+
+    ``distinct=True`` (batch only): agent strings repeat heavily, so each
+    distinct string is parsed once and joined back on a null-safe key.  The
+    de-dup is a map-side partial aggregation (a hot agent collapses before
+    the shuffle); the planner broadcasts the parsed table only when its
+    runtime size is under the broadcast threshold, else it shuffles and
+    AQE splits skewed keys.
+    """
+    if distinct:
+        agents = df.select(F.col(col).alias("_agent")).distinct()
+        parsed = parse_user_agent(agents, "_agent")
+        out = df.drop("platform", "browser", "version") if {"platform", "browser", "version"} & set(df.columns) else df
+        return out.join(parsed, out[col].eqNullSafe(parsed["_agent"]), "left").drop("_agent")
     staged = _stage(df, col)
     p, b, v = _decide()
     tmp = [c for c in staged.columns if c.startswith("_") and c not in df.columns]

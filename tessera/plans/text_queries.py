@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.fixtures import AS_OF, fixture, table, with_fixtures
-from tessera.functions.text import EMAIL_PATTERN
+from tessera.functions.text import EMAIL_PATTERN, indexed
 from tessera.functions.useragent import parse_user_agent
 from tessera.operators import dates as D
 from tessera.operators import text as T
@@ -97,7 +97,7 @@ def t4_unique_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t5_keyword_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T5: search tokens (first-seen position) of every conversation turn."""
     df = T.keyword_tokens(table(spark, sf_dir, "conversations"), "text")
-    return df.select("conv_id", "turn", F.posexplode("keywords").alias("pos", "word"))
+    return df.select("conv_id", "turn", indexed(F.col("keywords"), "pos", "word"))
 
 
 def _clean_names_sql(col: str) -> str:
@@ -242,7 +242,7 @@ def _hashtags_sql(col: str) -> str:
 def t12_hashtags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hash tags (first-seen position) of every document."""
     df = T.hashtags(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
-    return df.select("doc_id", F.posexplode("hashtags").alias("pos", "tag"))
+    return df.select("doc_id", indexed(F.col("hashtags"), "pos", "tag"))
 
 
 @register("t12_hashtag_counts", oracle=f"""
@@ -424,7 +424,7 @@ def u1_parse_user_agent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Platform, browser and version of every request agent (rows-only; the
     non-Mozilla fallback needs a look-ahead the oracle engine lacks)."""
     raw = fixture(spark, sf_dir, "usage_raw").select("id", "agent")
-    return parse_user_agent(raw, "agent").select("id", "platform", "browser", "version")
+    return parse_user_agent(raw, "agent", distinct=True).select("id", "platform", "browser", "version")
 
 
 @register("u2_client_ip", oracle=with_fixtures("ip_headers") + """
