@@ -324,3 +324,25 @@ def a4_site_url_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A4: for every site request, the matching live url id and the site's live url count."""
     f = _f(spark, sf_dir)
     return C.site_url_summary(f("site"), f("site_url"), f("site_request"))
+
+
+@register("s1_live_scan", oracle="""
+SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE NOT (o_orderstatus = 'F')
+""")
+def s1_live_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live-row scan (the delete flag here: order status 'F' = closed); the
+    filter and the three-column projection reach the Parquet reader."""
+    from tessera.sources.tables import live
+
+    o = table(spark, sf_dir, "orders").withColumn("is_deleted", F.col("o_orderstatus") == "F")
+    return live(o).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@register("j6_with_exists_flag", oracle=with_fixtures("location", "location_meta") + """
+SELECT l.id, EXISTS (SELECT 1 FROM location_meta z WHERE NOT z.is_deleted AND z.location_id = l.id) AS has_meta
+  FROM location l
+""")
+def j6_with_exists_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """has_meta flag (any live meta row) of every location."""
+    f = _f(spark, sf_dir)
+    return C.with_exists_flag(f("location").select("id"), f("location_meta"), "id", "location_id", "has_meta")
