@@ -74,10 +74,17 @@ def normalise_usage(raw: DataFrame, home_url: str = "") -> DataFrame:
 
 
 def _window_rows(usage: DataFrame, days: int, as_of: str, site_id: int | None) -> DataFrame:
-    """Live, successful, non-API rows on or after ``as_of - days``."""
-    start = F.date_format(F.date_sub(F.to_date(F.lit(as_of)), days), "yyyy-MM-dd")
+    """Live, successful, non-API rows on or after ``as_of - days``.
+
+    The day test is on ``event_on`` text (the stored rule); the equivalent
+    ``event_at >= start of that day`` is added so the time range is pushed
+    into the Parquet scan (row-group skipping, partition pruning)."""
+    start_day = F.date_sub(F.to_date(F.lit(as_of)), days)
+    start = F.date_format(start_day, "yyyy-MM-dd")
     cond = (~F.col("is_deleted")) & (~F.col("is_api")) & F.col("http_code").between(200, 299) \
         & (F.col("event_on") >= start)
+    if "event_at" in usage.columns:
+        cond = cond & (F.col("event_at") >= start_day.cast("timestamp"))
     if site_id is not None:
         cond = cond & (F.col("site_id") == F.lit(site_id))
     return usage.filter(cond)
