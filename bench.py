@@ -2,8 +2,7 @@
 
 Prints one JSON line: {"metric", "value", "unit", "queries": {...}, "sf"}.
 Each query is forced end to end with the `noop` sink (full execution, no
-collection to the driver); the reported time is the best of two runs after
-one warm-up of the session.
+collection to the driver); the reported time is the best of three runs.
 """
 
 from __future__ import annotations
@@ -38,7 +37,7 @@ def main() -> None:
     timings: dict[str, float] = {}
     for name in names:
         best = None
-        for _ in range(2):
+        for _ in range(3):
             t0 = time.perf_counter()
             reg[name].fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
             dt = time.perf_counter() - t0

@@ -149,6 +149,11 @@ _REGISTERED: dict[int, str] = {}
 def register_driver_tables(spark: SparkSession, sf_dir: str) -> None:
     """Expose each driver parquet file as a temp view named after the table
     (once per session and directory)."""
+    # The stored times are wall-clock values read as UTC (the reference's
+    # server zone); conversions to epoch seconds and day text go through the
+    # session zone, so it is pinned here for every query.
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     key = id(spark)
     if _REGISTERED.get(key) == sf_dir and spark.catalog.tableExists("events"):
         return

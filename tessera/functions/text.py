@@ -59,8 +59,9 @@ def _quote_repl(s: str) -> str:
 
 
 def strip_tags(c: Column) -> Column:
-    """Remove HTML tags (anything from '<' to the next '>')."""
-    return F.regexp_replace(c, r"<[^>]*>", "")
+    """Remove HTML tags (anything from '<' to the next '>'); texts without
+    '<' skip the regular expression."""
+    return F.when(F.instr(c, "<") > 0, F.regexp_replace(c, r"<[^>]*>", "")).otherwise(c)
 
 
 # Named HTML entities decoded by the text jobs (the common
@@ -74,10 +75,12 @@ HTML_ENTITIES = [
 
 
 def html_decode(c: Column) -> Column:
-    """Decode the common named entities ('&amp;' last, so '&amp;lt;' → '&lt;')."""
+    """Decode the common named entities ('&amp;' last, so '&amp;lt;' → '&lt;');
+    texts without '&' skip the replacement passes."""
+    d = c
     for ent, ch in HTML_ENTITIES:
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
+        d = F.replace(d, F.lit(ent), F.lit(ch))
+    return F.when(F.instr(c, "&") > 0, d).otherwise(c)
 
 
 # Characters folded for slugs (accented Latin letters to
