@@ -131,28 +131,45 @@ def token_sessions(spark: SparkSession, src: str, out: str, ckpt: str, lifespan_
 
 
 # ----------------------------------------------------------------------- X4
+NOTE_BUCKETS = 64
+
+
+def _note_bucket(c) -> "F.Column":
+    return F.pmod(F.xxhash64(c), F.lit(NOTE_BUCKETS)).cast("int")
+
+
 def note_changes_stream(spark: SparkSession, src: str, out_current: str, out_history: str, ckpt: str,
                         as_of: str, max_files_per_trigger: int | None = None,
                         trigger_once: bool = True) -> StreamingQuery:
     """Note version files → current notes and history (M2 per batch).
 
     For each micro-batch the previous current row of every touched note is
-    read back (semi join on the batch's note ids — only touched notes),
-    M2 runs on previous + new versions, the new current rows go to the
-    current change log and the history rows to the history log, each in the
-    batch's own partition (idempotent on retry).
+    read back, M2 runs on previous + new versions, the new current rows go
+    to the current change log and the history rows to the history log, each
+    in the batch's own partition (idempotent on retry).
+
+    The current log is laid out ``batch_id=<n>/bucket=<b>`` with ``b`` a
+    hash bucket of note_id, so a batch reads only the buckets of the notes
+    it touches (static partition pruning on a bounded list of at most
+    ``NOTE_BUCKETS`` numbers), then keeps the newest row per touched note.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        batch = batch.withColumn("bucket", _note_bucket(F.col("note_id"))).persist()
         try:
-            ids = batch.select("note_id").distinct()
+            ids = batch.select("note_id", "bucket").distinct()
+            buckets = [r.bucket for r in batch.select("bucket").distinct().collect()]
             try:
-                prev = latest(spark, out_current, ["note_id"]).join(ids, "note_id", "left_semi") \
-                    .select("note_id", "version", "type", "content", "is_private", "guid")
+                log = spark.read.parquet(out_current).filter(F.col("bucket").isin(buckets))
+                cols = [c for c in log.columns if c not in ("note_id", "batch_id", "bucket")]
+                prev = (log.join(ids.drop("bucket"), "note_id", "left_semi")
+                        .groupBy("note_id").agg(F.max_by(F.struct(*cols), "batch_id").alias("_r"))
+                        .select("note_id", "_r.*")
+                        .select("note_id", "version", "type", "content", "is_private", "guid"))
             except Exception:  # first batch: no current table yet
                 prev = spark.createDataFrame([], NOTE_VERSION_SCHEMA + ", guid string")
-            notes, history = merge_notes(prev, batch, as_of)
-            notes.write.mode("overwrite").parquet(f"{out_current}/batch_id={batch_id}")
+            notes, history = merge_notes(prev, batch.drop("bucket"), as_of)
+            (notes.withColumn("bucket", _note_bucket(F.col("note_id")))
+                  .write.mode("overwrite").partitionBy("bucket").parquet(f"{out_current}/batch_id={batch_id}"))
             history.write.mode("overwrite").parquet(f"{out_history}/batch_id={batch_id}")
         finally:
             batch.unpersist()
