@@ -47,6 +47,13 @@ def ireplace(c: Column, find: str, repl: str) -> Column:
     return F.regexp_replace(c, "(?i)" + _quote(find), _quote_repl(repl))
 
 
+def ireplace_any(c: Column, finds: list[str], repl: str) -> Column:
+    """Case-insensitive replace of any of ``finds`` in one pass.  Equal to
+    replacing them one after another when no replacement can create or
+    break another find (callers only merge such groups)."""
+    return F.regexp_replace(c, "(?i)" + "|".join(_quote(f) for f in finds), _quote_repl(repl))
+
+
 def _quote(s: str) -> str:
     out = []
     for ch in s:
@@ -59,9 +66,8 @@ def _quote_repl(s: str) -> str:
 
 
 def strip_tags(c: Column) -> Column:
-    """Remove HTML tags (anything from '<' to the next '>'); texts without
-    '<' skip the regular expression."""
-    return F.when(F.instr(c, "<") > 0, F.regexp_replace(c, r"<[^>]*>", "")).otherwise(c)
+    """Remove HTML tags (anything from '<' to the next '>')."""
+    return F.regexp_replace(c, r"<[^>]*>", "")
 
 
 # Named HTML entities decoded by the text jobs (the common
@@ -75,12 +81,13 @@ HTML_ENTITIES = [
 
 
 def html_decode(c: Column) -> Column:
-    """Decode the common named entities ('&amp;' last, so '&amp;lt;' → '&lt;');
-    texts without '&' skip the replacement passes."""
-    d = c
+    """Decode the common named entities ('&amp;' last, so '&amp;lt;' → '&lt;').
+
+    (No "contains '&'" guard: a CASE over the input would evaluate the whole
+    upstream expression again in each branch.)"""
     for ent, ch in HTML_ENTITIES:
-        d = F.replace(d, F.lit(ent), F.lit(ch))
-    return F.when(F.instr(c, "&") > 0, d).otherwise(c)
+        c = F.replace(c, F.lit(ent), F.lit(ch))
+    return c
 
 
 # Characters folded for slugs (accented Latin letters to
