@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.catalog import ADMIN_TYPES, best_locale, match_account, note_can_edit
+from tessera.operators.sequence import next_in_sequence
 from tessera.sources.tables import live
 
 
@@ -75,8 +76,9 @@ def merge_notes(cur: DataFrame, chg: DataFrame, as_of: str) -> tuple[DataFrame,
     step, not only the last); the final state is the note.  The guid of the
     current row is kept; history rows are new and never rewritten.
 
-    Plan: one shuffle by note_id, a sort by version and ``lead`` (sort-based
-    window that spills, no per-note collection).
+    Plan: the successor of each state comes from ``next_in_sequence``
+    (range partitioning on (note, version), so a note with a huge number of
+    versions is split over several tasks); the guid is a per-note aggregate.
     """
     base_cols = ["note_id", "version", "type", "content", "is_private"]
     c = cur.select(*base_cols, *(["guid"] if "guid" in cur.columns else []))
@@ -84,13 +86,13 @@ def merge_notes(cur: DataFrame, chg: DataFrame, as_of: str) -> tuple[DataFrame,
         c = c.withColumn("guid", F.lit(None).cast("string"))
     states = c.unionByName(chg.select(*base_cols).withColumn("guid", F.lit(None).cast("string")))
     states = states.withColumn("hash", note_hash(F.col("type"), F.col("content"), F.col("is_private")))
-    w = Window.partitionBy("note_id").orderBy("version")
-    states = (states.withColumn("_next_hash", F.lead("hash").over(w))
-              .withColumn("_guid0", F.first("guid", ignorenulls=True).over(
-                  w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    states = next_in_sequence(states, "note_id", "version", ["hash"], prefix="_next_")
     history = states.filter(F.col("_next_hash").isNotNull() & (F.col("hash") != F.col("_next_hash"))) \
         .select(*base_cols, "hash", _ts(as_of).alias("recorded_at"))
-    notes = states.filter(F.col("_next_hash").isNull()).select(
+    # the guid stays the one of the existing row: an aggregate per note (not a
+    # whole-note window), joined back to the final states
+    guids = c.filter(F.col("guid").isNotNull()).groupBy("note_id").agg(F.min("guid").alias("_guid0"))
+    notes = states.filter(F.col("_next_hash").isNull()).join(guids, "note_id", "left").select(
         *base_cols, "hash", F.coalesce("_guid0", F.expr("uuid()")).alias("guid"))
     return notes, history
 
