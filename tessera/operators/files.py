@@ -144,28 +144,56 @@ def _admit_stream(quota_col: str):
     return run
 
 
+def _sequential_admission(rows: DataFrame, quota_col: str, partitions: int) -> DataFrame:
+    """The greedy recurrence, run in arrival order per account with only
+    (account, remaining) carried between Arrow batches."""
+    ordered = rows.repartition(partitions, "account_id").sortWithinPartitions("account_id", "arrival", "id")
+    return ordered.select("id", "account_id", "arrival", "bytes", quota_col).mapInPandas(
+        _admit_stream(quota_col), "id int, account_id int, accepted boolean, remaining long")
+
+
 def admit_uploads(uploads: DataFrame, quotas: DataFrame, partitions: int | None = None) -> DataFrame:
     """Greedy upload admission per account in arrival order: a file is
     accepted if 0 < bytes ≤ remaining, and only accepted files use space
-    (so it is not a running sum).  Output: id, account_id, accepted,
+    (so it is not a plain running sum).  Output: id, account_id, accepted,
     remaining (after the file).
 
     ``uploads``: id, account_id, arrival, bytes; ``quotas``: account_id, quota.
 
-    The recurrence is order dependent, so each account's files are one
-    ordered stream: rows are hash-partitioned by account, sorted within the
-    partition, and streamed through ``mapInPandas`` carrying only
-    (account, remaining) between Arrow batches — memory stays bounded by
-    the batch size no matter how many files one account has; no group is
-    materialised.
+    Exact, and parallel where the recurrence allows it:
+
+    1. A skew-safe running sum P of the positive sizes per account (range
+       partitions; a huge account spans many tasks).  Until the first file
+       with P > quota every file fits, so all of them are decided at once:
+       accepted iff bytes > 0, remaining = quota − P.
+    2. After that first overflow the remainder R is below the overflowing
+       file's size and only shrinks, so only files with 0 < bytes ≤ R can
+       still be accepted; just those candidates go through the sequential
+       pass (``mapInPandas`` over account-ordered rows, bounded memory).
+    3. Remaining for every later file is R minus a second skew-safe running
+       sum of the accepted candidate sizes.
     """
+    from tessera.operators.sequence import running_sum
+
+    n = partitions or int(uploads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     u = uploads.select("id", "account_id", "arrival", F.col("bytes").cast("long").alias("bytes"))
     j = u.join(quotas.select("account_id", F.col("quota").cast("long").alias("_quota")), "account_id", "left") \
-        .fillna(0, ["_quota"])
-    n = partitions or int(uploads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = j.repartition(n, "account_id").sortWithinPartitions("account_id", "arrival", "id")
-    return ordered.mapInPandas(_admit_stream("_quota"),
-                               "id int, account_id int, accepted boolean, remaining long")
+        .fillna(0, ["_quota"]).withColumn("_pos", F.greatest(F.col("bytes"), F.lit(0)))
+    p = running_sum(j, "account_id", ["arrival", "id"], "_pos", "_P", partitions=n)
+    head = p.filter(F.col("_P") <= F.col("_quota")).select(
+        "id", "account_id", (F.col("bytes") > 0).alias("accepted"), (F.col("_quota") - F.col("_P")).alias("remaining"))
+    tail = p.filter(F.col("_P") > F.col("_quota"))
+    rest = tail.groupBy("account_id").agg((F.min("_quota") - F.min(F.col("_P") - F.col("_pos"))).alias("_R"))
+    tail = tail.join(rest, "account_id")
+    cands = tail.filter((F.col("bytes") > 0) & (F.col("bytes") <= F.col("_R")))
+    decided = _sequential_admission(cands, "_R", n).select("id", F.col("accepted").alias("_acc"))
+    tail = tail.join(decided, "id", "left").withColumn("accepted", F.coalesce("_acc", F.lit(False))) \
+        .withColumn("_used", F.when(F.col("accepted"), F.col("bytes")).otherwise(F.lit(0)).cast("long"))
+    tail = running_sum(tail.select("id", "account_id", "arrival", "accepted", "_used", "_R"), "account_id",
+                       ["arrival", "id"], "_used", "_U", partitions=n)
+    tail = tail.select("id", "account_id", "accepted", (F.col("_R") - F.col("_U")).alias("remaining"))
+    return head.unionByName(tail).select(F.col("id").cast("int"), F.col("account_id").cast("int"), "accepted",
+                                         F.col("remaining").cast("long"))
 
 
 def page(df: DataFrame, order: list[Column], count: int | None, page_no: int | None,

@@ -9,7 +9,16 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
+
+
+def _materialise(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the shared folder named by
+    ``spark.checkpoint.dir`` (cuts lineage; survives executor loss)."""
+    from tessera.session import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def _shift_batches(key: str, cols: list[str], prefix: str):
@@ -56,7 +65,8 @@ def next_in_sequence(df: DataFrame, key: str, order: str, cols: list[str], prefi
     a hot key over several tasks — and sorted within tasks; successors are
     taken inside each task, and each task's last row is completed from the
     first row of the next non-empty task (a table of at most one row per
-    partition, broadcast).  No task holds more than its range.
+    partition, broadcast).  No task holds more than its range.  The per-task
+    result is checkpointed once because two branches read it.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, key, order).sortWithinPartitions(key, order)
@@ -65,7 +75,9 @@ def next_in_sequence(df: DataFrame, key: str, order: str, cols: list[str], prefi
     schema = StructType(list(base.fields) + extra + [StructField("_pid", IntegerType()),
                                                      StructField("_first", BooleanType()),
                                                      StructField("_last", BooleanType())])
-    local = ranged.mapInPandas(_shift_batches(key, cols, prefix), schema)
+    # used twice below (heads and rows): materialise it once so both see the
+    # same range boundaries (a re-run could sample different ones)
+    local = _materialise(ranged.mapInPandas(_shift_batches(key, cols, prefix), schema))
     heads = local.filter("_first").select("_pid", F.col(key).alias("_hk"), *[F.col(c).alias("_h_" + c) for c in cols])
     w = Window.orderBy("_pid")  # one row per non-empty partition: bounded by the partition count
     nxt = heads.select(F.col("_pid"), *[F.lead(c).over(w).alias(c) for c in ["_hk"] + ["_h_" + c for c in cols]])
@@ -74,3 +86,55 @@ def next_in_sequence(df: DataFrame, key: str, order: str, cols: list[str], prefi
     out = patched.select(*[F.col(f.name) for f in base.fields],
                          *[F.when(use, F.col("_h_" + c)).otherwise(F.col(prefix + c)).alias(prefix + c) for c in cols])
     return out
+
+
+def _cumsum_batches(key: str, value: str, out: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pid = TaskContext.get().partitionId()
+        carry_key, carry = None, 0  # running total of the key that continues across batches
+        first_key, seen = None, False
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            if not seen:
+                first_key, seen = pdf[key].iloc[0], True
+            sums = pdf.groupby(key, sort=False)[value].cumsum()
+            if carry_key is not None:
+                sums = sums + np.where(pdf[key].to_numpy() == carry_key, carry, 0)
+            pdf[out] = sums.astype("int64")
+            carry_key, carry = pdf[key].iloc[-1], int(pdf[out].iloc[-1])
+            pdf["_pid"] = pid
+            pdf["_head"] = pdf[key].to_numpy() == first_key
+            yield pdf
+    return run
+
+
+def running_sum(df: DataFrame, key: str, order: list[str], value: str, out: str,
+                partitions: int | None = None) -> DataFrame:
+    """``out`` = inclusive running sum of ``value`` per ``key`` in ``order``.
+
+    Skew-safe replacement for ``sum(value).over(partitionBy(key).orderBy(order))``:
+    rows are range-partitioned on (key, *order), so a huge key spans several
+    tasks; each task sums locally, and only the first key of a task can
+    continue an earlier task — its offset is the sum of the earlier tasks'
+    last-key totals for that key, computed on a summary of at most one row
+    per partition and broadcast back.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, key, *order).sortWithinPartitions(key, *order)
+    schema = StructType(list(df.schema.fields) + [StructField(out, LongType()), StructField("_pid", IntegerType()),
+                                                  StructField("_head", BooleanType())])
+    local = _materialise(ranged.mapInPandas(_cumsum_batches(key, value, out), schema))
+    # per partition: first key, last key and the last key's local total
+    summary = local.groupBy("_pid").agg(
+        F.min_by(F.col(key), F.struct(key, *order)).alias("_fk"),
+        F.max_by(F.struct(F.col(key).alias("k"), F.col(out).alias("t")), F.struct(key, *order)).alias("_last"))
+    s = F.broadcast(summary)
+    a = s.alias("a")
+    b = s.alias("b")
+    offsets = (a.join(b, (F.col("b._pid") < F.col("a._pid")) & (F.col("b._last.k") == F.col("a._fk")), "left")
+               .groupBy(F.col("a._pid").alias("_pid"))
+               .agg(F.coalesce(F.sum("b._last.t"), F.lit(0)).cast("long").alias("_off")))
+    j = local.join(F.broadcast(offsets), "_pid", "left")
+    return j.withColumn(out, F.col(out) + F.when(F.col("_head"), F.coalesce("_off", F.lit(0))).otherwise(F.lit(0))) \
+        .drop("_pid", "_head", "_off")

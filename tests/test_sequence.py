@@ -14,3 +14,15 @@ def test_next_in_sequence_matches_lead_with_a_hot_key(spark):
     w = Window.partitionBy("k").orderBy("o")
     want = df.select("*", F.lead("v").over(w).alias("next_v"), F.lead("s").over(w).alias("next_s"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_running_sum_matches_window_with_a_hot_key(spark):
+    from tessera.operators.sequence import running_sum
+
+    rnd = random.Random(4)
+    rows = [(0 if rnd.random() < 0.6 else rnd.randint(1, 40), i, rnd.randint(0, 50)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k int, o int, v long")
+    got = running_sum(df, "k", ["o"], "v", "cs", partitions=9)
+    w = Window.partitionBy("k").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
+    want = df.select("*", F.sum("v").over(w).alias("cs"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
