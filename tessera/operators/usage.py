@@ -2,7 +2,8 @@
 request classification and route parsing.
 
 Every function takes and returns DataFrames and uses only built-in column
-expressions, so the whole chain stays inside whole-stage code generation.
+expressions (route parsing also uses array lambdas, which Spark evaluates
+without code generation but still in the JVM); no Python runs here.
 """
 
 from __future__ import annotations
