@@ -26,6 +26,21 @@ BASE_CONF = {
 }
 
 
+def scale_conf(input_bytes: int, target_partition_bytes: int = 128 << 20,
+               min_partitions: int = 200, max_partitions: int = 100_000) -> dict[str, str]:
+    """Settings sized to the input: enough initial shuffle partitions that
+    each holds about ``target_partition_bytes`` (AQE then coalesces small
+    ones and splits skewed ones), scan splits of the same size, and AQE's
+    advisory size set to match.  For 100 TB this gives the 100,000 cap."""
+    parts = max(min_partitions, min(max_partitions, -(-input_bytes // target_partition_bytes)))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+    }
+
+
 def get_spark(
     master: str | None = None,
     app_name: str = "tessera",
