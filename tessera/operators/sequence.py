@@ -116,9 +116,9 @@ def running_sum(df: DataFrame, key: str, order: list[str], value: str, out: str,
     Skew-safe replacement for ``sum(value).over(partitionBy(key).orderBy(order))``:
     rows are range-partitioned on (key, *order), so a huge key spans several
     tasks; each task sums locally, and only the first key of a task can
-    continue an earlier task — its offset is the sum of the earlier tasks'
-    last-key totals for that key, computed on a summary of at most one row
-    per partition and broadcast back.
+    continue an earlier task — its offset is the running total of the run of
+    earlier tasks that end in that key, computed with windows on a summary of
+    at most one row per partition and broadcast back.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, key, *order).sortWithinPartitions(key, *order)
@@ -129,12 +129,18 @@ def running_sum(df: DataFrame, key: str, order: list[str], value: str, out: str,
     summary = local.groupBy("_pid").agg(
         F.min_by(F.col(key), F.struct(key, *order)).alias("_fk"),
         F.max_by(F.struct(F.col(key).alias("k"), F.col(out).alias("t")), F.struct(key, *order)).alias("_last"))
-    s = F.broadcast(summary)
-    a = s.alias("a")
-    b = s.alias("b")
-    offsets = (a.join(b, (F.col("b._pid") < F.col("a._pid")) & (F.col("b._last.k") == F.col("a._fk")), "left")
-               .groupBy(F.col("a._pid").alias("_pid"))
-               .agg(F.coalesce(F.sum("b._last.t"), F.lit(0)).cast("long").alias("_off")))
+    # Partitions are ordered by key, so the earlier partitions that end in the
+    # key a partition starts with form a contiguous run right before it: the
+    # offset is the running total of that run (windows over the summary,
+    # which has at most one row per partition).
+    w = Window.orderBy("_pid")
+    s1 = summary.select("_pid", "_fk", F.col("_last.k").alias("_lk"), F.col("_last.t").alias("_lt"))
+    s1 = s1.withColumn("_grp", F.sum(F.when(F.lag("_lk").over(w).eqNullSafe(F.col("_lk")), 0).otherwise(1))
+                       .over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    s1 = s1.withColumn("_cum", F.sum("_lt").over(
+        Window.partitionBy("_grp").orderBy("_pid").rowsBetween(Window.unboundedPreceding, 0)))
+    offsets = s1.select("_pid", F.when(F.lag("_lk").over(w) == F.col("_fk"), F.lag("_cum").over(w))
+                        .otherwise(F.lit(0)).cast("long").alias("_off"))
     j = local.join(F.broadcast(offsets), "_pid", "left")
     return j.withColumn(out, F.col(out) + F.when(F.col("_head"), F.coalesce("_off", F.lit(0))).otherwise(F.lit(0))) \
         .drop("_pid", "_head", "_off")
