@@ -195,8 +195,10 @@ def resolve_host(requests: DataFrame, site: DataFrame, siteurl: DataFrame, sitem
     default = (best.filter(F.col("is_default")).orderBy("site_id", "url_id").limit(1)
                .withColumn("sort_order", F.lit(20)))
     unresolved = hosts.join(a.select("host"), "host", "left_anti")
-    b = (unresolved.withColumn("_one", F.lit(1))
-         .join(F.broadcast(default.withColumn("_one", F.lit(1))), "_one").drop("_one"))
+    # the default row as a scalar subquery (at most one row; none → no rows)
+    d = default.select(F.struct(*default.columns).alias("_d")).scalar()
+    b = (unresolved.withColumn("_d", d).filter(F.col("_d").isNotNull())
+         .select("host", *[F.col(f"_d.{c}").alias(c) for c in default.columns]))
     res = a.unionByName(b)
     res = res.join(banner, "site_id", "left").join(loc, "locale_code", "left")
     return res.withColumn("do_redirect", F.col("site_url") != F.col("host"))
@@ -316,8 +318,7 @@ def best_locale(df: DataFrame, locale: DataFrame, in_col: str, out: str = "local
         F.col("code").alias("_fb"))
     picks = exact.unionByName(lang).groupBy("_want").agg(F.min_by("code", "r").alias("_pick"))
     res = (wanted.join(picks, "_want", "left")
-           .withColumn("_one", F.lit(1)).join(F.broadcast(fallback_row.withColumn("_one", F.lit(1))), "_one", "left")
-           .select("_want", F.coalesce("_pick", "_fb").alias(out)))
+           .select("_want", F.coalesce("_pick", fallback_row.scalar()).alias(out)))
     return df.join(res, F.col(in_col).eqNullSafe(F.col("_want")), "left").drop("_want")
 
 

@@ -24,8 +24,10 @@ def _ts(as_of: str) -> Column:
 
 
 def _one_row_join(df: DataFrame, one: DataFrame) -> DataFrame:
-    """Attach a single-row frame (a scalar) to every row via a broadcast."""
-    return df.withColumn("_one", F.lit(1)).join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    """Attach the columns of a one-row frame (e.g. the current maximum id)
+    to every row as a scalar subquery (computed once, no join)."""
+    s = one.select(F.struct(*one.columns).alias("_s")).scalar()
+    return df.withColumn("_s", s).select("*", *[F.col(f"_s.{c}").alias(c) for c in one.columns]).drop("_s")
 
 
 # ----------------------------------------------------------------------- M1
