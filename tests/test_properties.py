@@ -47,3 +47,20 @@ def test_history_count_equals_hash_changes(spark):
         seq.sort(key=lambda r: r[1])
         expected += sum(1 for a, b in zip(seq, seq[1:]) if (a[3], a[4]) != (b[3], b[4]))
     assert hist.count() == expected
+
+
+def test_melt_then_nest_round_trip(spark):
+    import json
+
+    from tessera.operators import content as C
+
+    rec = spark.createDataFrame(
+        [(7, "cus_0000000007", "Customer Seven", "", "seven@mail.example", "12345", "JP", "13", "1-2-3 Chuo", "", "Tokyo")],
+        "customer_id int, id string, name string, phone string, email string, postal_code string, country string, "
+        "state string, line1 string, line2 string, city string")
+    meta = C.melt_customer(rec).withColumn("is_deleted", F.lit(False))
+    doc = json.loads(C.nest_meta(meta, "customer_id").first().meta_json)
+    assert doc == {"address": {"city": "Tokyo", "country": "JP", "line1": "1-2-3 Chuo", "postal_code": 12345.0,
+                               "state": 13.0},
+                   "contact": {"email": "seven@mail.example"},
+                   "stripe": {"id": "cus_0000000007", "name": "Customer Seven"}}
