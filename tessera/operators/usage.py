@@ -290,3 +290,30 @@ def client_ip(df: DataFrame, headers: tuple[str, ...] = ("cf_connecting_ip", "x_
 
 def live_usage(usage: DataFrame) -> DataFrame:
     return live(usage)
+
+
+def sessionize(events: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:
+    """Idle-gap sessions per key in batch: a new session starts when the
+    previous event of the key is ``gap_seconds`` or more earlier.
+
+    Skew-safe: the previous event comes from ``next_in_sequence`` over
+    descending time and the session number from ``running_sum`` of session
+    starts — both range-partition on (key, time), so a key with a third of
+    all events is spread over many tasks — then one aggregate per session.
+    Output: key, session_start, session_end (last event + gap), requests.
+    """
+    from tessera.operators.sequence import next_in_sequence, running_sum
+
+    e = events.select(F.col(key), F.col(ts), F.unix_micros(F.col(ts).cast("timestamp")).alias("_us")) \
+        .filter(F.col(key).isNotNull())
+    e = e.withColumn("_neg", -F.col("_us"))
+    prev = next_in_sequence(e, key, "_neg", ["_us"], prefix="_prev")
+    starts = prev.withColumn("_start", F.when(F.col("_prev_us").isNull()
+                                              | (F.col("_us") - F.col("_prev_us") >= gap_seconds * 1_000_000), 1)
+                             .otherwise(0).cast("long"))
+    numbered = running_sum(starts, key, ["_us", "_neg"], "_start", "_sid")
+    return (numbered.groupBy(key, "_sid")
+            .agg(F.min(ts).alias("session_start"), F.max(ts).alias("_last"), F.count("*").alias("requests"))
+            .select(key, "session_start",
+                    (F.col("_last").cast("timestamp") + F.make_interval(secs=F.lit(gap_seconds))).alias("session_end"),
+                    "requests"))

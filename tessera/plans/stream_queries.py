@@ -115,3 +115,15 @@ def x4_note_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X4 (+M2): current notes after the note change stream over all versions."""
     base = _note_stream(spark, sf_dir)
     return S.latest(spark, f"{base}/current", ["note_id"]).select("note_id", "version", "type", "content", "is_private")
+
+
+@register("x3_token_sessions_batch", oracle=REGISTRY["x3_token_sessions"].oracle)
+def x3_token_sessions_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X3 in batch: the same 1-day idle sessions computed with the skew-safe
+    sessionizer over the normalised log (no streaming)."""
+    from tessera.operators.usage import normalise_usage, sessionize
+
+    usage = normalise_usage(fixture(spark, sf_dir, "usage_raw"), HOME_URL).filter(~F.col("is_deleted"))
+    s = sessionize(usage, "token_id", "event_at", SESSION_GAP_DAYS * 86400)
+    return s.select("token_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss.SSS").alias("session_start"),
+                    F.date_format("session_end", "yyyy-MM-dd HH:mm:ss.SSS").alias("session_end"), "requests")
