@@ -60,7 +60,7 @@ SELECT site_id, event_on, CAST(epoch(CAST(event_on AS TIMESTAMP)) AS BIGINT) AS
 
 @register("a1_site_daily_stats", oracle=_A1_SQL)
 def a1_site_daily_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A1 (flagship): daily usage per site over the last 30 days, zero-filled."""
+    """A1 (flagship, +O3): daily usage per site over the last 30 days, zero-filled calendar."""
     return U.site_daily_stats(usage_log(spark, sf_dir), as_of=AS_OF, days=REPORT_DAYS)
 
 
