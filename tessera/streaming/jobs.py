@@ -179,3 +179,13 @@ def note_changes_stream(spark: SparkSession, src: str, out_current: str, out_his
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     writer = reader.parquet(src).writeStream.foreachBatch(apply).option("checkpointLocation", ckpt)
     return _start(writer, trigger_once)
+
+
+def compact(spark: SparkSession, path: str, keys: list[str], out: str) -> DataFrame:
+    """Rewrite a per-batch change log as one snapshot partition holding the
+    newest row per key (``batch_id`` = the newest batch seen), written to
+    ``out``; readers of ``out`` (``latest``) see the same rows as before,
+    and later batches can keep appending next to it."""
+    newest = spark.read.parquet(path).agg(F.max("batch_id")).first()[0]  # one number
+    latest(spark, path, keys).write.mode("overwrite").parquet(f"{out}/batch_id={newest}")
+    return spark.read.parquet(out)

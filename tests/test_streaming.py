@@ -31,3 +31,13 @@ def test_batch_writer_overwrites_a_retried_batch(spark):
     write(df, 3)
     write(df, 3)  # the same micro-batch delivered again after a failure
     assert spark.read.parquet(base).count() == 10
+
+
+def test_compact_keeps_latest_rows(spark):
+    base = scratch_path(spark, f"t-cp-{uuid.uuid4().hex[:8]}")
+    w = S._batch_writer(f"{base}/log")
+    w(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), 0)
+    w(spark.createDataFrame([(1, "c")], "k int, v string"), 1)
+    snap = S.compact(spark, f"{base}/log", ["k"], f"{base}/snap")
+    assert sorted((r.k, r.v) for r in S.latest(spark, f"{base}/snap", ["k"]).collect()) == [(1, "c"), (2, "b")]
+    assert snap.select("batch_id").distinct().first()[0] == 1
