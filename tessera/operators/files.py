@@ -152,7 +152,47 @@ def _sequential_admission(rows: DataFrame, quota_col: str, partitions: int) -> D
         _admit_stream(quota_col), "id int, account_id int, accepted boolean, remaining long")
 
 
-def admit_uploads(uploads: DataFrame, quotas: DataFrame, partitions: int | None = None) -> DataFrame:
+def _phase_admission(cands: DataFrame, max_phases: int, partitions: int) -> DataFrame:
+    """Late candidates of hot accounts, decided in parallel phases.
+
+    In each phase the files that can still fit (bytes ≤ remainder R) get a
+    skew-safe running sum C in arrival order: files with C ≤ R are accepted
+    (every earlier one fitted), the first with C > R overflows and is
+    rejected, files that no longer fit are rejected, and the files after the
+    overflow continue with R − (C − bytes) of the overflowing file.  The
+    pool is checkpointed each phase (iterative, lineage cut); what is left
+    after ``max_phases`` goes through the sequential pass.
+    """
+    from tessera.operators.sequence import _materialise, running_sum
+
+    decided: list[DataFrame] = []
+    pool = cands.select("id", "account_id", "arrival", "bytes", "_R")
+    for _ in range(max_phases):
+        decided.append(pool.filter(F.col("bytes") > F.col("_R")).select("id", F.lit(False).alias("_acc")))
+        live = pool.filter(F.col("bytes") <= F.col("_R"))
+        cs = running_sum(live, "account_id", ["arrival", "id"], "bytes", "_C", partitions=partitions)
+        decided.append(cs.filter(F.col("_C") <= F.col("_R")).select("id", F.lit(True).alias("_acc")))
+        over = cs.filter(F.col("_C") > F.col("_R"))
+        first = over.groupBy("account_id").agg(F.min_by(F.struct("arrival", "id", "_C", "bytes"),
+                                                        F.struct("arrival", "id")).alias("_o"))
+        over = over.join(first, "account_id")
+        at_o = (F.col("arrival") == F.col("_o.arrival")) & (F.col("id") == F.col("_o.id"))
+        after_o = (F.col("arrival") > F.col("_o.arrival")) | ((F.col("arrival") == F.col("_o.arrival"))
+                                                              & (F.col("id") > F.col("_o.id")))
+        decided.append(over.filter(at_o).select("id", F.lit(False).alias("_acc")))
+        pool = _materialise(over.filter(after_o).select(
+            "id", "account_id", "arrival", "bytes", (F.col("_R") - (F.col("_o._C") - F.col("_o.bytes"))).alias("_R")))
+        if pool.limit(1).count() == 0:  # nothing left to decide
+            break
+    decided.append(_sequential_admission(pool, "_R", partitions).select("id", F.col("accepted").alias("_acc")))
+    out = decided[0]
+    for d in decided[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+def admit_uploads(uploads: DataFrame, quotas: DataFrame, partitions: int | None = None,
+                  hot_threshold: int = 1_000_000, max_phases: int = 8) -> DataFrame:
     """Greedy upload admission per account in arrival order: a file is
     accepted if 0 < bytes ≤ remaining, and only accepted files use space
     (so it is not a plain running sum).  Output: id, account_id, accepted,
@@ -168,8 +208,10 @@ def admit_uploads(uploads: DataFrame, quotas: DataFrame, partitions: int | None
        accepted iff bytes > 0, remaining = quota − P.
     2. After that first overflow the remainder R is below the overflowing
        file's size and only shrinks, so only files with 0 < bytes ≤ R can
-       still be accepted; just those candidates go through the sequential
-       pass (``mapInPandas`` over account-ordered rows, bounded memory).
+       still be accepted.  An account with more than ``hot_threshold`` such
+       candidates is decided in parallel phases (``_phase_admission``); the
+       others go through the sequential pass (``mapInPandas`` over
+       account-ordered rows, bounded memory).
     3. Remaining for every later file is R minus a second skew-safe running
        sum of the accepted candidate sizes.
     """
@@ -186,7 +228,20 @@ def admit_uploads(uploads: DataFrame, quotas: DataFrame, partitions: int | None
     rest = tail.groupBy("account_id").agg((F.min("_quota") - F.min(F.col("_P") - F.col("_pos"))).alias("_R"))
     tail = tail.join(rest, "account_id")
     cands = tail.filter((F.col("bytes") > 0) & (F.col("bytes") <= F.col("_R")))
-    decided = _sequential_admission(cands, "_R", n).select("id", F.col("accepted").alias("_acc"))
+    hot = cands.groupBy("account_id").count().filter(F.col("count") > hot_threshold).select("account_id")
+    # cheap pre-check on the input: an account needs more than hot_threshold
+    # files in total to have that many late candidates
+    heavy = u.groupBy("account_id").count().filter(F.col("count") > hot_threshold)
+    if heavy.limit(1).count() == 0 or hot.limit(1).count() == 0:
+        # no hot account: every late candidate takes the sequential pass
+        decided = _sequential_admission(cands, "_R", n).select("id", F.col("accepted").alias("_acc"))
+    else:
+        from tessera.operators.sequence import _materialise
+
+        cands = _materialise(cands)
+        cold = cands.join(hot, "account_id", "left_anti")
+        decided = _sequential_admission(cold, "_R", n).select("id", F.col("accepted").alias("_acc")).unionByName(
+            _phase_admission(cands.join(hot, "account_id", "left_semi"), max_phases, n))
     tail = tail.join(decided, "id", "left").withColumn("accepted", F.coalesce("_acc", F.lit(False))) \
         .withColumn("_used", F.when(F.col("accepted"), F.col("bytes")).otherwise(F.lit(0)).cast("long"))
     tail = running_sum(tail.select("id", "account_id", "arrival", "accepted", "_used", "_R"), "account_id",

@@ -30,3 +30,17 @@ def test_rejected_file_does_not_consume(spark):
     q = df.select("account_id").distinct().selectExpr("account_id", "1000 AS quota")
     got = {r.id: r.accepted for r in FL.admit_uploads(df, q, partitions=2).collect()}
     assert got == {1: True, 2: False, 3: True}
+
+
+def test_admit_uploads_phases_match_brute_force(spark):
+    rnd = random.Random(9)
+    # one hot account with most files, sizes spread so many late files still fit
+    rows = [(i, 1 if rnd.random() < 0.7 else rnd.choice([2, 3]), rnd.randint(0, 2000),
+             rnd.choice([0, 3, 8, 20, 55, 140, 400])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id int, account_id int, arrival int, bytes int")
+    quotas = df.select("account_id").distinct().selectExpr("account_id", "1000 AS quota")
+    want = _brute(rows, 1000)
+    for phases in (1, 3, 8):
+        got = {r.id: (r.accepted, r.remaining)
+               for r in FL.admit_uploads(df, quotas, partitions=5, hot_threshold=0, max_phases=phases).collect()}
+        assert got == want, phases
