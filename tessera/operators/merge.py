@@ -240,7 +240,11 @@ def create_accounts(reqs: DataFrame, acct: DataFrame, locale: DataFrame, salt: s
         .select("request_id", F.col("account_id").alias("_match"))
     ok = ok.join(matched, "request_id", "left")
     types = live(acct).select(F.col("id").alias("_match"), F.col("type").alias("_mtype"))
-    ok = ok.join(types, "_match", "left")
+    # the matched requests feed four branches below: materialise them once
+    # (reliable checkpoint) instead of re-running the matching joins per branch
+    from tessera.operators.sequence import _materialise
+
+    ok = _materialise(ok.join(types, "_match", "left"))
     new = ok.filter(F.col("_match").isNull())
     first = new.groupBy("login").agg(F.min("request_id").alias("_first"))
     max_id = acct.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_max"))
