@@ -127,3 +127,18 @@ def x3_token_sessions_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = sessionize(usage, "token_id", "event_at", SESSION_GAP_DAYS * 86400)
     return s.select("token_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss.SSS").alias("session_start"),
                     F.date_format("session_end", "yyyy-MM-dd HH:mm:ss.SSS").alias("session_end"), "requests")
+
+
+@register("x2_usage_daily_counts", oracle=usage_ctes() + """
+SELECT site_id, event_on, COUNT(CASE WHEN NOT is_file THEN id END) AS pages, COUNT(CASE WHEN is_file THEN id END) AS files
+  FROM usage WHERE NOT is_deleted AND NOT is_api AND http_code BETWEEN 200 AND 299
+ GROUP BY site_id, event_on
+""")
+def x2_usage_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact page and file counters of the streaming daily report (the
+    distinct-count estimates are checked rows-only in x2_usage_daily_stream)."""
+    base = _ingest(spark, sf_dir)
+    schema = spark.read.parquet(f"{base}/usage").schema
+    S.usage_daily_stream(spark, f"{base}/usage", f"{base}/daily", f"{base}/ckpt-x2", "2 days",
+                         schema=schema.simpleString()[len("struct<"):-1].replace(":", " ")).awaitTermination()
+    return S.latest(spark, f"{base}/daily", ["site_id", "event_on"]).select("site_id", "event_on", "pages", "files")
