@@ -43,7 +43,8 @@ def _shift_batches(key: str, cols: list[str], prefix: str):
             body = pdf.iloc[:-1].reset_index(drop=True)
             if len(body):
                 nxt = pdf.iloc[1:].reset_index(drop=True)
-                same = (body[key].to_numpy() == nxt[key].to_numpy())
+                a, b = body[key], nxt[key]
+                same = ((a == b) | (a.isna() & b.isna())).fillna(False).to_numpy(dtype=bool)
                 for c in cols:
                     body[prefix + c] = pd.Series(np.where(same, nxt[c].astype(object), None), dtype=object)
                 yield flags(body, pid, not emitted, False)
@@ -82,12 +83,19 @@ def next_in_sequence(df: DataFrame, key: str, order: str, cols: list[str], prefi
     w = Window.orderBy("_pid")  # one row per non-empty partition: bounded by the partition count
     nxt = heads.select(F.col("_pid"), *[F.lead(c).over(w).alias(c) for c in ["_hk"] + ["_h_" + c for c in cols]])
     patched = local.join(F.broadcast(nxt), "_pid", "left")
-    use = F.col("_last") & (F.col("_hk") == F.col(key))
+    use = F.col("_last") & F.col("_hk").eqNullSafe(F.col(key))
     out = patched.select(*[F.col(f.name) for f in base.fields],
                          *[F.when(use, F.col("_h_" + c)).otherwise(F.col(prefix + c)).alias(prefix + c) for c in cols])
     return out
 
 
+def _same(values: pd.Series, k) -> np.ndarray:
+    """values == k, with NULL equal to NULL."""
+    if pd.isna(k):
+        return values.isna().to_numpy()
+    return (values == k).fillna(False).to_numpy(dtype=bool)
+
+
 def _cumsum_batches(key: str, value: str, out: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pid = TaskContext.get().partitionId()
@@ -98,13 +106,13 @@ def _cumsum_batches(key: str, value: str, out: str):
                 continue
             if not seen:
                 first_key, seen = pdf[key].iloc[0], True
-            sums = pdf.groupby(key, sort=False)[value].cumsum()
+            sums = pdf.groupby(key, sort=False, dropna=False)[value].cumsum()
             if carry_key is not None:
-                sums = sums + np.where(pdf[key].to_numpy() == carry_key, carry, 0)
+                sums = sums + np.where(_same(pdf[key], carry_key), carry, 0)
             pdf[out] = sums.astype("int64")
             carry_key, carry = pdf[key].iloc[-1], int(pdf[out].iloc[-1])
             pdf["_pid"] = pid
-            pdf["_head"] = pdf[key].to_numpy() == first_key
+            pdf["_head"] = _same(pdf[key], first_key)
             yield pdf
     return run
 
@@ -139,7 +147,7 @@ def running_sum(df: DataFrame, key: str, order: list[str], value: str, out: str,
                        .over(w.rowsBetween(Window.unboundedPreceding, 0)))
     s1 = s1.withColumn("_cum", F.sum("_lt").over(
         Window.partitionBy("_grp").orderBy("_pid").rowsBetween(Window.unboundedPreceding, 0)))
-    offsets = s1.select("_pid", F.when(F.lag("_lk").over(w) == F.col("_fk"), F.lag("_cum").over(w))
+    offsets = s1.select("_pid", F.when(F.lag("_lk").over(w).eqNullSafe(F.col("_fk")), F.lag("_cum").over(w))
                         .otherwise(F.lit(0)).cast("long").alias("_off"))
     j = local.join(F.broadcast(offsets), "_pid", "left")
     return j.withColumn(out, F.col(out) + F.when(F.col("_head"), F.coalesce("_off", F.lit(0))).otherwise(F.lit(0))) \

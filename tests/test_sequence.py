@@ -26,3 +26,17 @@ def test_running_sum_matches_window_with_a_hot_key(spark):
     w = Window.partitionBy("k").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
     want = df.select("*", F.sum("v").over(w).alias("cs"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_running_sum_with_null_keys(spark):
+    from tessera.operators.sequence import running_sum
+
+    rows = [(None, i, 1) for i in range(200)] + [(1, i, 2) for i in range(50)]
+    df = spark.createDataFrame(rows, "k int, o int, v long")
+    got = {((r.k if r.k is not None else -1), r.o): r.cs
+           for r in running_sum(df, "k", ["o"], "v", "cs", partitions=6).collect()}
+    assert all(got[(-1, i)] == i + 1 for i in range(200))
+    assert all(got[(1, i)] == 2 * (i + 1) for i in range(50))
+    nxt = {((r.k if r.k is not None else -1), r.o): r.next_v
+           for r in next_in_sequence(df, "k", "o", ["v"], partitions=6).collect()}
+    assert all(nxt[(-1, i)] == 1 for i in range(199)) and nxt[(-1, 199)] is None
