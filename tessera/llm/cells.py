@@ -24,6 +24,7 @@ import pandas as pd
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, BinaryType, IntegerType, LongType, StructField, StructType
 
 CELL, DOCS, ANSWER = 0, 1, 2
@@ -36,15 +37,14 @@ PACKED = StructType([
 
 
 def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list, list]]:
-    """(chunk id, ids, texts) for the (id, text) rows of this task."""
+    """(chunk id, ids, texts) for the (id, text) rows of this task, both strings."""
     base, seq = TaskContext.get().partitionId() << 32, 0
     ids: list = []
     texts: list = []
     size = 0
     for pdf in batches:
         for i, t in zip(pdf.iloc[:, 0].tolist(), pdf.iloc[:, 1].tolist(), strict=True):
-            t = t if isinstance(t, str) else None
-            ids.append(i if i == i else None)
+            ids.append(i)
             texts.append(t)
             size += len(t or "") + 16
             if size >= CHUNK_BYTES:
@@ -75,7 +75,9 @@ def exchange(df: DataFrame, id_col: str, text_col: str, n_buckets: int,
 
     ``make_cells(ids, texts)`` gives (bucket, cell) pairs of a chunk,
     ``answer_cells(cells)`` an answer for every cell of one bucket, and
-    ``assemble(ids, texts, answers by bucket)`` the rows of a chunk."""
+    ``assemble(ids, texts, answers by bucket)`` the rows of a chunk.  Ids go
+    as strings (exact for any type, null or not); ``schema`` has the id first,
+    as a string, which is cast back here."""
 
     def send(batches):
         for chunk, ids, texts in chunks(batches):
@@ -94,9 +96,12 @@ def exchange(df: DataFrame, id_col: str, text_col: str, n_buckets: int,
         said = pdf[pdf["kind"] == ANSWER]
         return assemble(ids, texts, dict(zip(said["bucket"].tolist(), said["payload"].tolist(), strict=True)))
 
-    return (df.select(id_col, text_col).mapInPandas(send, PACKED)
-            .groupBy("bucket").applyInPandas(answer, PACKED)
-            .groupBy("chunk").applyInPandas(collect, schema))
+    out = (df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
+           .mapInPandas(send, PACKED)
+           .groupBy("bucket").applyInPandas(answer, PACKED)
+           .groupBy("chunk").applyInPandas(collect, schema))
+    name = schema[0].name
+    return out.withColumn(name, F.col(name).cast(df.schema[id_col].dataType))
 
 
 def concat(parts: list[np.ndarray], dtype) -> np.ndarray:

@@ -105,9 +105,8 @@ def remove_repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str
     input repeat each other's windows; a null id stays null; other columns
     are not read, whatever their names.  An empty table gives no rows."""
     n_buckets = bucket_count(df, text_col)
-    id_type = df.schema[id_col].dataType
     schema = StructType([
-        StructField(id_col, id_type), StructField("n_words", LongType()), StructField("n_removed", LongType()),
+        StructField(id_col, StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType()),
         StructField("kept_text", StringType()), StructField("spans", ArrayType(ArrayType(IntegerType()))),
     ])
 
@@ -134,10 +133,7 @@ def remove_repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str
                 out.append((ids[k], len(ws), int(cut.sum()), b" ".join(compress(ws, ~cut)).decode("utf-8", "surrogatepass"),
                             edge.reshape(-1, 2).tolist()))
             begin += len(ws)
-        pdf = pd.DataFrame(out, columns=[f.name for f in schema])
-        if pdf[id_col].isna().any():
-            pdf[id_col] = pdf[id_col].astype(object).where(pdf[id_col].notna(), None)
-        return pdf
+        return pd.DataFrame(out, columns=schema.names)
 
     return cells.exchange(df, id_col, text_col, n_buckets, make, _answer, assemble, schema)
 
