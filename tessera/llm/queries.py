@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from tessera.llm.decontaminate import op3_decontaminate
+from tessera.llm.ngram_join import op8_ngram_join
 from tessera.llm.substring_dedup import op2_substring_dedup
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_decontaminate": op3_decontaminate,
+    "op8_ngram_join": op8_ngram_join,
 }
 ORACLE_SQL: dict[str, str] = {}
