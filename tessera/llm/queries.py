@@ -8,12 +8,14 @@ from tessera.llm.ngram_join import op8_ngram_join
 from tessera.llm.quality import op7_quality
 from tessera.llm.shuffle_shards import op9_shards
 from tessera.llm.substring_dedup import op2_substring_dedup
+from tessera.llm.toxicity import op5_toxicity
 from tessera.llm.vector_search import op10_nearest
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_mix_sources": op4_mix_sources,
+    "op5_toxicity": op5_toxicity,
     "op7_quality": op7_quality,
     "op8_ngram_join": op8_ngram_join,
     "op9_shards": op9_shards,
