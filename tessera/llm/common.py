@@ -106,3 +106,15 @@ def bucket_count(df: DataFrame, text: str = "text", bytes_per_bucket: int = 4 <<
     """Hash buckets for the words of a text column: enough that the values of
     one bucket fit a task, and several buckets per shuffle partition."""
     return max(-(-text_bytes(df, text) // bytes_per_bucket), 4 * shuffle_partitions(df.sparkSession))
+
+
+#: A side of a join that was written and is below this many bytes in memory is
+#: broadcast; beyond, Spark shuffles both sides.
+BROADCAST_BYTES = 64 << 20
+
+
+def sized(df: DataFrame, name: str, row_bytes: int = 64) -> DataFrame:
+    """``df`` written to the shared folder, with a broadcast hint if its rows
+    (counted), of ``row_bytes`` each, stay below BROADCAST_BYTES."""
+    df = stored(df, name)
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
