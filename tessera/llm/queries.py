@@ -6,6 +6,7 @@ from tessera.llm.decontaminate import op3_decontaminate
 from tessera.llm.license_scan import op1_license_scan
 from tessera.llm.mixing import op4_mix_sources
 from tessera.llm.ngram_join import op8_ngram_join
+from tessera.llm.oracle_sql import ORACLE_SQL
 from tessera.llm.page_text import op6_page_text
 from tessera.llm.quality import op7_quality
 from tessera.llm.shuffle_shards import op9_shards
@@ -25,4 +26,5 @@ QUERIES = {
     "op9_shards": op9_shards,
     "op10_nearest": op10_nearest,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
