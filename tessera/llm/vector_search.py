@@ -148,8 +148,14 @@ def _matrix(values) -> np.ndarray:
     return np.array([np.asarray(v, np.float64) for v in values]) if len(values) else np.empty((0, 0))
 
 
+def _scaled(m: np.ndarray) -> np.ndarray:
+    """Rows times a power of two (exact, and the same cosine), so that squares
+    neither overflow nor vanish."""
+    return np.ldexp(m, -np.frexp(np.abs(m).max(axis=1, keepdims=True))[1])
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
-    m = m / np.abs(m).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
+    m = _scaled(m)
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
@@ -210,12 +216,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
             g = graph.iloc[0]
             whole = np.frombuffer(g["vectors"], np.float64).reshape(-1, int(g["dims"]))
             vec = _unit(whole).astype(np.float32)
+            whole = _scaled(whole)
             norms = np.sqrt((whole * whole).sum(axis=1))
             layers = []
             for nodes, links in zip(g["nodes"], g["links"], strict=True):
                 nodes = np.frombuffer(nodes, np.int32)
                 layers.append((nodes, np.frombuffer(links, np.int32).reshape(len(nodes), -1)))
-            asked_vec = _matrix(block["vec"].tolist())
+            asked_vec = _scaled(_matrix(block["vec"].tolist()))
             unit = _unit(asked_vec).astype(np.float32)
             for q, (query_id, v) in enumerate(zip(block["vec_id"].tolist(), asked_vec, strict=True)):
                 found = np.arange(len(vec)) if len(vec) <= width else np.array(walk(vec, layers, unit[q], width))
