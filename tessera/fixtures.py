@@ -78,9 +78,8 @@ SELECT CAST(c_custkey + 1 AS INT) AS account_id, '{key}' AS key,
        {"'a' || CAST(c_custkey % 5 AS STRING) || '.png'" if key == "profile.avatar" else
         "CASE WHEN c_custkey % 2 = 0 THEN 'Y' ELSE 'N' END" if key == "preference.can_email" else
         "CAST(c_custkey % 4 AS STRING)" if key == "preference.fontsize" else "'default'"} AS value,
-       (c_custkey + {n}) % 7 = 0 AS is_deleted
-  FROM customer
- WHERE c_custkey % 4 <> 3""" for key, n in _ACCOUNT_META_KEYS) + "\n"
+       (c_custkey + {n}) % 7 = 0 OR c_custkey % 4 = 3 AS is_deleted
+  FROM customer""" for key, n in _ACCOUNT_META_KEYS) + "\n"
 
 FIXTURE_SQL["tokens"] = """
 SELECT CAST(user_id + 1 AS INT) AS id, md5(CAST(user_id AS STRING)) || '-' || CAST(user_id AS STRING) AS guid,
@@ -194,8 +193,9 @@ SELECT CAST(p_partkey % 150 + 1 AS INT) AS location_id, 'photo.' || lower(replac
 """
 
 FIXTURE_SQL["note_meta"] = """
-SELECT CAST(doc_id + 1 AS INT) AS note_id, 'source.' || source AS key, lang AS value, doc_id % 5 = 0 AS is_deleted
-  FROM documents WHERE doc_id % 3 <> 1
+SELECT CAST(doc_id + 1 AS INT) AS note_id, 'source.' || source AS key, lang AS value,
+       doc_id % 5 = 0 OR doc_id % 3 = 1 AS is_deleted
+  FROM documents
 """
 
 FIXTURE_SQL["note_history"] = """
@@ -258,7 +258,7 @@ SELECT CAST(p_partkey + 1 AS INT) AS id, CAST(p_partkey % 40 + 1 AS INT) AS acco
 
 FIXTURE_SQL["file_request"] = """
 SELECT o_orderkey AS request_id, CAST(o_custkey % 60 + 1 AS INT) AS account_id,
-       CAST(o_orderkey % 2500 + 1 AS INT) AS file_id
+       CASE WHEN o_orderkey % 19 = 0 THEN 0 ELSE CAST(o_orderkey % 2500 + 1 AS INT) END AS file_id
   FROM orders
 """
 
@@ -272,8 +272,8 @@ SELECT c_custkey AS request_id,
 
 FIXTURE_SQL["label_text"] = """
 SELECT 'lbl' || replace(n_name, ' ', '') AS label,
-       CASE WHEN n_nationkey % 4 = 0 THEN ' ' ELSE lower(n_name) || '-ja' END AS value
-  FROM nation WHERE n_nationkey % 5 <> 2
+       CASE WHEN n_nationkey % 4 = 0 OR n_nationkey % 5 = 2 THEN ' ' ELSE lower(n_name) || '-ja' END AS value
+  FROM nation
 """
 
 FIXTURE_SQL["site_request"] = """
@@ -315,7 +315,8 @@ SELECT conv_id * 100 + turn AS request_id, CAST(turn % 50 + 1 AS INT) AS account
 """
 
 FIXTURE_SQL["url_change"] = """
-SELECT CAST(CASE WHEN page_id % 2 = 0 THEN page_id + 1 ELSE page_id + 100001 END AS INT) AS id,
+SELECT page_id AS seq, CAST(CASE WHEN page_id % 2 = 0 THEN page_id + 1 WHEN page_id % 6 = 1 THEN page_id % 50 + 100001
+                                 ELSE page_id + 200001 END AS INT) AS id,
        CAST(page_id % 25 + 1 AS INT) AS site_id,
        upper(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)) || '/x' AS url, page_id % 3 = 1 AS is_active
   FROM pages
@@ -335,8 +336,9 @@ FIXTURE_SQL["account_signup"] = """
 SELECT c_custkey AS request_id,
        CASE CAST(c_custkey % 5 AS INT) WHEN 0 THEN c_name WHEN 1 THEN 'ab' WHEN 2 THEN 'New_' || CAST(c_custkey % 300 AS STRING)
             WHEN 3 THEN 'Sign' || CAST(c_custkey AS STRING) ELSE 'x' || CAST(c_custkey AS STRING) END AS nickname,
-       CASE CAST(c_custkey % 3 AS INT) WHEN 0 THEN 'U' || CAST(c_custkey + 3 AS STRING) || '@Mail.Example'
-            WHEN 1 THEN 'a@b' ELSE '' END AS email,
+       CASE CAST(c_custkey % 7 AS INT) WHEN 0 THEN 'U' || CAST(c_custkey % 60 + 3 AS STRING) || '@Mail.Example'
+            WHEN 1 THEN 'a@b' WHEN 2 THEN 'Dup' || CAST(c_custkey % 40 AS STRING) || '@Mail.Example'
+            WHEN 3 THEN 'dup' || CAST(c_custkey % 50 AS STRING) || '@mail.example' ELSE '' END AS email,
        CASE WHEN c_custkey % 2 = 0 THEN '' ELSE c_name END AS display_name,
        CASE WHEN c_custkey % 7 = 0 THEN 'short' ELSE 'longpassword' || CAST(c_custkey AS STRING) END AS password,
        CASE CAST(c_custkey % 3 AS INT) WHEN 0 THEN 'f' WHEN 1 THEN 'G' ELSE 'x' END AS gender,
@@ -363,7 +365,7 @@ SELECT p_partkey AS request_id, CAST(p_partkey % 60 + 1 AS INT) AS account_id,
               || '-' || substr(md5(p_name || CAST(p_partkey AS STRING)), 21, 12)
             ELSE 'bad-guid' END AS file_guid,
        CASE WHEN p_partkey % 11 = 0 THEN 'ab' ELSE replace(p_name, ' ', '_') END AS local_name,
-       ' ' || p_name || ' ' AS file_name, '2024-01' AS path,
+       ' ' || p_name || ' ' AS file_name, '2024-01' AS path, md5(p_name) AS file_hash,
        CASE WHEN p_partkey % 13 = 0 THEN 0 ELSE p_size * 1000 END AS bytes,
        CASE WHEN p_partkey % 17 = 0 THEN 'x' ELSE ' Image/JPEG ' END AS mimetype,
        CASE CAST(p_partkey % 4 AS INT) WHEN 0 THEN '2024-03-01 10:00:00' WHEN 1 THEN 'soon' WHEN 2 THEN NULL ELSE '2023-12-31' END AS expires_at,
@@ -390,17 +392,18 @@ SELECT page_id AS request_id, CAST(page_id % 60 + 1 AS INT) AS account_id,
 
 FIXTURE_SQL["token_seen"] = """
 SELECT DISTINCT CAST(user_id + 1 AS INT) AS id, md5(CAST(user_id AS STRING)) || '-' || CAST(user_id AS STRING) AS guid
-  FROM events WHERE event_type = 'view'
+  FROM events
 """
 
 FIXTURE_SQL["token_revoke"] = """
 SELECT DISTINCT CAST(user_id + 1 AS INT) AS id,
-       CASE WHEN event_id % 2 = 0 THEN md5(CAST(user_id AS STRING)) || '-' || CAST(user_id AS STRING) ELSE 'nope' END AS guid
-  FROM events WHERE event_type = 'error'
+       CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN md5(CAST(user_id AS STRING)) || '-' || CAST(user_id AS STRING)
+            ELSE 'nope' END AS guid
+  FROM events
 """
 
 FIXTURE_SQL["login_request"] = """
-SELECT o_orderkey AS login_id, CAST(o_custkey + 1 AS INT) AS account_id FROM orders WHERE o_orderstatus = 'F'
+SELECT o_orderkey AS login_id, CAST(CASE WHEN o_orderstatus = 'F' THEN o_custkey + 1 ELSE -1 END AS INT) AS account_id FROM orders
 """
 
 FIXTURE_SQL["path_request"] = """
@@ -439,8 +442,8 @@ FIXTURE_SQL["label_file"] = """
 SELECT DISTINCT lang AS lang_code, 'lbl.' || source AS key, ' v-' || lang || '-' || source || ' {year} ' AS value FROM documents
 UNION ALL
 SELECT DISTINCT lang || '_' || upper(CASE lang WHEN 'en' THEN 'us' ELSE lang END) AS lang_code, 'lbl.' || source AS key,
-       'loc-' || lang || '-' || source || ' {version_id}' AS value
-  FROM documents WHERE source < 'src3'
+       CASE WHEN source < 'src3' THEN 'loc-' || lang || '-' || source || ' {version_id}' ELSE ' ' END AS value
+  FROM documents
 """
 
 FIXTURE_SQL["lang_request"] = """

@@ -1,9 +1,8 @@
 """Relational read jobs over the catalogue tables (places, accounts, notes,
 sites): the reference's per-id lookups lifted to whole-table joins.
 
-Join policy: dimensions go through ``bounded_broadcast`` (broadcast only
-with a proven row bound, else sort-merge/AQE); fact-to-fact joins are left
-to the planner.  Per-key "first match" picks use ``min_by`` aggregates
+Join policy: no hints; the planner and adaptive execution broadcast a side
+while its size is below Spark's threshold, and shuffle both beyond.  Per-key "first match" picks use ``min_by`` aggregates
 (map-side partial aggregation, skew safe) rather than windows.
 """
 
@@ -12,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.joins import bounded_broadcast
 from tessera.sources.tables import live
 
 ADMIN_TYPES = ["account.global", "account.admin"]
@@ -86,16 +84,16 @@ def account_profile(acct: DataFrame, meta: DataFrame) -> DataFrame:
 
 def visible_to(notes: DataFrame, viewers: DataFrame, acct: DataFrame) -> DataFrame:
     """(viewer, note) pairs the viewer may read: public notes, or private
-    ones the viewer last edited, or any note for an admin/global viewer.
+    ones for a live viewer who last edited them or is admin/global.
 
     ``viewers`` holds (viewer_id, note_id) requests; joined to the note by
     key, never a cross product.
     """
-    a = acct.select(F.col("id").alias("viewer_id"), F.col("type").alias("viewer_type"))
+    a = live(acct).select(F.col("id").alias("viewer_id"), F.col("type").alias("viewer_type"))
     n = live(notes).select(F.col("id").alias("note_id"), "is_private", "updated_by")
     j = viewers.join(n, "note_id").join(a, "viewer_id", "left")
-    ok = (~F.col("is_private")) | (F.col("updated_by") == F.col("viewer_id")) \
-        | F.coalesce(F.col("viewer_type").isin(ADMIN_TYPES), F.lit(False))
+    own = F.col("viewer_type").isNotNull() & F.coalesce(F.col("updated_by") == F.col("viewer_id"), F.lit(False))
+    ok = (~F.col("is_private")) | own | F.coalesce(F.col("viewer_type").isin(ADMIN_TYPES), F.lit(False))
     return j.withColumn("can_read", ok)
 
 
@@ -131,11 +129,10 @@ def location_detail(loc: DataFrame, acct: DataFrame, country: DataFrame, state:
     if country_code is not None:
         lo = lo.filter(F.col("country_code") == country_code)
         co = co.filter(F.col("code") == country_code)
-    co = bounded_broadcast(co.select(F.col("code").alias("country_code"), F.col("name").alias("country_name"),
-                                     F.col("label").alias("country_label")))
-    cs = bounded_broadcast(live(state).select(F.col("id").alias("state_id"), F.col("name").alias("state_name"),
-                                              F.col("label").alias("state_label"), "region_id"))
-    cr = bounded_broadcast(live(region).select(F.col("id").alias("region_id"), F.col("name").alias("region_name")))
+    co = co.select(F.col("code").alias("country_code"), F.col("name").alias("country_name"), F.col("label").alias("country_label"))
+    cs = live(state).select(F.col("id").alias("state_id"), F.col("name").alias("state_name"),
+                            F.col("label").alias("state_label"), "region_id")
+    cr = live(region).select(F.col("id").alias("region_id"), F.col("name").alias("region_name"))
     nn = live(note).select(F.col("id").alias("note_id"), F.col("type").alias("note_type"),
                            F.col("is_private").alias("note_private"))
     ac = live(acct).select(F.col("id").alias("created_by"), F.col("display_name").alias("account_name"),
@@ -181,7 +178,7 @@ def resolve_host(requests: DataFrame, site: DataFrame, siteurl: DataFrame, sitem
               .select("site_id", "a.url_id", "a.site_url"))
     banner = (live(sitemeta).filter(F.col("key") == "banner.src")
               .groupBy("site_id").agg(F.min("value").alias("banner_src")))
-    loc = bounded_broadcast(locale.select(F.col("code").alias("locale_code"), "language_code"))
+    loc = locale.select(F.col("code").alias("locale_code"), "language_code")
     site_cols = si.select(F.col("id").alias("site_id"), "https", F.col("guid").alias("site_guid"),
                           F.col("name").alias("site_name"), "locale_code", "theme", "is_default")
     best = active.join(site_cols, "site_id")
@@ -265,8 +262,9 @@ def pivot_meta(meta: DataFrame, fk: str, keys: dict[str, str]) -> DataFrame:
 
 
 def note_can_edit(pairs: DataFrame, acct: DataFrame, note: DataFrame, hist: DataFrame) -> DataFrame:
-    """May account A edit note N?  Admin/global accounts, the note's last
-    editor, or a past editor (in history) of a public note.
+    """May account A edit note N?  Live accounts only: admin/global ones,
+    the note's last editor, or a past editor (in history) of a public note.
+    A deleted or unknown account may edit nothing.
 
     ``pairs``: (account_id, note_id).  Each rule is an equi-join; the result
     is OR-ed per pair (``bool_or``), never an account × note product.
@@ -282,18 +280,21 @@ def note_can_edit(pairs: DataFrame, acct: DataFrame, note: DataFrame, hist: Data
     ok = (F.coalesce(F.col("is_admin"), F.lit(False))
           | F.coalesce(F.col("last_editor") == F.col("account_id"), F.lit(False))
           | (F.coalesce(F.col("past_editor"), F.lit(False)) & F.coalesce(~F.col("note_private"), F.lit(False))))
-    return j.select("account_id", "note_id", ok.alias("can_edit"))
+    return j.select("account_id", "note_id", (F.col("is_admin").isNotNull() & ok).alias("can_edit"))
 
 
 def file_can_edit(pairs: DataFrame, acct: DataFrame, files: DataFrame, as_of: str) -> DataFrame:
-    """May account A edit file F?  Admin/global, or owner of the file
-    while it has not expired at ``as_of``, or the file does not exist yet."""
+    """May account A edit file F?  Live accounts only: admin/global ones,
+    the owner of a live file that expires at ``as_of`` or later (or never), or
+    anyone registering a new file (no file named: NULL, 0 or less).  A deleted
+    or unknown file is nobody's to edit but an admin's."""
     a = live(acct).select(F.col("id").alias("account_id"), F.col("type").isin(ADMIN_TYPES).alias("is_admin"))
     f = live(files).select(F.col("id").alias("file_id"), F.col("account_id").alias("owner_id"), "expires_at")
     j = pairs.select("account_id", "file_id").distinct().join(a, "account_id", "left").join(f, "file_id", "left")
     owner_ok = (F.col("owner_id") == F.col("account_id")) & (
-        F.col("expires_at").isNull() | (F.col("expires_at") > F.to_timestamp(F.lit(as_of))))
-    ok = F.coalesce(F.col("is_admin"), F.lit(False)) | F.coalesce(owner_ok, F.lit(False)) | F.col("owner_id").isNull()
+        F.col("expires_at").isNull() | (F.col("expires_at") >= F.to_timestamp(F.lit(as_of))))
+    new = F.coalesce(F.col("file_id"), F.lit(0)) <= 0
+    ok = F.col("is_admin").isNotNull() & (F.coalesce(F.col("is_admin"), F.lit(False)) | F.coalesce(owner_ok, F.lit(False)) | new)
     return j.select("account_id", "file_id", ok.alias("can_edit"))
 
 

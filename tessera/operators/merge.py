@@ -149,7 +149,8 @@ def apply_note_changes(cur: DataFrame, chg: DataFrame, acct: DataFrame, hist: Da
 
 # ----------------------------------------------------------------------- M4
 def enforce_active_url(siteurl: DataFrame, chg: DataFrame, as_of: str) -> DataFrame:
-    """M4: upsert url rows by id, then keep one active url per site: the
+    """M4: upsert url rows by id (the last change of an id, by ``seq``, holds),
+    then keep one active url per site: the
     newest (updated_at, then id) live active row stays active, the others of
     that site are switched off.  Rows of changed sites get ``site_touched``.
 
@@ -160,8 +161,8 @@ def enforce_active_url(siteurl: DataFrame, chg: DataFrame, as_of: str) -> DataFr
     c = chg.select("id", "site_id", F.lower(F.trim("url")).alias("url"), "is_active",
                    F.coalesce(F.col("is_deleted"), F.lit(False)).alias("is_deleted") if "is_deleted" in chg.columns
                    else F.lit(False).alias("is_deleted"),
-                   _ts(as_of).alias("updated_at"))
-    last = c.groupBy("id").agg(F.max_by(F.struct(*[x for x in cols if x != "id"]), "updated_at").alias("s")) \
+                   _ts(as_of).alias("updated_at"), "seq")
+    last = c.groupBy("id").agg(F.max_by(F.struct(*[x for x in cols if x != "id"]), "seq").alias("s")) \
         .select("id", "s.*")
     merged = siteurl.select(*cols).join(last.select("id"), "id", "left_anti").unionByName(last)
     winners = (merged.filter(F.col("is_active") & ~F.col("is_deleted"))
@@ -219,6 +220,30 @@ ACCOUNT_DEFAULT_META = [
 ]
 
 
+def _first_claims(new: DataFrame) -> DataFrame:
+    """The requests (request_id, login, _mail) that insert an account when all
+    act in the order of their ids, and one is refused if an account inserted
+    before has its login or its e-mail (NULL: none).
+
+    In each round the requests that are the first left of their login and of
+    their e-mail insert; they and all that share a name with them leave.  The
+    smallest id left always inserts, so the rounds end; there are as many as
+    the longest chain of requests that each free the next."""
+    from tessera.operators.sequence import _materialise
+
+    out, left = None, _materialise(new)
+    while not left.isEmpty():
+        by_login = left.groupBy("login").agg(F.min("request_id").alias("_l"))
+        by_mail = left.filter(F.col("_mail").isNotNull()).groupBy("_mail").agg(F.min("request_id").alias("_m"))
+        j = left.join(by_login, "login").join(by_mail, "_mail", "left")
+        won = _materialise(j.filter((F.col("request_id") == F.col("_l")) & (F.col("request_id") == F.coalesce("_m", "request_id")))
+                           .select("request_id", "login", "_mail"))
+        out = won if out is None else out.unionByName(won)
+        left = _materialise(left.join(won.select("login"), "login", "left_anti")
+                            .join(won.filter(F.col("_mail").isNotNull()).select("_mail"), "_mail", "left_anti"))
+    return new.limit(0) if out is None else out
+
+
 def create_accounts(reqs: DataFrame, acct: DataFrame, locale: DataFrame, salt: str) -> tuple[DataFrame, DataFrame]:
     """M7: bulk account creation.  Returns (decisions, default meta rows).
 
@@ -226,9 +251,11 @@ def create_accounts(reqs: DataFrame, acct: DataFrame, locale: DataFrame, salt: s
     last_name, first_name, locale, timezone, type.  Requests with a
     nickname under 3, a password under 8, or an e-mail of 1–5 characters are
     rejected.  A request matching a live account (J12) reactivates it when
-    it is expired, else it just returns it.  Otherwise a new account is
-    inserted (the first request per login wins; later ones in the batch
-    resolve to it) with normalised fields, salted sha512 password, gender
+    it is expired, else it just returns it.  Requests act in the order of
+    their ids: only the first one reactivates an account, and later ones that
+    match it return it with its new type.  Otherwise a new account is inserted,
+    unless an earlier request of the batch has inserted one with the same
+    login or e-mail (over 5 characters), to which it resolves, with normalised fields, salted sha512 password, gender
     code, best locale (J11) and default type, plus the default meta rows.
     """
     r = reqs.withColumn("_email", F.coalesce(F.col("email"), F.lit("")))
@@ -245,10 +272,14 @@ def create_accounts(reqs: DataFrame, acct: DataFrame, locale: DataFrame, salt: s
     from tessera.operators.sequence import _materialise
 
     ok = _materialise(ok.join(types, "_match", "left"))
-    new = ok.filter(F.col("_match").isNull())
-    first = new.groupBy("login").agg(F.min("request_id").alias("_first"))
+    new = ok.filter(F.col("_match").isNull()).withColumn("_mail", F.when(F.length("_email") > 5, F.lower("_email")))
+    inserts = _materialise(_first_claims(new.select("request_id", "login", "_mail")))
+    by_login = inserts.select("login", F.col("request_id").alias("_by_login"))
+    by_mail = inserts.filter(F.col("_mail").isNotNull()).select("_mail", F.col("request_id").alias("_by_mail"))
+    new = new.join(by_login, "login", "left").join(by_mail, "_mail", "left").withColumn(
+        "_first", F.least(*[F.when(F.col(c) <= F.col("request_id"), F.col(c)) for c in ("_by_login", "_by_mail")]))
     max_id = acct.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_max"))
-    new = _one_row_join(new.join(first, "login"), max_id)
+    new = _one_row_join(new, max_id)
     new = best_locale(new, locale, "locale", out="_locale")
     in_type = F.lower(F.when(F.col("type").like("account.%"), F.col("type")).otherwise(F.lit("account.basic")))
     inserted = new.select(
@@ -264,11 +295,17 @@ def create_accounts(reqs: DataFrame, acct: DataFrame, locale: DataFrame, salt: s
         F.trim(F.left(F.lower("email"), F.lit(160))).alias("email"),
         F.when(F.upper(F.coalesce("gender", F.lit(""))).isin("F", "G"), "F").otherwise("M").alias("gender"),
         F.col("_locale").alias("locale_code"), "timezone", in_type.alias("type"))
-    existing = ok.filter(F.col("_match").isNotNull()).select(
-        "request_id",
-        F.when(F.col("_mtype") == "account.expired", F.lit("reactivate")).otherwise(F.lit("match")).alias("action"),
+    hits = ok.filter(F.col("_match").isNotNull())
+    expired = F.col("_mtype") == "account.expired"
+    # a request for the expired type itself leaves the account expired
+    takes = F.when(in_type != "account.expired", F.col("request_id"))
+    first_of = hits.filter(expired).groupBy("_match").agg(F.min(takes).alias("_first"), F.min_by(in_type, takes).alias("_new_type"))
+    hits = hits.join(first_of, "_match", "left")
+    after = expired & F.coalesce(F.col("request_id") > F.col("_first"), F.lit(False))
+    existing = hits.select(
+        "request_id", F.when(expired & ~after, F.lit("reactivate")).otherwise(F.lit("match")).alias("action"),
         F.col("_match").cast("long").alias("account_id"),
-        F.when(F.col("_mtype") == "account.expired", in_type).otherwise(F.col("_mtype")).alias("type"))
+        F.when(after, F.col("_new_type")).when(expired, in_type).otherwise(F.col("_mtype")).alias("type"))
     rejected = r.filter("_reject").select("request_id", F.lit("reject").alias("action"),
                                           F.lit(None).cast("long").alias("account_id"))
     decisions = inserted.unionByName(existing, allowMissingColumns=True) \
@@ -322,9 +359,12 @@ def register_files(reqs: DataFrame, acct: DataFrame, files: DataFrame, as_of: st
     public name under 3, MIME under 3, a guid that is neither empty nor 36
     long, bytes < 1, or no permission (live account that is admin/global,
     or owns the live unexpired file, or registers a new file).  A 36-long
-    guid updates that live file; otherwise a new file is inserted.  Text
-    fields are trimmed to their lengths, MIME lower-cased, expiry parsed
-    when at least 10 characters, and the access list sets read-only/public.
+    guid updates that live file, expired or not; otherwise a new file is
+    inserted.  Text fields are trimmed to their lengths, MIME lower-cased,
+    expiry parsed when at least 10 characters, and the access list sets
+    read-only/public.  An update writes only the public name, MIME, expiry and
+    the two flags: ``name``, ``location``, ``bytes`` and ``hash`` are NULL for
+    it.  ``hash`` is the request's ``file_hash`` where there is one.
     """
     now = _ts(as_of)
     r = reqs.withColumn("_guid", F.coalesce(F.col("file_guid"), F.lit("")))
@@ -332,22 +372,25 @@ def register_files(reqs: DataFrame, acct: DataFrame, files: DataFrame, as_of: st
         & (F.length(F.coalesce("mimetype", F.lit(""))) >= 3) \
         & ((F.length("_guid") == 0) | (F.length("_guid") == 36)) & (F.coalesce(F.col("bytes"), F.lit(0)) >= 1)
     a = live(acct).select(F.col("id").alias("account_id"), F.col("type").isin(ADMIN_TYPES).alias("_admin"))
-    f = live(files).filter(F.coalesce(F.col("expires_at"), now + F.expr("INTERVAL 30 DAYS")) >= now) \
-        .select(F.col("account_id").alias("_owner"), F.col("guid").alias("_guid"), F.col("id").alias("file_id"))
+    f = live(files).select(F.col("account_id").alias("_owner"), F.col("guid").alias("_guid"), F.col("id").alias("file_id"),
+                           F.coalesce(F.col("expires_at") >= now, F.lit(True)).alias("_current"))
     j = r.join(a, "account_id", "left").join(f, "_guid", "left")
-    owns = F.coalesce(F.col("_owner") == F.col("account_id"), F.lit(False))
+    owns = F.coalesce((F.col("_owner") == F.col("account_id")) & F.col("_current"), F.lit(False))
     can = F.col("_admin").isNotNull() & (F.col("_admin") | owns | (F.length("_guid") == 0))
     exp_txt = F.coalesce(F.col("expires_at"), F.lit(""))
     acc = F.lower(F.coalesce(F.col("access"), F.lit("")))
+    fresh = F.length("_guid") != 36
+    file_hash = F.col("file_hash") if "file_hash" in reqs.columns else F.lit(None).cast("string")
     out = j.select(
         "request_id", "account_id",
         F.when(~valid | ~F.coalesce(can, F.lit(False)), F.lit("reject"))
          .when(F.length("_guid") == 36, F.lit("update")).otherwise(F.lit("insert")).alias("action"),
         F.when(F.length("_guid") == 36, F.col("file_id")).alias("file_id"),
-        F.trim(F.left("local_name", F.lit(64))).alias("name"),
+        F.when(fresh, F.trim(F.left("local_name", F.lit(64)))).alias("name"),
         F.trim(F.left("file_name", F.lit(256))).alias("public_name"),
-        F.trim(F.left("path", F.lit(256))).alias("location"),
-        F.greatest(F.coalesce(F.col("bytes"), F.lit(0)), F.lit(0)).alias("bytes"),
+        F.when(fresh, F.trim(F.left("path", F.lit(256)))).alias("location"),
+        F.when(fresh, F.greatest(F.coalesce(F.col("bytes"), F.lit(0)), F.lit(0))).alias("bytes"),
+        F.when(fresh, file_hash).alias("hash"),
         F.lower(F.trim(F.left("mimetype", F.lit(64)))).alias("mimetype"),
         F.when(F.length(exp_txt) >= 10, F.try_to_timestamp(exp_txt)).alias("expires_at"),
         (acc != "public-read-write").alias("is_readonly"),
@@ -399,11 +442,13 @@ SITE_DEFAULT_META = [
 
 def merge_sites(reqs: DataFrame, site: DataFrame, siteurl: DataFrame, acct: DataFrame,
                 locale: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Site create/update requests.  Returns (decisions, default meta).
+    """Site create/update requests, in the order of their ids.  Returns
+    (decisions, default meta).
 
     ``reqs``: request_id, account_id, site_id (≤0 = new), name, description,
     keywords, locale, https, theme, url.  A new site whose url is already
-    the active url of a live site (J13) is rejected; otherwise it is created
+    the active url of a live site (J13), or one that an earlier accepted request
+    of the batch has taken, is rejected; otherwise it is created
     (name/description/keywords trimmed to length, keywords lower-cased,
     locale = a live locale equal ignoring case, else the account's locale,
     https from 'Y', theme lower-cased) with the default meta rows.  Updates
@@ -428,8 +473,12 @@ def merge_sites(reqs: DataFrame, site: DataFrame, siteurl: DataFrame, acct: Data
               .when(is_new & F.coalesce(F.col("url_taken"), F.lit(False)), "reject")
               .when(is_new, "insert")
               .when(F.coalesce(F.col("_exists"), F.lit(False)), "update").otherwise("reject"))
+    r = r.withColumn("_action", action).withColumn("_url", F.lower("url"))
+    first = r.filter((F.col("_action") != "reject") & F.col("_url").isNotNull()).groupBy("_url").agg(F.min("request_id").alias("_first"))
+    r = r.join(first, "_url", "left")
+    late = (F.col("_action") == "insert") & F.coalesce(F.col("request_id") > F.col("_first"), F.lit(False))
     out = r.select(
-        "request_id", action.alias("action"),
+        "request_id", F.when(late, F.lit("reject")).otherwise(F.col("_action")).alias("action"),
         F.when(is_new, F.col("_max") + F.col("request_id")).otherwise(F.col("site_id")).cast("long").alias("site_id"),
         F.trim(F.left("name", F.lit(256))).alias("name"),
         F.trim(F.left("description", F.lit(512))).alias("description"),

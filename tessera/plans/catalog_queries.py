@@ -68,10 +68,10 @@ def p3_entitlement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("p4_visible_to", oracle=with_fixtures("note", "account", "note_request") + """
 SELECT r.request_id, r.account_id AS viewer_id, r.note_id,
-       NOT n.is_private OR n.updated_by = r.account_id
+       NOT n.is_private OR coalesce(a.id = n.updated_by, false)
          OR coalesce(a.type IN ('account.global', 'account.admin'), false) AS can_read
   FROM note_request r JOIN note n ON n.id = r.note_id AND NOT n.is_deleted
-  LEFT JOIN account a ON a.id = r.account_id
+  LEFT JOIN account a ON a.id = r.account_id AND NOT a.is_deleted
 """)
 def p4_visible_to(spark: SparkSession, sf_dir: str) -> DataFrame:
     """May each (viewer, note) request read the note?"""
@@ -216,9 +216,9 @@ def j8_session_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 , pairs AS (SELECT DISTINCT account_id, note_id FROM note_request),
 past AS (SELECT DISTINCT note_id, updated_by AS account_id FROM note_history WHERE NOT is_deleted)
 SELECT p.account_id, p.note_id,
-       coalesce(a.type IN ('account.global', 'account.admin'), false)
-       OR coalesce(n.updated_by = p.account_id, false)
-       OR (pa.account_id IS NOT NULL AND coalesce(NOT n.is_private, false)) AS can_edit
+       CASE WHEN a.id IS NULL THEN false WHEN a.type IN ('account.global', 'account.admin') THEN true
+            WHEN n.updated_by = a.id THEN true WHEN n.is_private = false AND pa.account_id = a.id THEN true
+            ELSE false END AS can_edit
   FROM pairs p
   LEFT JOIN account a ON a.id = p.account_id AND NOT a.is_deleted
   LEFT JOIN note n ON n.id = p.note_id AND NOT n.is_deleted
@@ -233,12 +233,12 @@ def j9_note_can_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("j10_file_can_edit", oracle=with_fixtures("file", "account", "file_request") + f"""
 , pairs AS (SELECT DISTINCT account_id, file_id FROM file_request)
 SELECT p.account_id, p.file_id,
-       coalesce(a.type IN ('account.global', 'account.admin'), false)
-       OR coalesce(f.account_id = p.account_id AND (f.expires_at IS NULL OR f.expires_at > TIMESTAMP '{AS_OF}'), false)
-       OR f.id IS NULL AS can_edit
+       CASE WHEN a.id IS NULL THEN false WHEN a.type IN ('account.global', 'account.admin') THEN true
+            WHEN f.id IS NOT NULL THEN true WHEN coalesce(p.file_id, 0) <= 0 THEN true ELSE false END AS can_edit
   FROM pairs p
   LEFT JOIN account a ON a.id = p.account_id AND NOT a.is_deleted
-  LEFT JOIN file f ON f.id = p.file_id AND NOT f.is_deleted
+  LEFT JOIN file f ON f.id = p.file_id AND NOT f.is_deleted AND f.account_id = a.id
+                  AND coalesce(f.expires_at, TIMESTAMP '{AS_OF}' + INTERVAL 30 DAY) >= TIMESTAMP '{AS_OF}'
 """)
 def j10_file_can_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edit permission for every requested (account, file) pair at as_of."""

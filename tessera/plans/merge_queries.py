@@ -75,7 +75,7 @@ perm AS (SELECT p.account_id, p.note_id,
                 OR coalesce(n.updated_by = p.account_id, false)
                 OR (pa.account_id IS NOT NULL AND coalesce(NOT n.is_private, false)) AS can_edit
            FROM (SELECT DISTINCT account_id, note_id FROM r WHERE note_id > 0) p
-           LEFT JOIN account a ON a.id = p.account_id AND NOT a.is_deleted
+           JOIN account a ON a.id = p.account_id AND NOT a.is_deleted
            LEFT JOIN note n ON n.id = p.note_id AND NOT n.is_deleted
            LEFT JOIN past pa ON pa.note_id = p.note_id AND pa.account_id = p.account_id),
 ok AS (SELECT r.* FROM r JOIN perm p ON p.account_id = r.account_id AND p.note_id = r.note_id AND p.can_edit),
@@ -101,15 +101,15 @@ def m3_apply_note_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("m4_enforce_active_url", oracle=with_fixtures("site_url", "url_change") + f"""
-, c AS (SELECT id, site_id, lower(trim(url)) AS url, is_active, false AS is_deleted,
-               TIMESTAMP '{AS_OF}' AS updated_at FROM url_change),
+, c AS (SELECT id, site_id, lower(trim(url)) AS url, is_active, false AS is_deleted, TIMESTAMP '{AS_OF}' AS updated_at
+           FROM url_change x WHERE NOT EXISTS (SELECT 1 FROM url_change y WHERE y.id = x.id AND y.seq > x.seq)),
 merged AS (SELECT id, site_id, url, is_active, is_deleted, updated_at FROM site_url WHERE id NOT IN (SELECT id FROM c)
            UNION ALL SELECT * FROM c),
 win AS (SELECT site_id, id AS _win FROM (
           SELECT site_id, id, row_number() OVER (PARTITION BY site_id ORDER BY updated_at DESC, id DESC) AS rn
             FROM merged WHERE is_active AND NOT is_deleted) x WHERE rn = 1)
 SELECT m.id, m.site_id, m.url, m.is_active AND m.id = w._win AS is_active, m.is_deleted,
-       m.site_id IN (SELECT site_id FROM c) AS site_touched
+       m.site_id IN (SELECT site_id FROM url_change) AS site_touched
   FROM merged m LEFT JOIN win w ON w.site_id = m.site_id
 """)
 def m4_enforce_active_url(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +147,8 @@ def m6_stamp_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"))
 
 
-_M7 = with_fixtures("account_signup", "account", "locale") + """
+# requests are applied one after another, as sequential calls would be
+_M7 = with_fixtures("account_signup", "account", "locale").replace("WITH ", "WITH RECURSIVE ", 1) + """
 , r AS (SELECT *, length(coalesce(nickname, '')) < 3 OR length(coalesce(password, '')) < 8
                   OR (length(coalesce(email, '')) > 0 AND length(coalesce(email, '')) < 6) AS rej
           FROM account_signup),
@@ -158,7 +159,20 @@ m AS (SELECT ok.request_id,
         FROM ok),
 ok2 AS (SELECT ok.*, m.mid, a.type AS mtype FROM ok JOIN m USING (request_id)
           LEFT JOIN account a ON a.id = m.mid AND NOT a.is_deleted),
-new AS (SELECT *, min(request_id) OVER (PARTITION BY login) AS first FROM ok2 WHERE mid IS NULL),
+seq AS (SELECT *, row_number() OVER (ORDER BY request_id) AS n, CASE WHEN length(email) > 5 THEN lower(email) END AS mk
+          FROM ok2 WHERE mid IS NULL),
+walk AS (SELECT 0::BIGINT AS n, []::VARCHAR[] AS logins, []::VARCHAR[] AS mails, []::BIGINT[] AS ids, NULL::BIGINT AS first
+         UNION ALL
+         SELECT n, CASE WHEN f IS NULL THEN list_append(logins, login) ELSE logins END,
+                CASE WHEN f IS NULL THEN list_append(mails, coalesce(mk, '')) ELSE mails END,
+                CASE WHEN f IS NULL THEN list_append(ids, request_id::BIGINT) ELSE ids END, coalesce(f, request_id)
+           FROM (SELECT s.n, s.login, s.mk, s.request_id, w.logins, w.mails, w.ids,
+                        least(w.ids[list_position(w.logins, s.login)], w.ids[list_position(w.mails, s.mk)]) AS f
+                   FROM walk w JOIN seq s ON s.n = w.n + 1) x),
+new AS (SELECT seq.*, walk.first FROM seq JOIN walk USING (n)),
+ex AS (SELECT *, lower(CASE WHEN type LIKE 'account.%' THEN type ELSE 'account.basic' END) AS it FROM ok2 WHERE mid IS NOT NULL),
+fx AS (SELECT mid, min(request_id) AS f, arg_min(it, request_id) AS nt FROM ex
+        WHERE mtype = 'account.expired' AND it <> 'account.expired' GROUP BY mid),
 wanted AS (SELECT DISTINCT locale FROM new),
 ranked AS (SELECT w.locale, l.code, row_number() OVER (PARTITION BY w.locale ORDER BY
                   CASE WHEN l.code = w.locale THEN 0 ELSE 1 END,
@@ -175,11 +189,10 @@ SELECT n.request_id, CASE WHEN n.request_id = n.first THEN 'insert' ELSE 'duplic
        lower(CASE WHEN n.type LIKE 'account.%' THEN n.type ELSE 'account.basic' END) AS type
   FROM new n LEFT JOIN ranked k ON k.locale = n.locale AND k.rn = 1
 UNION ALL
-SELECT request_id, CASE WHEN mtype = 'account.expired' THEN 'reactivate' ELSE 'match' END, CAST(mid AS BIGINT),
-       NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
-       CASE WHEN mtype = 'account.expired' THEN lower(CASE WHEN type LIKE 'account.%' THEN type ELSE 'account.basic' END)
-            ELSE mtype END
-  FROM ok2 WHERE mid IS NOT NULL
+SELECT request_id, CASE WHEN mtype = 'account.expired' AND NOT coalesce(request_id > f, false) THEN 'reactivate' ELSE 'match' END,
+       CAST(ex.mid AS BIGINT), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+       CASE WHEN mtype <> 'account.expired' THEN mtype WHEN coalesce(request_id > f, false) THEN nt ELSE it END
+  FROM ex LEFT JOIN fx ON fx.mid = ex.mid
 UNION ALL
 SELECT request_id, 'reject', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM r WHERE rej
 """
@@ -233,23 +246,25 @@ def m8_update_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _M9 = with_fixtures("file_register", "account", "file") + f"""
 , a AS (SELECT id AS account_id, type IN ('account.global', 'account.admin') AS admin FROM account WHERE NOT is_deleted),
-f AS (SELECT account_id AS owner, guid, id AS file_id FROM file
-       WHERE NOT is_deleted AND coalesce(expires_at, TIMESTAMP '{AS_OF}' + INTERVAL 30 DAY) >= TIMESTAMP '{AS_OF}'),
-j AS (SELECT r.*, coalesce(r.file_guid, '') AS g, a.admin, f.owner, f.file_id
+f AS (SELECT account_id AS owner, guid, id AS file_id, expires_at AS runs_to FROM file WHERE NOT is_deleted),
+j AS (SELECT r.*, coalesce(r.file_guid, '') AS g, a.admin, f.owner, f.file_id, f.runs_to
         FROM file_register r LEFT JOIN a ON a.account_id = r.account_id
         LEFT JOIN f ON f.guid = coalesce(r.file_guid, '')),
 d AS (SELECT *,
         length(coalesce(local_name, '')) >= 3 AND length(coalesce(file_name, '')) >= 3 AND length(coalesce(mimetype, '')) >= 3
         AND (length(g) = 0 OR length(g) = 36) AND coalesce(bytes, 0) >= 1 AS valid,
-        admin IS NOT NULL AND (admin OR coalesce(owner = account_id, false) OR length(g) = 0) AS can
+        admin IS NOT NULL AND (admin OR length(g) = 0 OR coalesce(owner = account_id
+          AND coalesce(runs_to, TIMESTAMP '{AS_OF}' + INTERVAL 30 DAY) >= TIMESTAMP '{AS_OF}', false)) AS can
         FROM j)
 SELECT request_id, account_id,
        CASE WHEN NOT valid OR NOT coalesce(can, false) THEN 'reject'
             WHEN length(g) = 36 AND file_id IS NULL THEN 'reject'
             WHEN length(g) = 36 THEN 'update' ELSE 'insert' END AS action,
        CASE WHEN length(g) = 36 THEN file_id END AS file_id,
-       trim(left(local_name, 64)) AS name, trim(left(file_name, 256)) AS public_name, trim(left(path, 256)) AS location,
-       greatest(coalesce(bytes, 0), 0) AS bytes, lower(trim(left(mimetype, 64))) AS mimetype,
+       CASE WHEN length(g) <> 36 THEN trim(left(local_name, 64)) END AS name, trim(left(file_name, 256)) AS public_name,
+       CASE WHEN length(g) <> 36 THEN trim(left(path, 256)) END AS location,
+       CASE WHEN length(g) <> 36 THEN greatest(coalesce(bytes, 0), 0) END AS bytes,
+       CASE WHEN length(g) <> 36 THEN file_hash END AS hash, lower(trim(left(mimetype, 64))) AS mimetype,
        strftime(CASE WHEN length(coalesce(expires_at, '')) >= 10 THEN TRY_CAST(expires_at AS TIMESTAMP) END, '%Y-%m-%d %H:%M:%S') AS expires_at,
        lower(coalesce(access, '')) <> 'public-read-write' AS is_readonly, lower(coalesce(access, '')) <> 'private' AS is_public
   FROM d
@@ -292,7 +307,7 @@ r AS (SELECT c.*, coalesce(c.site_id, 0) AS sid, lower(c.url) IN (SELECT url FRO
         FROM site_change c LEFT JOIN account a ON a.id = c.account_id AND NOT a.is_deleted
         LEFT JOIN loc l ON l.lk = lower(c.locale)
         LEFT JOIN site s ON s.id = coalesce(c.site_id, 0) AND NOT s.is_deleted),
-d AS (SELECT request_id,
+d0 AS (SELECT request_id,
              CASE WHEN acct_locale IS NULL AND account_id IS NOT NULL AND sid <= 0 THEN 'reject'
                   WHEN sid <= 0 AND url_taken THEN 'reject' WHEN sid <= 0 THEN 'insert'
                   WHEN site_exists THEN 'update' ELSE 'reject' END AS action,
@@ -301,7 +316,10 @@ d AS (SELECT request_id,
              lower(trim(left(keywords, 1024))) AS keywords,
              CASE WHEN sid <= 0 THEN coalesce(loc, acct_locale) ELSE loc END AS locale_code,
              upper(coalesce(https, '')) = 'Y' AS https, lower(theme) AS theme, lower(url) AS url
-        FROM r)
+        FROM r),
+d AS (SELECT x.* REPLACE (CASE WHEN action = 'insert' AND EXISTS (SELECT 1 FROM d0 y WHERE y.url = x.url AND y.action <> 'reject'
+                                                                  AND y.request_id < x.request_id)
+                               THEN 'reject' ELSE action END AS action) FROM d0 x)
 SELECT d.*, CASE WHEN d.action <> 'reject' THEN u.url_id END AS url_id,
        CASE WHEN d.action = 'reject' THEN NULL WHEN u.url_id IS NULL THEN 'insert_active' ELSE 'activate' END AS url_action
   FROM d LEFT JOIN (SELECT site_id, url, max(id) AS url_id FROM site_url WHERE NOT is_deleted GROUP BY site_id, url) u

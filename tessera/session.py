@@ -7,6 +7,7 @@ These helpers exist for tests, the bench and the command line.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -27,12 +28,12 @@ BASE_CONF = {
 
 
 def scale_conf(input_bytes: int, target_partition_bytes: int = 128 << 20,
-               min_partitions: int = 200, max_partitions: int = 100_000) -> dict[str, str]:
+               min_partitions: int = 1) -> dict[str, str]:
     """Settings sized to the input: enough initial shuffle partitions that
     each holds about ``target_partition_bytes`` (AQE then coalesces small
     ones and splits skewed ones), scan splits of the same size, and AQE's
-    advisory size set to match.  For 100 TB this gives the 100,000 cap."""
-    parts = max(min_partitions, min(max_partitions, -(-input_bytes // target_partition_bytes)))
+    advisory size set to match.  100 TB gives about 800,000 partitions."""
+    parts = max(min_partitions, -(-input_bytes // target_partition_bytes))
     return {
         "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
@@ -66,12 +67,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting points at shared storage and is used as is.
-    Only when it is unset (local tests) do we create a scratch folder.
+    Only in local mode, where driver and executors are one process, is a
+    scratch folder made if it is unset; elsewhere that is an error, since
+    executors cannot see a folder of the driver's machine.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         current = tempfile.mkdtemp(prefix="tessera-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
