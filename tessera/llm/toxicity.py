@@ -172,7 +172,8 @@ def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     docs = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("fold", fold(F.col("id")))
     known = (labels.select(F.col(id_col).cast("string").alias("id"), F.col(label_col).cast("int").alias("label"))
              .where("label IN (0, 1)").groupBy("id").agg(F.max("label").alias("label")).where(fold(F.col("id")) != 0))
-    train = docs.where("fold <> 0").join(known, "id")
+    # labels grow with the documents: the same shuffled join at every size
+    train = docs.where("fold <> 0").join(known.hint("shuffle_hash"), "id")
 
     def count(batches):
         for pdf in batches:
