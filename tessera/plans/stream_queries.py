@@ -80,7 +80,7 @@ def x3_token_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     S.token_sessions(spark, f"{base}/usage", f"{base}/sessions", f"{base}/ckpt-x3", SESSION_GAP_DAYS,
                      schema=schema.simpleString()[len("struct<"):-1].replace(":", " "),
                      output_mode="complete").awaitTermination()
-    out = S.latest(spark, f"{base}/sessions", ["token_id", "session_start"])
+    out = S.newest(spark, f"{base}/sessions")
     return out.select("token_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss.SSS").alias("session_start"),
                       F.date_format("session_end", "yyyy-MM-dd HH:mm:ss.SSS").alias("session_end"), "requests")
 

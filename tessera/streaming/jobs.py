@@ -6,7 +6,8 @@ exactly where it stopped.  Sinks that are not plain appends (X2, X3 in
 update/complete mode, X4) go through ``foreachBatch`` and write each
 micro-batch to its own ``batch_id=<n>`` partition with overwrite, so a
 re-run of the same batch after a failure replaces, never duplicates, its
-output.  ``latest`` reads such a change log back as one row per key.
+output.  ``latest`` reads such a change log back as one row per key, and
+``newest`` the last batch of a log in which every batch holds all rows.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ USAGE_RAW_SCHEMA = (
     "seconds decimal(16,8), sqlops int, is_deleted boolean"
 )
 NOTE_VERSION_SCHEMA = "note_id int, version int, type string, content string, is_private boolean"
+NOTE_LOG_SCHEMA = NOTE_VERSION_SCHEMA + ", hash string, guid string, batch_id long, bucket int"
 
 
 def _start(writer, trigger_once: bool) -> StreamingQuery:
@@ -47,6 +49,20 @@ def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
                .select(*keys, "_r.*"))
 
 
+def newest(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the newest batch of a log whose every batch is complete
+    (complete mode): what earlier batches hold is superseded, rows that are
+    gone included."""
+    log = spark.read.parquet(path)
+    last = log.agg(F.max("batch_id")).first()[0]  # one number
+    return log.filter(F.col("batch_id") == last).drop("batch_id")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 # ----------------------------------------------------------------------- X1
 def usage_stream(spark: SparkSession, src: str, out: str, ckpt: str, home_url: str = "",
                  locales: list[str] | None = None, watermark: str = "1 day",
@@ -117,7 +133,8 @@ def token_sessions(spark: SparkSession, src: str, out: str, ckpt: str, lifespan_
                    trigger_once: bool = True) -> StreamingQuery:
     """Session rows per token.  ``append`` (default) emits a session
     once the watermark passes its end; ``complete`` re-emits all sessions
-    each batch (used to replay a finite set of files to the end)."""
+    each batch (used to replay a finite set of files to the end; read it back
+    with ``newest``, since later events can merge earlier sessions)."""
     reader = spark.readStream
     if schema:
         reader = reader.schema(schema)
@@ -143,8 +160,8 @@ def note_changes_stream(spark: SparkSession, src: str, out_current: str, out_his
                         trigger_once: bool = True) -> StreamingQuery:
     """Note version files → current notes and history (M2 per batch).
 
-    For each micro-batch the previous current row of every touched note is
-    read back, M2 runs on previous + new versions, the new current rows go
+    For each micro-batch the current row that earlier batches left for every
+    touched note is read back (a retried batch never sees its own output), M2 runs on previous + new versions, the new current rows go
     to the current change log and the history rows to the history log, each
     in the batch's own partition (idempotent on retry).
 
@@ -158,14 +175,14 @@ def note_changes_stream(spark: SparkSession, src: str, out_current: str, out_his
         try:
             ids = batch.select("note_id", "bucket").distinct()
             buckets = [r.bucket for r in batch.select("bucket").distinct().collect()]
-            try:
-                log = spark.read.parquet(out_current).filter(F.col("bucket").isin(buckets))
-                cols = [c for c in log.columns if c not in ("note_id", "batch_id", "bucket")]
+            keep = ["version", "type", "content", "is_private", "guid"]
+            if _exists(spark, out_current):
+                log = spark.read.schema(NOTE_LOG_SCHEMA).parquet(out_current).filter(
+                    F.col("bucket").isin(buckets) & (F.col("batch_id") < batch_id))
                 prev = (log.join(ids.drop("bucket"), "note_id", "left_semi")
-                        .groupBy("note_id").agg(F.max_by(F.struct(*cols), "batch_id").alias("_r"))
-                        .select("note_id", "_r.*")
-                        .select("note_id", "version", "type", "content", "is_private", "guid"))
-            except Exception:  # first batch: no current table yet
+                        .groupBy("note_id").agg(F.max_by(F.struct(*keep), "batch_id").alias("_r"))
+                        .select("note_id", "_r.*"))
+            else:  # nothing written yet
                 prev = spark.createDataFrame([], NOTE_VERSION_SCHEMA + ", guid string")
             notes, history = merge_notes(prev, batch.drop("bucket"), as_of)
             (notes.withColumn("bucket", _note_bucket(F.col("note_id")))
@@ -184,8 +201,12 @@ def note_changes_stream(spark: SparkSession, src: str, out_current: str, out_his
 def compact(spark: SparkSession, path: str, keys: list[str], out: str) -> DataFrame:
     """Rewrite a per-batch change log as one snapshot partition holding the
     newest row per key (``batch_id`` = the newest batch seen), written to
-    ``out``; readers of ``out`` (``latest``) see the same rows as before,
-    and later batches can keep appending next to it."""
-    newest = spark.read.parquet(path).agg(F.max("batch_id")).first()[0]  # one number
-    latest(spark, path, keys).write.mode("overwrite").parquet(f"{out}/batch_id={newest}")
+    ``out`` in the layout of the log (``bucket`` folders where it has them);
+    readers of ``out`` (``latest``) see the same rows as before, and later
+    batches can keep appending next to it."""
+    last = spark.read.parquet(path).agg(F.max("batch_id")).first()[0]  # one number
+    writer = (rows := latest(spark, path, keys)).write.mode("overwrite")
+    if "bucket" in rows.columns:
+        writer = writer.partitionBy("bucket")
+    writer.parquet(f"{out}/batch_id={last}")
     return spark.read.parquet(out)

@@ -1,3 +1,4 @@
+import os
 import uuid
 
 from tessera.fixtures import HOME_URL, fixture
@@ -41,3 +42,49 @@ def test_compact_keeps_latest_rows(spark):
     snap = S.compact(spark, f"{base}/log", ["k"], f"{base}/snap")
     assert sorted((r.k, r.v) for r in S.latest(spark, f"{base}/snap", ["k"]).collect()) == [(1, "c"), (2, "b")]
     assert snap.select("batch_id").distinct().first()[0] == 1
+
+
+def _versions(spark, rows, path):
+    spark.createDataFrame(rows, S.NOTE_VERSION_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_note_stream_retry_keeps_history(spark):
+    """A batch that is run again after its commit was lost, and one that
+    follows a compacted log, write what they would have written at first."""
+    base = scratch_path(spark, f"t-x4-{uuid.uuid4().hex[:8]}")
+
+    def run(current):
+        S.note_changes_stream(spark, f"{base}/in", current, f"{base}/history", f"{base}/ck", "2024-01-01").awaitTermination()
+
+    def rows(path, keep=("note_id", "version", "content")):
+        return sorted(tuple(r) for r in spark.read.parquet(path).select(*keep).collect())
+
+    _versions(spark, [(1, 1, "note.normal", "A", False), (2, 1, "note.normal", "x", False)], f"{base}/in")
+    run(f"{base}/current")
+    _versions(spark, [(1, 2, "note.normal", "B", False)], f"{base}/in")
+    run(f"{base}/current")
+    assert rows(f"{base}/history") == [(1, 1, "A")]
+    commits = f"{base}/ck/commits"
+    for name in ("1", ".1.crc"):
+        if os.path.exists(f"{commits}/{name}"):
+            os.remove(f"{commits}/{name}")
+    run(f"{base}/current")  # the second batch again
+    assert rows(f"{base}/history") == [(1, 1, "A")]
+    guid = S.latest(spark, f"{base}/current", ["note_id"]).filter("note_id = 1").first().guid
+    S.compact(spark, f"{base}/current", ["note_id"], f"{base}/snapshot")
+    _versions(spark, [(1, 3, "note.normal", "C", False), (3, 1, "note.normal", "new", False)], f"{base}/in")
+    run(f"{base}/snapshot")
+    assert rows(f"{base}/history") == [(1, 1, "A"), (1, 2, "B")]
+    now = {r.note_id: r for r in S.latest(spark, f"{base}/snapshot", ["note_id"]).collect()}
+    assert {k: r.content for k, r in now.items()} == {1: "C", 2: "x", 3: "new"} and now[1].guid == guid
+
+
+def test_sessions_merge_when_events_arrive_out_of_order(spark):
+    base = scratch_path(spark, f"t-x3-{uuid.uuid4().hex[:8]}")
+    for part in (["2024-01-03 12:00:00", "2024-01-05 06:00:00"], ["2024-01-04 08:00:00"]):
+        spark.createDataFrame([(7, t, False) for t in part], "token_id int, event_at string, is_deleted boolean") \
+            .selectExpr("token_id", "CAST(event_at AS TIMESTAMP) AS event_at", "is_deleted").coalesce(1).write.mode("append").parquet(f"{base}/in")
+        S.token_sessions(spark, f"{base}/in", f"{base}/out", f"{base}/ck", 1, "10 days",
+                         schema="token_id int, event_at timestamp, is_deleted boolean", output_mode="complete").awaitTermination()
+    got = [(r.token_id, str(r.first_seen), str(r.last_seen), r.requests) for r in S.newest(spark, f"{base}/out").collect()]
+    assert got == [(7, "2024-01-03 12:00:00", "2024-01-05 06:00:00", 3)]

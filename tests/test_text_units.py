@@ -26,7 +26,10 @@ def test_scrub_note_lists_code_and_escape():
 def test_footnotes_nested_and_numbered():
     text = "Start [1. first note] middle [2. second [with] nest] end"
     assert T.extract_footnotes(text) == ["first note", "second [with] nest"]
-    assert T.extract_footnotes("[1. at start]") == []  # a bracket at position 0 is not scanned
+    assert T.extract_footnotes("[1. at start]") == ["at start"]
+    assert T.extract_footnotes("".join(f"x [{n}. note {n}] " for n in range(1, 151))) == [f"note {n}" for n in range(1, 151)]
+    assert T.extract_footnotes("[open [1. a] ] [2.  ] [3. b] [1. a] [never") == ["a", "b"]
+    assert T.extract_footnotes(None) == []
     assert T.extract_footnotes("no notes here") == []
 
 
