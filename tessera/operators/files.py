@@ -152,53 +152,52 @@ def _sequential_admission(rows: DataFrame, quota_col: str, partitions: int) -> D
         _admit_stream(quota_col), "id int, account_id int, accepted boolean, remaining long")
 
 
-def _phase_admission(cands: DataFrame, max_phases: int, partitions: int) -> DataFrame:
-    """Late candidates of hot accounts, decided in parallel phases.
-
-    In each phase the files that can still fit (bytes ≤ remainder R) get a
-    skew-safe running sum C in arrival order: files with C ≤ R are accepted
-    (every earlier one fitted), the first with C > R overflows and is
-    rejected, files that no longer fit are rejected, and the files after the
-    overflow continue with R − (C − bytes) of the overflowing file.  The
-    pool is checkpointed each phase (iterative, lineage cut); what is left
-    after ``max_phases`` goes through the sequential pass.
-    """
+def _phase_admission(cands: DataFrame, partitions: int) -> DataFrame:
+    """Late candidates of hot accounts, decided in parallel phases by size class.
+
+    While an account's remainder R is in [2^k, 2^(k+1)), every file below 2^k
+    fits, and the first larger one that fits takes R below 2^k.  So in a phase
+    all small files are accepted, with a skew-safe running sum S in arrival
+    order, up to the event that takes R below 2^k: the first large file with
+    bytes <= R - S, or the small file whose S does it.  Large files before the
+    event do not fit.  The files after it go on with the new remainder, at most
+    half of R, so there are at most as many phases as the quota has bits; the
+    pool is checkpointed after each (iterative, lineage cut)."""
     from tessera.operators.sequence import _materialise, running_sum
 
     decided: list[DataFrame] = []
     pool = cands.select("id", "account_id", "arrival", "bytes", "_R")
-    for _ in range(max_phases):
-        decided.append(pool.filter(F.col("bytes") > F.col("_R")).select("id", F.lit(False).alias("_acc")))
-        live = pool.filter(F.col("bytes") <= F.col("_R"))
-        cs = running_sum(live, "account_id", ["arrival", "id"], "bytes", "_C", partitions=partitions)
-        decided.append(cs.filter(F.col("_C") <= F.col("_R")).select("id", F.lit(True).alias("_acc")))
-        over = cs.filter(F.col("_C") > F.col("_R"))
-        first = over.groupBy("account_id").agg(F.min_by(F.struct("arrival", "id", "_C", "bytes"),
-                                                        F.struct("arrival", "id")).alias("_o"))
-        over = over.join(first, "account_id")
-        at_o = (F.col("arrival") == F.col("_o.arrival")) & (F.col("id") == F.col("_o.id"))
-        after_o = (F.col("arrival") > F.col("_o.arrival")) | ((F.col("arrival") == F.col("_o.arrival"))
-                                                              & (F.col("id") > F.col("_o.id")))
-        decided.append(over.filter(at_o).select("id", F.lit(False).alias("_acc")))
-        pool = _materialise(over.filter(after_o).select(
-            "id", "account_id", "arrival", "bytes", (F.col("_R") - (F.col("_o._C") - F.col("_o.bytes"))).alias("_R")))
-        if pool.limit(1).count() == 0:  # nothing left to decide
+    while True:
+        pool = _materialise(pool.filter(F.col("bytes") <= F.col("_R")))  # the others can never fit again
+        if pool.isEmpty():
             break
-    decided.append(_sequential_admission(pool, "_R", partitions).select("id", F.col("accepted").alias("_acc")))
-    out = decided[0]
-    for d in decided[1:]:
+        floor = F.pow(F.lit(2.0), F.floor(F.log2("_R"))).cast("long")
+        x = pool.withColumn("_small", F.col("bytes") < floor).withColumn("_used", F.when(F.col("_small"), F.col("bytes")).otherwise(F.lit(0)).cast("long"))
+        x = running_sum(x, "account_id", ["arrival", "id"], "_used", "_S", partitions=partitions)
+        left = F.col("_R") - F.col("_S")
+        ends = F.when(F.col("_small"), left < floor).otherwise(F.col("bytes") <= left)
+        at = F.struct("arrival", "id")
+        event = x.filter(ends).groupBy("account_id").agg(
+            F.min(at).alias("_at"), F.min_by(left - F.when(F.col("_small"), F.lit(0)).otherwise(F.col("bytes")), at).alias("_next"))
+        x = _materialise(x.join(event, "account_id", "left"))
+        before = F.col("_at").isNull() | (at <= F.col("_at"))
+        decided.append(x.filter(before).select("id", (F.col("_small") | F.coalesce(at == F.col("_at"), F.lit(False))).alias("_acc")))
+        pool = x.filter(~before).select("id", "account_id", "arrival", "bytes", F.col("_next").alias("_R"))
+    out = cands.limit(0).select("id", F.lit(False).alias("_acc"))  # what no phase accepted is refused by the caller
+    for d in decided:
         out = out.unionByName(d)
     return out
 
 
 def admit_uploads(uploads: DataFrame, quotas: DataFrame, partitions: int | None = None,
-                  hot_threshold: int = 1_000_000, max_phases: int = 8) -> DataFrame:
+                  hot_threshold: int = 1_000_000) -> DataFrame:
     """Greedy upload admission per account in arrival order: a file is
     accepted if 0 < bytes ≤ remaining, and only accepted files use space
     (so it is not a plain running sum).  Output: id, account_id, accepted,
     remaining (after the file).
 
-    ``uploads``: id, account_id, arrival, bytes; ``quotas``: account_id, quota.
+    ``uploads``: id (unique), account_id, arrival, bytes (NULL: nothing to
+    admit); ``quotas``: account_id, quota.
 
     Exact, and parallel where the recurrence allows it:
 
@@ -209,16 +208,16 @@ def admit_uploads(uploads: DataFrame, quotas: DataFrame, partitions: int | None
     2. After that first overflow the remainder R is below the overflowing
        file's size and only shrinks, so only files with 0 < bytes ≤ R can
        still be accepted.  An account with more than ``hot_threshold`` such
-       candidates is decided in parallel phases (``_phase_admission``); the
-       others go through the sequential pass (``mapInPandas`` over
-       account-ordered rows, bounded memory).
+       candidates is decided in parallel phases, exactly and whatever their
+       number (``_phase_admission``); the others, bounded by that number, go
+       through the sequential pass (``mapInPandas`` over account-ordered rows).
     3. Remaining for every later file is R minus a second skew-safe running
        sum of the accepted candidate sizes.
     """
     from tessera.operators.sequence import running_sum
 
     n = partitions or int(uploads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    u = uploads.select("id", "account_id", "arrival", F.col("bytes").cast("long").alias("bytes"))
+    u = uploads.select("id", "account_id", "arrival", F.coalesce(F.col("bytes").cast("long"), F.lit(0)).alias("bytes"))
     j = u.join(quotas.select("account_id", F.col("quota").cast("long").alias("_quota")), "account_id", "left") \
         .fillna(0, ["_quota"]).withColumn("_pos", F.greatest(F.col("bytes"), F.lit(0)))
     p = running_sum(j, "account_id", ["arrival", "id"], "_pos", "_P", partitions=n)
@@ -241,7 +240,7 @@ def admit_uploads(uploads: DataFrame, quotas: DataFrame, partitions: int | None
         cands = _materialise(cands)
         cold = cands.join(hot, "account_id", "left_anti")
         decided = _sequential_admission(cold, "_R", n).select("id", F.col("accepted").alias("_acc")).unionByName(
-            _phase_admission(cands.join(hot, "account_id", "left_semi"), max_phases, n))
+            _phase_admission(cands.join(hot, "account_id", "left_semi"), n))
     tail = tail.join(decided, "id", "left").withColumn("accepted", F.coalesce("_acc", F.lit(False))) \
         .withColumn("_used", F.when(F.col("accepted"), F.col("bytes")).otherwise(F.lit(0)).cast("long"))
     tail = running_sum(tail.select("id", "account_id", "arrival", "accepted", "_used", "_R"), "account_id",

@@ -40,7 +40,12 @@ def test_admit_uploads_phases_match_brute_force(spark):
     df = spark.createDataFrame(rows, "id int, account_id int, arrival int, bytes int")
     quotas = df.select("account_id").distinct().selectExpr("account_id", "1000 AS quota")
     want = _brute(rows, 1000)
-    for phases in (1, 3, 8):
-        got = {r.id: (r.accepted, r.remaining)
-               for r in FL.admit_uploads(df, quotas, partitions=5, hot_threshold=0, max_phases=phases).collect()}
-        assert got == want, phases
+    got = {r.id: (r.accepted, r.remaining)
+           for r in FL.admit_uploads(df, quotas, partitions=5, hot_threshold=0).collect()}
+    assert got == want
+
+
+def test_admit_uploads_null_sizes_are_refused(spark):
+    df = spark.createDataFrame([(1, 1, 1, None), (2, 1, 2, 5)], "id int, account_id int, arrival int, bytes int")
+    q = spark.createDataFrame([(1, 10)], "account_id int, quota int")
+    assert {r.id: (r.accepted, r.remaining) for r in FL.admit_uploads(df, q, partitions=2).collect()} == {1: (False, 10), 2: (True, 5)}
