@@ -9,6 +9,8 @@ engine and RE2 (the oracle's) agree.
 
 from __future__ import annotations
 
+import html.entities
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,24 +72,45 @@ def strip_tags(c: Column) -> Column:
     return F.regexp_replace(c, r"<[^>]*>", "")
 
 
-# Named HTML entities decoded by the text jobs (the common
-# set; numeric entities are decoded separately for the ASCII range).
-HTML_ENTITIES = [
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-    ("&ndash;", "–"), ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"),
-    ("&ldquo;", "“"), ("&rdquo;", "”"), ("&hellip;", "…"), ("&copy;", "©"),
-    ("&reg;", "®"), ("&amp;", "&"),
-]
-
-
-def html_decode(c: Column) -> Column:
-    """Decode the common named entities ('&amp;' last, so '&amp;lt;' → '&lt;').
-
-    (No "contains '&'" guard: a CASE over the input would evaluate the whole
-    upstream expression again in each branch.)"""
-    for ent, ch in HTML_ENTITIES:
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
+def _entity_table(names: dict[str, str]) -> str:
+    """One literal that a name is looked up in by position: every name between
+    \\x01 and \\x02, its text behind."""
+    return "\x01" + "\x01".join(f"{n}\x02{t}" for n, t in sorted(names.items())) + "\x01"
+
+
+#: Named entities, from Python's public tables: HTML 4.01, and HTML 5 names that
+#: end with a semicolon.
+_ENTITIES = {
+    4: _entity_table({n: chr(c) for n, c in html.entities.name2codepoint.items()}),
+    5: _entity_table({n[:-1]: t for n, t in html.entities.html5.items() if n.endswith(";")}),
+}
+_REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+
+
+def html_decode(c: Column, version: int = 4) -> Column:
+    """Decode HTML character references, named (HTML 4.01 or 5) and numeric,
+    each once ('&amp;lt;' → '&lt;'); unknown names and code points that are no
+    text stay as they are.
+
+    The text is cut at '&' once; each piece starts with its reference, if any,
+    which is looked up in one literal."""
+    table = F.lit(_ENTITIES[version])
+
+    def decoded(piece: Column) -> Column:
+        name = F.regexp_extract(piece, _REFERENCE, 1)
+        rest = F.substr(piece, F.length(name) + 2)
+        is_hex = F.lower(F.substr(name, F.lit(2), F.lit(1))) == "x"
+        code = F.when(is_hex, F.conv(F.substr(name, F.lit(3)), 16, 10)).otherwise(F.substr(name, F.lit(2))).try_cast("int")
+        is_text = code.isin(9, 10, 13) | code.between(32, 126) | code.between(160, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        by_code = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        at = F.call_function("locate", F.concat(F.lit("\x01"), name, F.lit("\x02")), table)
+        by_name = F.substring_index(F.substr(table, at + F.length(name) + 2, F.lit(8)), "\x01", 1)
+        return (F.when(name == "", F.concat(F.lit("&"), piece))
+                .when(F.left(name, F.lit(1)) == "#", F.when(is_text, F.concat(by_code, rest)).otherwise(F.concat(F.lit("&"), piece)))
+                .when(at > 0, F.concat(by_name, rest)).otherwise(F.concat(F.lit("&"), piece)))
+
+    pieces = F.split(c, "&")
+    return F.array_join(F.transform(pieces, lambda x, i: F.when(i == 0, x).otherwise(decoded(x))), "")
 
 
 # Characters folded for slugs (accented Latin letters to

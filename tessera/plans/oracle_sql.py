@@ -107,11 +107,14 @@ def strip_tags_sql(x: str) -> str:
 
 
 def html_decode_sql(x: str) -> str:
-    from tessera.functions.text import HTML_ENTITIES
-
-    for ent, ch in HTML_ENTITIES:
-        x = f"replace({x}, {q(ent)}, {q(ch)})"
-    return x
+    """Character references, named ones among those written out here."""
+    names = {"amp": 38, "lt": 60, "gt": 62, "quot": 34, "nbsp": 160, "copy": 169, "reg": 174, "middot": 183, "eacute": 233,
+             "ndash": 8211, "mdash": 8212, "lsquo": 8216, "rsquo": 8217, "ldquo": 8220, "rdquo": 8221, "hellip": 8230}
+    known = "MAP {" + ", ".join(f"'{n}': chr({c})" for n, c in names.items()) + "}"
+    ref = "regexp_extract(p, '^(#[0-9]+|[A-Za-z][A-Za-z0-9]*);', 1)"
+    one = (f"CASE WHEN {ref} = '' THEN '&' || p WHEN {ref}[1] = '#' THEN chr(CAST({ref}[2:] AS INT)) || p[length({ref}) + 2:]"
+           f" WHEN {known}[{ref}] IS NOT NULL THEN {known}[{ref}] || p[length({ref}) + 2:] ELSE '&' || p END")
+    return f"substr(array_to_string(list_transform(string_split({x}, '&'), lambda p: {one}), ''), 2)"
 
 
 def transliterate_sql(x: str) -> str:

@@ -39,6 +39,16 @@ def test_footnotes_job(spark):
     assert rows == [(1, 1, "x"), (1, 2, "y")]
 
 
+def test_html_decode_named_and_numeric(spark):
+    from tessera.functions.text import html_decode
+
+    cases = [("caf&eacute; &#8217;&#233;&#x1F600;", 4, "café ’é😀"), ("&amp;lt; &lt;&gt;&quot;&nbsp;|", 4, '&lt; <>"\u00a0|'),
+             ("&apos; &nosuch; & &; &#0; &#xD800; a&b", 4, "&apos; &nosuch; & &; &#0; &#xD800; a&b"),
+             ("&apos;&hearts;&NotEqualTilde;&AMP;", 5, "'♥≂̸&"), ("", 4, ""), (None, 5, None), ("&eacute", 4, "&eacute")]
+    for text, version, want in cases:
+        assert spark.createDataFrame([(text,)], "t string").select(html_decode(F.col("t"), version)).first()[0] == want, text
+
+
 def test_hashtags_exact_dedup(spark):
     df = spark.createDataFrame([("Party at #party and #art, then #Art! #",)], "t string")
     assert T.hashtags(df, "t").first().hashtags == ["party", "art"]
