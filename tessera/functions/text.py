@@ -140,11 +140,6 @@ def fullwidth_to_ascii(c: Column) -> Column:
     return F.translate(c, "".join(src) + "　", "".join(dst) + " ")
 
 
-def first_seen_distinct(arr: Column) -> Column:
-    """array_distinct keeps the first occurrence order."""
-    return F.array_distinct(arr)
-
-
 def indexed(arr: Column, pos: str = "pos", value: str = "word") -> Column:
     """Generator of (position, element) rows of an array.  Written as
     ``inline(transform(arr, (x, i) -> struct(i, x)))``, which measured

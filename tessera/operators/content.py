@@ -75,15 +75,19 @@ def _json_str(c: Column) -> Column:
 
 
 def _json_value(v: Column) -> Column:
-    """Numeric text → JSON number (as a double), else a JSON string."""
-    num = F.trim(v).try_cast("double")
-    return F.when(num.isNotNull(), num.cast("string")).otherwise(_json_str(no_null(v)))
+    """Decimal text → JSON number (as a double), else a JSON string ('NaN',
+    '1d' and numbers beyond a double are strings)."""
+    text = F.trim(v)
+    num = F.when(text.rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"), text.try_cast("double"))
+    return F.when(F.abs(num) < float("inf"), num.cast("string")).otherwise(_json_str(no_null(v)))
 
 
 def _members(df: DataFrame, keys: list[str], name: str, val: str) -> DataFrame:
-    """Group member rows '"name":value' into one '{...}' object per keys."""
+    """Group member rows '"name":value' into one '{...}' object per keys.  Of
+    rows with one name an object wins over a value, then the largest."""
+    one = df.groupBy(*keys, name).agg(F.max(F.struct(F.col(val).startswith("{").alias("o"), F.col(val).alias("v")))["v"].alias(val))
     member = F.concat(_json_str(F.col(name)), F.lit(":"), F.col(val))
-    return df.groupBy(*keys).agg(F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list(member)), ","),
+    return one.groupBy(*keys).agg(F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list(member)), ","),
                                           F.lit("}")).alias("obj"))
 
 

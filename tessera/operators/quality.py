@@ -134,5 +134,3 @@ def schema_drift(expected: DataFrame, actual: DataFrame, key: tuple[str, ...] =
     return (j.select(*key, F.explode(F.array_compact(F.array(*issues))).alias("issue")))
 
 
-def drift_counts(issues: DataFrame) -> DataFrame:
-    return issues.groupBy("table_name").agg(F.count("*").alias("issues"))

@@ -106,7 +106,8 @@ def site_daily_stats(usage: DataFrame, as_of: str, days: int = 14,
     the report rule (cap 30, default 14); the calendar holds ``days + 1``
     days ending at ``as_of``.  With ``site_id=None`` every site is reported
     and the calendar is crossed with the set of sites (``sites`` or, if not
-    given, the distinct sites of ``usage``).
+    given, the distinct sites of ``usage``, for which the whole log is read);
+    rows without a site are not reported.
 
     Plan: one pass over the window rows with map-side partial aggregation
     per (site, day); exact distinct counts use Spark's distinct-aggregate
@@ -117,6 +118,7 @@ def site_daily_stats(usage: DataFrame, as_of: str, days: int = 14,
     """
     days = clamp_days(days)
     rows = _window_rows(usage, days, as_of, site_id)
+    rows = rows.filter(F.col("site_id").isNotNull())
     page = ~F.col("is_file")
     visitor = F.concat(F.coalesce(F.col("from_ip"), F.lit("")), F.coalesce(F.col("agent"), F.lit("")))
     data = rows.groupBy("site_id", "event_on").agg(
@@ -131,7 +133,7 @@ def site_daily_stats(usage: DataFrame, as_of: str, days: int = 14,
     elif sites is not None:
         site_keys = sites.select(F.col("site_id").cast("int")).distinct()
     else:
-        site_keys = usage.select("site_id").distinct()
+        site_keys = usage.select("site_id").filter(F.col("site_id").isNotNull()).distinct()
     end = F.to_date(F.lit(as_of))
     zeros = site_keys.select(
         "site_id",
@@ -288,10 +290,6 @@ def client_ip(df: DataFrame, headers: tuple[str, ...] = ("cf_connecting_ip", "x_
     return df.withColumn("client_ip", F.trim(F.coalesce(*picks, fallback)))
 
 
-def live_usage(usage: DataFrame) -> DataFrame:
-    return live(usage)
-
-
 def sessionize(events: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:
     """Idle-gap sessions per key in batch: a new session starts when the
     previous event of the key is ``gap_seconds`` or more earlier.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.fixtures import AS_OF, AS_OF_DATE, HOME_URL, fixture
+from tessera.fixtures import AS_OF, AS_OF_DATE, FIXTURE_SQL, HOME_URL, fixture
 from tessera.operators import usage as U
 from tessera.plans.oracle_sql import usage_ctes, window_start
 from tessera.plans.registry import register
@@ -35,7 +35,8 @@ def m13_normalise_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _A1_SQL = usage_ctes() + f"""
-, w AS (SELECT * FROM usage
+, site_dim AS ({FIXTURE_SQL["site"]}),
+w AS (SELECT * FROM usage
          WHERE NOT is_deleted AND NOT is_api AND http_code BETWEEN 200 AND 299
            AND event_on >= {window_start(REPORT_DAYS)}),
 data AS (SELECT site_id, event_on,
@@ -47,7 +48,7 @@ data AS (SELECT site_id, event_on,
            FROM w GROUP BY site_id, event_on),
 zeros AS (SELECT s.site_id, strftime(CAST(DATE '{AS_OF_DATE}' - CAST(g.g AS INTEGER) AS DATE), '%Y-%m-%d') AS event_on,
                  0 AS pages, 0 AS files, 0 AS cids, 0 AS page_agents, 0 AS file_agents
-            FROM (SELECT DISTINCT site_id FROM usage) s, generate_series(0, {REPORT_DAYS}) g(g))
+            FROM (SELECT id AS site_id FROM site_dim) s, generate_series(0, {REPORT_DAYS}) g(g))
 SELECT site_id, event_on, CAST(epoch(CAST(event_on AS TIMESTAMP)) AS BIGINT) AS event_unix,
        SUM(pages) AS pages, SUM(files) AS files, SUM(cids) AS cids,
        SUM(page_agents) AS page_agents, SUM(file_agents) AS file_agents
@@ -61,7 +62,8 @@ SELECT site_id, event_on, CAST(epoch(CAST(event_on AS TIMESTAMP)) AS BIGINT) AS
 @register("a1_site_daily_stats", oracle=_A1_SQL)
 def a1_site_daily_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1 (flagship, +O3): daily usage per site over the last 30 days, zero-filled calendar."""
-    return U.site_daily_stats(usage_log(spark, sf_dir), as_of=AS_OF, days=REPORT_DAYS)
+    sites = fixture(spark, sf_dir, "site").select(F.col("id").alias("site_id"))
+    return U.site_daily_stats(usage_log(spark, sf_dir), as_of=AS_OF, days=REPORT_DAYS, sites=sites)
 
 
 @register("a2_client_top_k", oracle=usage_ctes() + f"""

@@ -65,3 +65,14 @@ def test_claims_in_the_order_of_requests(spark):
     new = spark.createDataFrame(rows, "request_id long, login string, _mail string")
     assert sorted(r.request_id for r in M._first_claims(new).collect()) == [1, 3, 6, 7]
     assert M._first_claims(new.limit(0)).collect() == []
+
+
+def test_nested_meta_conflicts_and_numbers(spark):
+    import json
+
+    from tessera.operators.content import nest_meta
+
+    rows = [(1, "a.b", "5"), (1, "a.b.c", "x"), (1, "A.d", "NaN"), (1, "a.e", "1d"), (1, "a.f", "-2.5e3"), (1, "a.g", "{x"), (1, "a.h", "1e999")]
+    df = spark.createDataFrame([(*r, False) for r in rows], "id int, key string, value string, is_deleted boolean")
+    got = json.loads(nest_meta(df, "id").first().meta_json)
+    assert got == {"a": {"b": {"c": "x"}, "d": "NaN", "e": "1d", "f": -2500.0, "g": "{x", "h": "1e999"}}
