@@ -515,3 +515,20 @@ SELECT doc_id,
        make_timestamp(2024, 2, CAST(doc_id % 28 + 1 AS INT), CAST(doc_id % 24 AS INT), 30, 0) AS updated_at
   FROM documents
 """
+
+# every document with hash tags and bracketed foot notes in its text
+FIXTURE_SQL["tagged_text"] = """
+SELECT doc_id, text || ' #' || upper(lang) || ', #' || source || '! #' || lang
+       || CASE WHEN doc_id % 3 = 0 THEN ' See [1. from ' || source || '] and [2. in [' || lang || '] words], [1. from ' || source || ']'
+               WHEN doc_id % 3 = 1 THEN ' [no note] [3.  ] [a. row ' || CAST(doc_id AS STRING) || ' ]' ELSE '' END AS text
+  FROM documents
+"""
+
+# every page url, and for some pages the same url spelt in another way
+FIXTURE_SQL["page_link"] = """
+SELECT page_id, url FROM pages
+UNION ALL
+SELECT page_id + 10000000 AS page_id, CASE WHEN page_id % 2 = 0 THEN replace(url, 'https://', 'http://') ELSE replace(url, 'http://', 'https://') END
+       || CASE WHEN page_id % 3 = 0 THEN '' ELSE '/' END AS url
+  FROM pages WHERE url NOT LIKE '%/'
+"""

@@ -180,14 +180,14 @@ def t9_url_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.url_identity(table(spark, sf_dir, "pages").select("page_id", "url"), "url").drop("url")
 
 
-@register("t9_duplicate_urls", oracle=f"""
-WITH g AS (SELECT page_id, url, {_url_guid_sql('url')} AS url_guid FROM pages),
+@register("t9_duplicate_urls", oracle=with_fixtures("page_link") + f"""
+, g AS (SELECT page_id, url, {_url_guid_sql('url')} AS url_guid FROM page_link),
 c AS (SELECT url_guid, count(*) AS dup_count FROM g WHERE url_guid IS NOT NULL GROUP BY url_guid HAVING count(*) > 1)
 SELECT g.page_id, g.url, g.url_guid, c.dup_count FROM g JOIN c USING (url_guid)
 """)
 def t9_duplicate_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages whose URL identity is shared, with group size."""
-    return T.duplicate_urls(table(spark, sf_dir, "pages"), "page_id", "url")
+    """Page links whose URL identity is shared, with group size."""
+    return T.duplicate_urls(fixture(spark, sf_dir, "page_link"), "page_id", "url")
 
 
 # Top-level domains accepted by the host check.
@@ -237,27 +237,34 @@ def _hashtags_sql(col: str) -> str:
     return f"list_transform({tagged}, lambda w: lower({no_null_sql("translate(w, '#?.,!', '')")}))"
 
 
-@register("t12_hashtags", oracle="WITH x AS (SELECT 1)" + _first_seen_sql(
-    "documents", "doc_id", _hashtags_sql("text"), "w", "length(word) > 0", out="tag"))
+@register("t12_hashtags", oracle=with_fixtures("tagged_text") + _first_seen_sql(
+    "tagged_text", "doc_id", _hashtags_sql("text"), "w", "length(word) > 0", out="tag"))
 def t12_hashtags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hash tags (first-seen position) of every document."""
-    df = T.hashtags(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    df = T.hashtags(fixture(spark, sf_dir, "tagged_text"), "text")
     return df.select("doc_id", indexed(F.col("hashtags"), "pos", "tag"))
 
 
-@register("t12_hashtag_counts", oracle=f"""
-WITH t AS (SELECT doc_id, unnest(list_distinct(list_filter({_hashtags_sql('text')}, lambda w: length(w) > 0))) AS tag FROM documents)
+@register("t12_hashtag_counts", oracle=with_fixtures("tagged_text") + f"""
+, t AS (SELECT doc_id, unnest(list_distinct(list_filter({_hashtags_sql('text')}, lambda w: length(w) > 0))) AS tag FROM tagged_text)
 SELECT tag, count(*) AS n FROM t GROUP BY tag
 """)
 def t12_hashtag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of documents per hash tag."""
-    return T.hashtag_counts(table(spark, sf_dir, "documents"), "text")
+    return T.hashtag_counts(fixture(spark, sf_dir, "tagged_text"), "text")
 
 
-@register("t13_footnotes")
+# the oracle knows notes with at most one level of brackets inside, as these texts have
+@register("t13_footnotes", oracle=with_fixtures("tagged_text") + r"""
+, m AS (SELECT doc_id, regexp_extract_all(text, '\[[^\[\]]{0,3}\. (?:[^\[\]]|\[[^\[\]]*\])*\]') AS notes FROM tagged_text),
+b AS (SELECT doc_id, raw, pos, trim(substr(raw, strpos(raw, '. ') + 2, length(raw) - strpos(raw, '. ') - 2), E' \t\n\r') AS note
+        FROM (SELECT doc_id, unnest(notes) AS raw, unnest(range(1, len(notes) + 1)) AS pos FROM m)),
+f AS (SELECT doc_id, raw, note, min(pos) AS pos FROM b WHERE note <> '' GROUP BY ALL)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS INTEGER) AS idx, note FROM f
+""")
 def t13_footnotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bracketed foot notes of every document (rows-only: bracket-depth scan in Python)."""
-    return T.footnotes(table(spark, sf_dir, "documents"), "doc_id", "text")
+    """Bracketed foot notes of every document."""
+    return T.footnotes(fixture(spark, sf_dir, "tagged_text"), "doc_id", "text")
 
 
 def _fold_sql(col: str) -> str:
