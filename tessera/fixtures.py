@@ -211,7 +211,7 @@ SELECT lang || '-' || CASE lang WHEN 'en' THEN 'us' ELSE lang END AS code, lang
 """
 
 FIXTURE_SQL["site"] = """
-SELECT CAST(n_nationkey + 1 AS INT) AS id, n_name AS name, md5(n_name) AS guid,
+SELECT CAST(n_nationkey + 1 AS INT) AS id, CAST(n_nationkey + 1 AS INT) AS account_id, n_name AS name, md5(n_name) AS guid,
        CASE WHEN n_nationkey % 3 = 0 THEN 'en-us' WHEN n_nationkey % 3 = 1 THEN 'fr-fr' ELSE 'xx-yy' END AS locale_code,
        n_nationkey % 2 = 0 AS https, 'theme' || CAST(n_regionkey AS STRING) AS theme,
        n_nationkey = 3 AS is_default, n_nationkey % 12 = 11 AS is_deleted
@@ -381,7 +381,7 @@ SELECT conv_id * 100 + turn AS request_id, CASE WHEN turn % 5 = 0 THEN '' ELSE '
 """
 
 FIXTURE_SQL["site_change"] = """
-SELECT page_id AS request_id, CAST(page_id % 60 + 1 AS INT) AS account_id,
+SELECT page_id AS request_id, CAST(CASE WHEN page_id % 2 = 0 THEN page_id % 25 + 1 ELSE page_id % 60 + 1 END AS INT) AS account_id,
        CASE WHEN page_id % 3 = 0 THEN CAST(page_id % 25 + 1 AS INT) ELSE 0 END AS site_id,
        ' Site ' || CAST(page_id AS STRING) AS name, 'About ' || CAST(page_id AS STRING) AS description, ' A,B ' AS keywords,
        CASE CAST(page_id % 3 AS INT) WHEN 0 THEN 'EN-US' WHEN 1 THEN 'fr-fr' ELSE 'xx' END AS locale,
@@ -532,3 +532,12 @@ SELECT page_id + 10000000 AS page_id, CASE WHEN page_id % 2 = 0 THEN replace(url
        || CASE WHEN page_id % 3 = 0 THEN '' ELSE '/' END AS url
   FROM pages WHERE url NOT LIKE '%/'
 """
+
+FIXTURE_SQL["lookup_request"] = """
+SELECT c_custkey AS request_id,
+       CASE CAST(c_custkey % 5 AS INT) WHEN 0 THEN 'u' || CAST(c_custkey + 7 AS STRING) || '@mail.example'
+            WHEN 1 THEN 'U' || CAST(c_custkey AS STRING) || '@Mail.Example' WHEN 2 THEN 'u' || CAST(c_custkey AS STRING) || '@mail.example'
+            WHEN 3 THEN 'u' ELSE NULL END AS lookup,
+       CASE WHEN c_custkey % 7 = 0 THEN 'short' ELSE 'password' || CAST(c_custkey % 2 AS STRING) END AS password
+  FROM customer
+"""

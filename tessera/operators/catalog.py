@@ -338,6 +338,29 @@ def match_account(requests: DataFrame, acct: DataFrame) -> DataFrame:
     return requests.join(best, "request_id", "left")
 
 
+def _usable(acct: DataFrame) -> DataFrame:
+    return live(acct).filter(F.col("type") != "account.expired")
+
+
+def match_email(requests: DataFrame, acct: DataFrame) -> DataFrame:
+    """J12, forgotten password: the live, unexpired account (lowest id) whose
+    e-mail is exactly the ``lookup`` of at least 3 characters.  Adds
+    ``account_id`` (NULL: none)."""
+    a = _usable(acct).filter(F.col("email").isNotNull()).groupBy(F.col("email").alias("_em")).agg(F.min("id").alias("account_id"))
+    key = F.when(F.length("lookup") >= 3, F.col("lookup"))
+    return requests.withColumn("_lk", key).join(a, F.col("_lk") == F.col("_em"), "left").drop("_lk", "_em")
+
+
+def match_login(requests: DataFrame, acct: DataFrame, salt: str) -> DataFrame:
+    """J12, log-in: the live, unexpired account (lowest id) with the ``lookup``
+    (at least 3 characters, lower-cased) as e-mail and the salted SHA-512 of
+    the ``password`` (at least 8) as password.  Adds ``account_id``."""
+    a = _usable(acct).groupBy(F.col("email").alias("_em"), F.col("password").alias("_pw")).agg(F.min("id").alias("account_id"))
+    r = requests.withColumn("_lk", F.when(F.length("lookup") >= 3, F.lower("lookup"))) \
+        .withColumn("_h", F.when(F.length("password") >= 8, F.sha2(F.concat(F.lit(salt), F.col("password")), 512)))
+    return r.join(a, (F.col("_lk") == F.col("_em")) & (F.col("_h") == F.col("_pw")), "left").drop("_lk", "_h", "_em", "_pw")
+
+
 def url_conflicts(requests: DataFrame, site: DataFrame, siteurl: DataFrame) -> DataFrame:
     """Request rows whose url is already the live, active url of a live
     site (``url_taken``).  Left join to the distinct taken urls."""

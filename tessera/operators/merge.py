@@ -452,7 +452,7 @@ def merge_sites(reqs: DataFrame, site: DataFrame, siteurl: DataFrame, acct: Data
     (name/description/keywords trimmed to length, keywords lower-cased,
     locale = a live locale equal ignoring case, else the account's locale,
     https from 'Y', theme lower-cased) with the default meta rows.  Updates
-    need the live site id.  Each decision carries the url action: insert the
+    need the id of a live site that the account owns.  Each decision carries the url action: insert the
     url as active, or re-activate the matching url (A4).
     """
     from tessera.operators.catalog import url_conflicts
@@ -464,7 +464,7 @@ def merge_sites(reqs: DataFrame, site: DataFrame, siteurl: DataFrame, acct: Data
     loc = loc.groupBy("_lk").agg(F.min("_loc").alias("_loc"))
     a = live(acct).select(F.col("id").alias("account_id"), F.col("locale_code").alias("_acct_locale"))
     r = r.join(a, "account_id", "left").join(loc, F.lower(F.col("locale")) == F.col("_lk"), "left")
-    live_sites = live(site).select(F.col("id").alias("site_id")).withColumn("_exists", F.lit(True))
+    live_sites = live(site).select(F.col("id").alias("site_id"), F.col("account_id").alias("_owner"))
     r = r.join(live_sites, "site_id", "left")
     max_id = site.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_max"))
     r = _one_row_join(r, max_id)
@@ -472,7 +472,7 @@ def merge_sites(reqs: DataFrame, site: DataFrame, siteurl: DataFrame, acct: Data
     action = (F.when(F.col("_acct_locale").isNull() & F.col("account_id").isNotNull() & is_new, "reject")
               .when(is_new & F.coalesce(F.col("url_taken"), F.lit(False)), "reject")
               .when(is_new, "insert")
-              .when(F.coalesce(F.col("_exists"), F.lit(False)), "update").otherwise("reject"))
+              .when(F.coalesce(F.col("_owner") == F.col("account_id"), F.lit(False)), "update").otherwise("reject"))
     r = r.withColumn("_action", action).withColumn("_url", F.lower("url"))
     first = r.filter((F.col("_action") != "reject") & F.col("_url").isNotNull()).groupBy("_url").agg(F.min("request_id").alias("_first"))
     r = r.join(first, "_url", "left")

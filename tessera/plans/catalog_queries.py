@@ -346,3 +346,44 @@ def j6_with_exists_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """has_meta flag (any live meta row) of every location."""
     f = _f(spark, sf_dir)
     return C.with_exists_flag(f("location").select("id"), f("location_meta"), "id", "location_id", "has_meta")
+
+
+@register("j12_match_email", oracle=with_fixtures("lookup_request", "account") + """
+SELECT r.request_id, (SELECT min(a.id) FROM account a WHERE NOT a.is_deleted AND a.type <> 'account.expired'
+                         AND length(r.lookup) >= 3 AND a.email = r.lookup) AS account_id
+  FROM lookup_request r
+""")
+def j12_match_email(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Account of every forgotten-password request, by exact e-mail."""
+    f = _f(spark, sf_dir)
+    return C.match_email(f("lookup_request"), f("account")).select("request_id", "account_id")
+
+
+@register("j12_match_login", oracle=with_fixtures("lookup_request", "account") + """
+SELECT r.request_id, (SELECT min(a.id) FROM account a WHERE NOT a.is_deleted AND a.type <> 'account.expired'
+                         AND length(r.lookup) >= 3 AND length(r.password) >= 8
+                         AND a.email = lower(r.lookup) AND 'password' || CAST(a.id % 2 AS VARCHAR) = r.password) AS account_id
+  FROM lookup_request r
+""")
+def j12_match_login(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Account of every log-in request, by e-mail and password."""
+    f = _f(spark, sf_dir)
+    plain = F.concat(F.lit("password"), (F.col("id") % 2).cast("string"))
+    acct = f("account").withColumn("password", F.sha2(F.concat(F.lit("pepper"), plain), 512))
+    return C.match_login(f("lookup_request"), acct, "pepper").select("request_id", "account_id")
+
+
+@register("p5_mask_file", oracle=with_fixtures("file", "account") + """
+SELECT f.id AS file_id, f.name, v.type AS viewer_type,
+       CASE WHEN coalesce(v.type, 'account.guest') <> 'account.guest' THEN f.account_id END AS account_id,
+       CASE WHEN coalesce(v.type, 'account.guest') <> 'account.guest' THEN o.display_name END AS owner_name
+  FROM file f LEFT JOIN account o ON o.id = f.account_id
+  LEFT JOIN account v ON v.id = f.id % 90 AND NOT v.is_deleted
+""")
+def p5_mask_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5: owner of every file, masked for guests (viewers without a live account)."""
+    f = _f(spark, sf_dir)
+    owner = f("account").select(F.col("id").alias("account_id"), F.col("display_name").alias("owner_name"))
+    viewer = f("account").filter(~F.col("is_deleted")).select(F.col("id").alias("_v"), F.col("type").alias("viewer_type"))
+    files = f("file").join(owner, "account_id", "left").withColumn("_k", F.col("id") % 90).join(viewer, F.col("_k") == F.col("_v"), "left")
+    return C.mask_file(files).select(F.col("id").alias("file_id"), "name", "viewer_type", "account_id", "owner_name")

@@ -302,7 +302,7 @@ _M11 = with_fixtures("site_change", "site", "site_url", "account", "locale") + "
              WHERE NOT su.is_deleted AND NOT si.is_deleted AND su.is_active),
 loc AS (SELECT lower(code) AS lk, min(code) AS loc FROM locale WHERE NOT is_deleted GROUP BY lower(code)),
 r AS (SELECT c.*, coalesce(c.site_id, 0) AS sid, lower(c.url) IN (SELECT url FROM taken) AS url_taken,
-             a.locale_code AS acct_locale, l.loc, s.id IS NOT NULL AS site_exists,
+             a.locale_code AS acct_locale, l.loc, coalesce(s.account_id = c.account_id, false) AS owned,
              (SELECT coalesce(max(id), 0) FROM site) AS mx
         FROM site_change c LEFT JOIN account a ON a.id = c.account_id AND NOT a.is_deleted
         LEFT JOIN loc l ON l.lk = lower(c.locale)
@@ -310,7 +310,7 @@ r AS (SELECT c.*, coalesce(c.site_id, 0) AS sid, lower(c.url) IN (SELECT url FRO
 d0 AS (SELECT request_id,
              CASE WHEN acct_locale IS NULL AND account_id IS NOT NULL AND sid <= 0 THEN 'reject'
                   WHEN sid <= 0 AND url_taken THEN 'reject' WHEN sid <= 0 THEN 'insert'
-                  WHEN site_exists THEN 'update' ELSE 'reject' END AS action,
+                  WHEN owned THEN 'update' ELSE 'reject' END AS action,
              CAST(CASE WHEN sid <= 0 THEN mx + request_id ELSE sid END AS BIGINT) AS site_id,
              trim(left(name, 256)) AS name, trim(left(description, 512)) AS description,
              lower(trim(left(keywords, 1024))) AS keywords,
