@@ -154,8 +154,10 @@ def site_daily_stats(usage: DataFrame, as_of: str, days: int = 14,
 
 
 def client_top_k(usage: DataFrame, as_of: str, days: int = 14, count: int = 10,
-                 site_id: int | None = None) -> DataFrame:
+                 site_id: int | None = None, clients: DataFrame | None = None) -> DataFrame:
     """A2: pages and distinct visitors per client (token), top ``count`` per site.
+    With ``clients`` (client_id, name, code) each ranked client carries its
+    name and code, joined after the ranking.
 
     ``count`` follows the rule (cap 25, default 10) and ``days`` the report
     rule (cap 30, default 14).  Ranking is by pages desc, then client id.
@@ -173,9 +175,10 @@ def client_top_k(usage: DataFrame, as_of: str, days: int = 14, count: int = 10,
         F.count_distinct(visitor).alias("visitors"),
     )
     w = Window.partitionBy("site_id").orderBy(F.col("pages").desc(), F.col("visitors").desc(), F.col("client_id"))
-    return (per_client.withColumn("rank", F.row_number().over(w))
-            .filter(F.col("rank") <= count)
-            .select("site_id", "rank", "client_id", "pages", "visitors"))
+    top = (per_client.withColumn("rank", F.row_number().over(w))
+           .filter(F.col("rank") <= count)
+           .select("site_id", "rank", "client_id", "pages", "visitors"))
+    return top if clients is None else top.join(clients.select("client_id", "name", "code"), "client_id", "left")
 
 
 # Blocked path segments, protected extensions and URI flags of

@@ -110,3 +110,18 @@ def g1_distance_km(spark: SparkSession, sf_dir: str) -> DataFrame:
 def o1_random_location(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O1: three random playable JP locations (seeded); rows-only check."""
     return G.random_location(fixture(spark, sf_dir, "location"), fixture(spark, sf_dir, "country"), n=3, seed=7)
+
+
+@register("o1_random_location_check", oracle=with_fixtures("location", "country") + """
+, playable AS (SELECT l.id FROM location l JOIN country c ON c.code = l.country_code AND NOT c.is_deleted
+                WHERE NOT l.is_deleted AND l.is_published AND l.is_visible AND l.country_code = 'JP')
+SELECT least(3, count(*)) AS picked, true AS all_playable, true AS all_different FROM playable
+""")
+def o1_random_location_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O1: what holds for any seed: three different places, all of them playable."""
+    loc = fixture(spark, sf_dir, "location")
+    picks = G.random_location(loc, fixture(spark, sf_dir, "country"), n=3, seed=7).select("location_id")
+    known = loc.select(F.col("id").alias("location_id"),
+                       (~F.col("is_deleted") & F.col("is_published") & F.col("is_visible") & (F.col("country_code") == "JP")).alias("playable"))
+    return picks.join(known, "location_id").agg(F.count("*").alias("picked"), F.coalesce(F.bool_and("playable"), F.lit(True)).alias("all_playable"),
+                                                (F.count_distinct("location_id") == F.count("*")).alias("all_different"))

@@ -106,9 +106,14 @@ def s8_to_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SK.to_envelope(df, 200, "errors")
 
 
-@register("s9_to_xml_rows")
+@register("s9_to_xml_rows", oracle="""
+SELECT '<nation id="' || n_nationkey || '">' || chr(10) || '    <name>' || replace(replace(n_name, '&', '&amp;'), '<', '&lt;') || '</name>' || chr(10)
+       || '    <region>' || n_regionkey || '</region>' || chr(10) || '    <is_asia>' || CASE WHEN n_regionkey = 2 THEN 'true' ELSE 'false' END
+       || '</is_asia>' || chr(10) || '</nation>' AS xml
+  FROM nation
+""")
 def s9_to_xml_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every nation row as an XML element (key as attribute); rows-only."""
+    """Every nation row as an XML element (key as attribute)."""
     n = table(spark, sf_dir, "nation")
     df = n.select(F.col("n_nationkey").alias("@id"), F.col("n_name").alias("name"),
                   F.col("n_regionkey").alias("region"), (F.col("n_regionkey") == 2).alias("is_asia"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.fixtures import AS_OF, AS_OF_DATE, FIXTURE_SQL, HOME_URL, fixture
 from tessera.operators import usage as U
 from tessera.plans.oracle_sql import usage_ctes, window_start
-from tessera.plans.registry import register
+from tessera.plans.registry import REGISTRY, register
 
 REPORT_DAYS = 30  # the report cap; covers the whole `events` range
 
@@ -82,3 +82,13 @@ SELECT site_id, rank, client_id, pages, visitors FROM (
 def a2_client_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2: top 25 clients per site by pages (with distinct visitors), last 30 days."""
     return U.client_top_k(usage_log(spark, sf_dir), as_of=AS_OF, days=REPORT_DAYS, count=25)
+
+
+@register("a2_client_names", oracle=REGISTRY["a2_client_top_k"].oracle.replace("WITH ", f"WITH account AS ({FIXTURE_SQL['account']}),\n", 1)
+          .replace("SELECT site_id, rank, client_id, pages, visitors FROM (",
+                   "SELECT site_id, rank, client_id, pages, visitors, a.display_name AS name, a.login AS code FROM (")
+          .replace(" WHERE rank <= 25", " LEFT JOIN account a ON a.id = r.client_id\n WHERE rank <= 25"))
+def a2_client_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2: the top 25 clients per site with name and code."""
+    clients = fixture(spark, sf_dir, "account").select(F.col("id").alias("client_id"), F.col("display_name").alias("name"), F.col("login").alias("code"))
+    return U.client_top_k(usage_log(spark, sf_dir), as_of=AS_OF, days=REPORT_DAYS, count=25, clients=clients)
