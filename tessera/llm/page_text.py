@@ -29,9 +29,12 @@ BLOCK = frozenset("""address article aside blockquote body center dd details dia
 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in a class or id, and roles, of what surrounds an article.
-MARKS = frozenset("""ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus
+MARKS = frozenset("""ad ads alert advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus
 footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promotion
-related replies reply respond responses share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget""".split())
+replies reply respond responses share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget""".split())
+#: "related" marks a list of links, not a section on related matters.
+_RELATED = frozenset("related posts post articles article stories links content items reading news box list block widget".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: An open element that a start tag of the group closes, up to the named borders.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
@@ -47,7 +50,7 @@ _PART = re.compile(r"[a-z]+")
 def _is_dropped(tag: str, attrs: str, in_main: bool) -> bool:
     if tag in DROPPED or (tag == "header" and not in_main):
         return True
-    if attrs and not attrs.isspace() and tag not in ("html", "body", "article", "main"):
+    if attrs and not attrs.isspace() and tag not in ("html", "body", "article", "main") and tag not in _HEADINGS:
         for name, a, b, c in _ATTR.findall(attrs):
             value = (a or b or c).lower()
             name = name.lower()
@@ -55,7 +58,7 @@ def _is_dropped(tag: str, attrs: str, in_main: bool) -> bool:
                 return True
             if name in ("class", "id"):
                 parts = set(_PART.findall(value))
-                if parts & MARKS or (not in_main and "header" in parts):
+                if parts & MARKS or (not in_main and "header" in parts) or ("related" in parts and len(parts) > 1 and parts <= _RELATED):
                     return True
     elif tag == "article" and attrs and any({"comment", "comments", "reply"} & set(_PART.findall((a or b or c).lower())) for _, a, b, c in _ATTR.findall(attrs)):
         return True
