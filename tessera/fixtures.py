@@ -69,7 +69,7 @@ SELECT CAST(c_custkey + 1 AS INT) AS id, lower(c_name) AS login,
   FROM customer
 """
 
-# The same rows as the FIXTURES.md block (customer × four keys), written as
+# Every customer × four keys (those of a quarter of the customers deleted), written as
 # a UNION ALL of four projections so no plan carries a cross join.
 _ACCOUNT_META_KEYS = [("profile.avatar", 1), ("preference.can_email", 2), ("preference.fontsize", 3),
                       ("preference.theme", 4)]
