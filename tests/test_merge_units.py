@@ -24,6 +24,6 @@ def test_active_url_newest_wins(spark):
     cur = spark.createDataFrame([(1, 10, "a", True, False, "2024-01-01"), (2, 10, "b", True, False, "2024-01-02")],
                                 "id int, site_id int, url string, is_active boolean, is_deleted boolean, updated_at string") \
         .selectExpr("id", "site_id", "url", "is_active", "is_deleted", "CAST(updated_at AS TIMESTAMP) AS updated_at")
-    chg = spark.createDataFrame([(3, 10, "C", True)], "id int, site_id int, url string, is_active boolean")
+    chg = spark.createDataFrame([(3, 10, "C", True)], "id int, site_id int, url string, is_active boolean").selectExpr("*", "CAST(id AS LONG) AS seq")
     got = {r.id: r.is_active for r in M.enforce_active_url(cur, chg, "2024-02-01").collect()}
     assert got == {1: False, 2: False, 3: True}
