@@ -21,6 +21,8 @@ from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, Stru
 #: A subtree recurs if at least MIN_PAGES pages of the host hold it and they are
 #: this share of the host's pages: less is asked for outside the main element.
 MIN_PAGES, SHARE_OUTSIDE, SHARE_INSIDE = 5, 0.2, 0.5
+#: Places over which the pages of one host are spread.
+SALTS = 32
 #: Elements that are never main text, whatever is in them.
 DROPPED = frozenset("nav footer aside form button select option textarea input label fieldset dialog menu audio video object canvas map".split())
 #: Elements whose content is not text at all.
@@ -222,7 +224,10 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
             yield pd.DataFrame({"id": pdf["id"], "url": pdf["url"], "text": [
                 "\n".join(Page(html).main_text(set() if gone is None else set(gone))) for html, gone in zip(pdf["html"], pdf["template"], strict=True)]})
 
-    out = rows.join(template, "host", "left").mapInPandas(texts, "id string, url string, text string")
+    # a host's template, small as it is, goes to SALTS places, so that a host with many pages is no single task's
+    template = template.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int"))
+    out = rows.join(template, ["host", "salt"], "left").mapInPandas(texts, "id string, url string, text string")
     return out.select(F.col("id").cast(id_type).alias(id_col), F.col("url").alias(url_col), "text")
 
 
