@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from tessera.llm.cells import concat
-from tessera.llm.common import BASE_A, U64, mix, rolling, stored, word_hashes
+from tessera.llm.common import BASE_A, U64, batches_of, mix, rolling, stored, word_hashes
 
 WINDOW = 13
 GRAM = 5
@@ -143,7 +143,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     joint = (doc_prints.select("id", F.explode("prints").alias("print"))
              .join(item_prints.select("item", "item_text", F.explode("prints").alias("print")), "print")
              .select("id", "item", "item_text").distinct())
-    candidates = stored(joint.groupBy("id").agg(F.collect_list(F.struct("item", "item_text")).alias("candidates")), "candidates")
+    with batches_of(docs.sparkSession):
+        candidates = stored(joint.groupBy("id").agg(F.collect_list(F.struct("item", "item_text")).alias("candidates")), "candidates")
 
     def extend(batches):
         for pdf in batches:

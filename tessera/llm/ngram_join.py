@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from tessera.llm import cells
-from tessera.llm.common import BASE_A, BASE_B, U64, bucket_count, lower_words, mix, rolling, stored, word_hashes
+from tessera.llm.common import BASE_A, BASE_B, U64, batches_of, bucket_count, lower_words, mix, rolling, stored, word_hashes
 from tessera.llm.components import components
 from tessera.llm.signature_tree import link
 
@@ -205,8 +205,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     component.  Rows repeated in the input share a component.  A null id stays
     null and never names a component that holds another id.  Other columns are
     not read.  An empty table gives no rows."""
-    sets = stored(shingle_sets(df, id_col, text_col, n, percent), "sets")
-    links = stored(linked_sets(sets, percent), "links")
+    with batches_of(df.sparkSession):
+        sets = stored(shingle_sets(df, id_col, text_col, n, percent), "sets")
+        links = stored(linked_sets(sets, percent), "links")
     roots = components(links, "components")
     least = sets.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("least"))
     classes = least.join(roots, least["digest"] == roots["node"], "left").select(

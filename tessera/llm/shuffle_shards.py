@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from tessera.llm.common import stored
+from tessera.llm.common import batches_of, stored
 
 SHARDS = 24
 #: Most rows of a piece, which one task puts in order.
@@ -99,8 +99,9 @@ def uniform_shards(df: DataFrame, n_shards: int = SHARDS, tie_cols: list[str] |
     others.  Fewer rows than shards leave shards empty; no rows, no rows.
     Columns of the input named ``shard`` or ``slot`` are replaced.
 
-    The input is written once to the shared folder, since the partitions must
-    be the same when they are counted and when they are dealt."""
+    The input is written to the shared folder, since the partitions must be
+    the same when they are counted and when they are dealt, and again with each
+    row's piece, so that what is exchanged does not depend on dealing anew."""
     df = df.drop("shard", "slot")
     names = df.columns
     ties = tie_cols or [f.name for f in df.schema if f.dataType.typeName() not in ("map", "variant")]
@@ -132,6 +133,8 @@ def uniform_shards(df: DataFrame, n_shards: int = SHARDS, tie_cols: list[str] |
 
     schema = StructType([*[f for f in rows.schema if f.name != "_part"], StructField("_piece", IntegerType()), StructField("_order", LongType())])
     dealt = rows.drop("_part").sortWithinPartitions(*[F.col(f"`{c}`") for c in ties]).mapInArrow(deal, schema)
+    with batches_of(spark):
+        dealt = stored(dealt, "shuffle-dealt")
     place = spark.createDataFrame(pd.DataFrame({"_piece": np.arange(len(shard)), "shard": shard, "_first": first}),
                                   "_piece int, shard int, _first long")
     w = Window.partitionBy("_piece").orderBy("_order", *[F.col(f"`{c}`") for c in ties])
