@@ -94,6 +94,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of ``scratch`` that nothing reads any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 #: Rows that go to a Python task at once where whole texts do: with texts of a
 #: few KB, some MB on either side of the pipe instead of some tens.
 BATCH_ROWS = 500

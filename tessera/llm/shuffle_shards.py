@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from tessera.llm.common import batches_of, stored
+from tessera.llm.common import batches_of, discard, scratch, stored
 
 SHARDS = 24
 #: Most rows of a piece, which one task puts in order.
@@ -101,15 +101,18 @@ def uniform_shards(df: DataFrame, n_shards: int = SHARDS, tie_cols: list[str] |
 
     The input is written to the shared folder, since the partitions must be
     the same when they are counted and when they are dealt, and again with each
-    row's piece, so that what is exchanged does not depend on dealing anew."""
+    row's piece, so that what is exchanged does not depend on dealing anew; the
+    first copy is then deleted."""
     df = df.drop("shard", "slot")
     names = df.columns
     ties = tie_cols or [f.name for f in df.schema if f.dataType.typeName() not in ("map", "variant")]
-    rows = stored(df, "shuffle-input").withColumn("_part", F.spark_partition_id())
+    spark = df.sparkSession
+    path = scratch(spark, "shuffle-input")
+    df.write.parquet(path)
+    rows = spark.read.schema(df.schema).parquet(path).withColumn("_part", F.spark_partition_id())
     counted = {r._part: r.n for r in rows.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # one row a partition
     counts = np.array([counted.get(p, 0) for p in range(max(counted, default=-1) + 1)], np.int64)
     shard, first, sizes = piece_sizes(int(counts.sum()), n_shards, piece_rows)
-    spark = df.sparkSession
     shared = spark.sparkContext.broadcast((counts, sizes))  # 8 bytes a partition and a piece
 
     def deal(batches):
@@ -135,6 +138,7 @@ def uniform_shards(df: DataFrame, n_shards: int = SHARDS, tie_cols: list[str] |
     dealt = rows.drop("_part").sortWithinPartitions(*[F.col(f"`{c}`") for c in ties]).mapInArrow(deal, schema)
     with batches_of(spark):
         dealt = stored(dealt, "shuffle-dealt")
+    discard(spark, path)
     place = spark.createDataFrame(pd.DataFrame({"_piece": np.arange(len(shard)), "shard": shard, "_first": first}),
                                   "_piece int, shard int, _first long")
     w = Window.partitionBy("_piece").orderBy("_order", *[F.col(f"`{c}`") for c in ties])
