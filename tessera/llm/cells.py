@@ -29,7 +29,7 @@ from pyspark.sql.types import ByteType, BinaryType, IntegerType, LongType, Struc
 
 CELL, DOCS, ANSWER = 0, 1, 2
 #: Text of one chunk; a longer document is a chunk of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 3 << 20
 PACKED = StructType([
     StructField("kind", ByteType()), StructField("bucket", IntegerType()),
     StructField("chunk", LongType()), StructField("payload", BinaryType()),
