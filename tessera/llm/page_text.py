@@ -1,7 +1,9 @@
 """Main text of web pages (operator 6).
 
 A page is cut into elements; every element's subtree (tags and words) has a
-hash, and the pages of a host that hold it are counted in Spark.  A subtree
+hash, and the different pages of a host that hold it are counted in Spark:
+copies of a page count as one, and no subtree that holds the page's body or an
+article is counted.  A subtree
 that recurs on many pages of its host is part of the site's template and goes,
 as do elements whose tag, role or class says that they are no main text.  What
 is left is the article (or main) element where there is one, else the body.
@@ -16,7 +18,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 #: A subtree recurs if at least MIN_PAGES pages of the host hold it and they are
 #: this share of the host's pages: less is asked for outside the main element.
@@ -29,6 +31,8 @@ DROPPED = frozenset("nav footer aside form button select option textarea input l
 _RAW = "script|style|noscript|template|title|iframe|svg|math|xmp|noembed|noframes|textarea"
 BLOCK = frozenset("""address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2
 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul""".split())
+#: A subtree with one of these is never template as a whole.
+_WHOLE = frozenset("html body main article".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in a class or id, and roles, of what surrounds an article.
 MARKS = frozenset("""ad ads alert advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus
@@ -72,13 +76,13 @@ class Page:
 
     ``blocks``: (text, inside article, inside main element);
     ``trees``: (hash, first block, block after the last, inside main) of every
-    block element with text."""
+    block element with text that holds no html, body, main or article."""
 
     def __init__(self, html: str | None):
         self.blocks: list[tuple[str, bool, bool]] = []
         self.trees: list[tuple[int, int, int, bool]] = []
         self._text: list[str] = []
-        self._stack: list[list] = []  # [tag, parts to hash, first block, drops, article, main]
+        self._stack: list[list] = []  # [tag, parts to hash, first block, drops, article, main, holds one of _WHOLE]
         self._drops = self._articles = self._mains = 0
         at = 0
         html = html or ""
@@ -129,7 +133,7 @@ class Page:
         inside = self._articles > 0 or self._mains > 0
         drops = _is_dropped(tag, attrs, inside)
         article, main = tag == "article" and not drops, tag == "main" and not drops
-        self._stack.append([tag, [f"<{tag}>"], len(self.blocks), drops, article, main])
+        self._stack.append([tag, [f"<{tag}>"], len(self.blocks), drops, article, main, tag in _WHOLE])
         self._drops += drops
         self._articles += article
         self._mains += main
@@ -154,7 +158,7 @@ class Page:
                 pass
 
     def _pop(self) -> str:
-        tag, parts, first, drops, article, main = self._stack[-1]
+        tag, parts, first, drops, article, main, whole = self._stack[-1]
         if tag in BLOCK:
             self._flush()
         self._stack.pop()
@@ -166,11 +170,12 @@ class Page:
         if tag in BLOCK:
             h = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
             h -= (h >> 63) << 64
-            if len(self.blocks) > first or drops:
+            if not whole and (len(self.blocks) > first or drops):
                 self.trees.append((h, first, len(self.blocks), inside))
             text = f"<{h}>"
         if self._stack:
             self._stack[-1][1].append(text)
+            self._stack[-1][6] |= whole
         return tag
 
     def main_text(self, template: set[int]) -> list[str]:
@@ -192,29 +197,34 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     as they may be; text in no dropped element is kept.
 
     A null or empty page gives an empty text; a page whose url is null or has
-    no host shares the template of such pages; repeated rows count as pages and
-    give equal texts; a null id stays null; other columns are not read.  An
+    no host shares the template of such pages; copies of a page on a host,
+    repeated rows among them, count as one page and give equal texts; a null id stays null; other columns are not read.  An
     empty table gives no rows.  A host's template is at most a few times the
     subtrees of a page, since each of them is on a fixed share of its pages."""
     id_type = pages.schema[id_col].dataType
     rows = pages.select(F.col(id_col).cast("string").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    rows = rows.withColumn("host", host)
+    rows = rows.withColumn("host", host).withColumn("page", F.xxhash64("html"))
 
     def trees(batches):
         for pdf in batches:
             out = []
-            for h, html in zip(pdf["host"], pdf["html"], strict=True):
-                seen: dict[int, bool] = {}
+            for h, page, html in zip(pdf["host"], pdf["page"], pdf["html"], strict=True):
+                seen: tuple[dict, dict] = {}, {}
                 for t, _, _, inside in Page(html).trees:
-                    seen[t] = seen.get(t, True) and inside
-                out += [(h, t, inside) for t, inside in seen.items()]
-            yield pd.DataFrame(out, columns=["host", "tree", "inside"])
-
-    held = rows.select("host", "html").mapInPandas(trees, StructType([
-        StructField("host", StringType()), StructField("tree", LongType()), StructField("inside", BooleanType())]))
+                    seen[inside][t] = None
+                out.append((h, page, list(seen[0]), [t for t in seen[1] if t not in seen[0]]))
+            yield pd.DataFrame(out, columns=["host", "page", "outer", "inner"])
+
+    held = rows.select("host", "page", "html").mapInPandas(trees, StructType([
+        StructField("host", StringType()), StructField("page", LongType()), StructField("outer", ArrayType(LongType())), StructField("inner", ArrayType(LongType()))]))
+    # one row a different page, whatever its copies
+    held = held.groupBy("host", "page").agg(F.first("outer").alias("outer"), F.first("inner").alias("inner"))
+    held = held.select("host", F.explode(F.array(F.struct(F.col("outer").alias("trees"), F.lit(False).alias("inside")),
+                                                 F.struct(F.col("inner").alias("trees"), F.lit(True).alias("inside")))).alias("x"))
+    held = held.select("host", F.col("x.inside").alias("inside"), F.explode("x.trees").alias("tree"))
     held = held.groupBy("host", "tree").agg(F.count("*").alias("n"), F.min("inside").alias("inside")).where(F.col("n") >= MIN_PAGES)
-    n_pages = rows.groupBy("host").agg(F.count("*").alias("pages"))
+    n_pages = rows.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     share = F.when(F.col("inside"), SHARE_INSIDE).otherwise(SHARE_OUTSIDE)
     template = (held.join(n_pages, "host").where(F.col("n") >= share * F.col("pages"))
                 .groupBy("host").agg(F.collect_list("tree").alias("template")))

@@ -217,6 +217,23 @@ def test_template_of_a_host_is_removed(spark):
     assert got == {i: f"Head {i}\nBody & text {i}" for i in got}
 
 
+def test_copied_pages_are_no_template(spark):
+    """Copies of a page count as one, and no article or body is a template."""
+    page = "<html><body><div><p>Site rules.</p></div>{}</body></html>"
+    copied = page.format("<div><h1>Copied</h1><p>One page under several urls.</p></div>")
+    rows = [(i, f"https://a.example/{i}", page.format(f"<div><h1>Head {i}</h1><p>Text {i}</p></div>")) for i in range(12)]
+    rows += [(100 + i, f"https://a.example/c{i}", copied) for i in range(8)] + [(200, "https://a.example/c0", copied)] * 2
+    rows += [(400 + i, f"https://d.example/{i}", f"<html><head><meta name=n content={i}></head><body><p>Same body.</p></body></html>") for i in range(4)]
+    got = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.text == (f"Head {r.page_id}\nText {r.page_id}" if r.page_id < 100 else "Copied\nOne page under several urls." if r.page_id < 300
+                          else "Same body."), r
+    from tessera.llm.page_text import Page
+
+    assert not any(first == 0 for _, first, _, _ in Page("<body><div><article>x<p>y</p></article></div></body>").trees)
+
+
 def test_license_templates_rank_by_compression():
     s = license_scan.Scanner()
     for k, (name, text) in enumerate(license_scan.TEMPLATES):
