@@ -47,13 +47,22 @@ _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd
          "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
          "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tr", "td", "th"}, {"table"})}
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    rf"<!--.*?(?:-->|\Z)|<(?:svg|math)(?:\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*)?/>"
+    rf"|<(?P<raw>{_RAW})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)", re.S | re.I)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _PART = re.compile(r"[a-z]+")
+_NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: Parts of a name that say only how or where a thing is set; the part before is its head.
+_SETTING = frozenset("area block box container inner item items left link links list outer right section top bottom".split())
+#: A name with one of these tells the state of what holds it.
+_STATE = frozenset("has is no not with without".split())
+#: An element with one of these is no mark's, whatever its class or id.
+_KEPT = frozenset("article main h1".split())
 
 
 def _is_dropped(tag: str, attrs: str, in_main: bool) -> bool:
+    """By its tag, role or state, whatever it holds."""
     if tag in DROPPED or (tag == "header" and not in_main):
         return True
     if attrs and not attrs.isspace() and tag not in ("html", "body", "article", "main") and tag not in _HEADINGS:
@@ -62,15 +71,31 @@ def _is_dropped(tag: str, attrs: str, in_main: bool) -> bool:
             name = name.lower()
             if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in ROLES):
                 return True
-            if name in ("class", "id"):
-                parts = set(_PART.findall(value))
-                if parts & MARKS or (not in_main and "header" in parts) or ("related" in parts and len(parts) > 1 and parts <= _RELATED):
-                    return True
     elif tag == "article" and attrs and any({"comment", "comments", "reply"} & set(_PART.findall((a or b or c).lower())) for _, a, b, c in _ATTR.findall(attrs)):
         return True
     return False
 
 
+def _is_marked(tag: str, attrs: str, in_main: bool) -> bool:
+    """By a class or id that is a word of MARKS or has it as its head: the last
+    part of the name that says more than how a thing is set."""
+    if not attrs or attrs.isspace() or tag in ("html", "body", "article", "main") or tag in _HEADINGS:
+        return False
+    for kind, a, b, c in _ATTR.findall(attrs):
+        if kind.lower() in ("class", "id"):
+            for name in (a or b or c).split():
+                parts = [x.lower() for x in _NAME_PART.findall(name)]
+                if not parts or not _STATE.isdisjoint(parts):
+                    continue
+                if "related" in parts and len(parts) > 1 and set(parts) <= _RELATED:
+                    return True
+                while len(parts) > 1 and parts[-1] in _SETTING:
+                    parts.pop()
+                if parts[-1] in MARKS or (not in_main and parts[-1] == "header"):
+                    return True
+    return False
+
+
 class Page:
     """Blocks of text of a page, and the subtrees of its block elements.
 
@@ -81,8 +106,10 @@ class Page:
     def __init__(self, html: str | None):
         self.blocks: list[tuple[str, bool, bool]] = []
         self.trees: list[tuple[int, int, int, bool]] = []
-        self._text: list[str] = []
-        self._stack: list[list] = []  # [tag, parts to hash, first block, drops, article, main, holds one of _WHOLE]
+        self._text: list[tuple[str, int]] = []  # with the innermost marked element, 0 for none
+        self._held: list[list[tuple[str, int]]] = []  # the same, by block
+        self._marked, self._around, self._gone = 0, [0], set()  # by marked element: the one around it; those that go
+        self._stack: list[list] = []  # [tag, parts to hash, first block, drops, article, main, holds one of _WHOLE, marked element around, is or holds one of _KEPT]
         self._drops = self._articles = self._mains = 0
         at = 0
         html = html or ""
@@ -103,19 +130,34 @@ class Page:
         while self._stack:
             self._pop()
         self._flush()
+        self._settle()
+
+    def _settle(self) -> None:
+        """Take the text of the marked elements that go out of the blocks."""
+        blocks, at = [], [0]
+        gone = [False] * len(self._around)
+        for k in range(1, len(gone)):
+            gone[k] = k in self._gone or gone[self._around[k]]
+        for held, (_, article, main) in zip(self._held, self.blocks, strict=True):
+            text = " ".join(unescape("".join(x for x, marked in held if not gone[marked])).split())
+            if text:
+                blocks.append((text, article, main))
+            at.append(len(blocks))
+        self.blocks = blocks
+        self.trees = [(h, at[first], at[last], inside) for h, first, last, inside in self.trees]
 
     def _add(self, text: str) -> None:
         if not self._drops:
-            self._text.append(text)
+            self._text.append((text, self._marked))
         if self._stack:
             self._stack[-1][1].append(text)
 
     def _flush(self) -> None:
         if self._text:
-            text = " ".join(unescape("".join(self._text)).split())
-            if text:
-                self.blocks.append((text, self._articles > 0, self._mains > 0))
-            self._text.clear()
+            if any(x and not x.isspace() for x, _ in self._text):
+                self.blocks.append(("", self._articles > 0, self._mains > 0))
+                self._held.append(self._text)
+            self._text = []
 
     def _open(self, tag: str, attrs: str) -> None:
         if tag in BLOCK:
@@ -133,7 +175,10 @@ class Page:
         inside = self._articles > 0 or self._mains > 0
         drops = _is_dropped(tag, attrs, inside)
         article, main = tag == "article" and not drops, tag == "main" and not drops
-        self._stack.append([tag, [f"<{tag}>"], len(self.blocks), drops, article, main, tag in _WHOLE])
+        self._stack.append([tag, [f"<{tag}>"], len(self.blocks), drops, article, main, tag in _WHOLE, self._marked, tag in _KEPT and not drops and not self._drops])
+        if not drops and _is_marked(tag, attrs, inside):
+            self._around.append(self._marked)
+            self._marked = len(self._around) - 1
         self._drops += drops
         self._articles += article
         self._mains += main
@@ -158,11 +203,15 @@ class Page:
                 pass
 
     def _pop(self) -> str:
-        tag, parts, first, drops, article, main, whole = self._stack[-1]
+        tag, parts, first, drops, article, main, whole, marked, kept = self._stack[-1]
         if tag in BLOCK:
             self._flush()
         self._stack.pop()
         inside = self._articles > 0 or self._mains > 0
+        if self._marked != marked:
+            if not kept:
+                self._gone.add(self._marked)
+            self._marked = marked
         self._drops -= drops
         self._articles -= article
         self._mains -= main
@@ -176,6 +225,7 @@ class Page:
         if self._stack:
             self._stack[-1][1].append(text)
             self._stack[-1][6] |= whole
+            self._stack[-1][8] |= kept
         return tag
 
     def main_text(self, template: set[int]) -> list[str]:

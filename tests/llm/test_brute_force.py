@@ -234,6 +234,20 @@ def test_copied_pages_are_no_template(spark):
     assert not any(first == 0 for _, first, _, _ in Page("<body><div><article>x<p>y</p></article></div></body>").trees)
 
 
+@pytest.mark.parametrize("html", [
+    "<div class='content-sidebar-wrap'><article><p>Kept.</p></article></div>", "<div class='has-sidebar'><h1>Kept.</h1></div>",
+    "<div id='nav-content-area'><main><p>Kept.</p></main></div>", "<div class='layout-no-sidebar'><p>Kept.</p></div>",
+    "<div class='widget'><div><article>Kept.</article></div></div>", "<p class='share-price'>Kept.</p>",
+    "<svg-icon></svg-icon><p>Kept.</p>", "<svg viewBox='0 0 1 1'/><p>Kept.</p>", "<title-bar></title-bar><p>Kept.</p>", "<math/><p>Kept.</p>",
+    "<template-x>Kept.</template-x>", "<svg><path/>gone</svg><title>gone</title><p>Kept.</p>",
+    "<p>Kept.<span class='share'> Tell <b>all</b></span></p><div class='post-comments'><article class='comment'><p>gone</p></article></div>",
+    "<div class='sidebar'><p>gone</p></div><p>Kept.</p><div class='ad'>gone</div><div id='siteFooter'>gone</div><ul class='share-links'><li>gone</ul>"])
+def test_marks_take_no_article(html):
+    from tessera.llm.page_text import Page
+
+    assert Page(html).main_text(set()) == ["Kept."]
+
+
 def test_license_templates_rank_by_compression():
     s = license_scan.Scanner()
     for k, (name, text) in enumerate(license_scan.TEMPLATES):
