@@ -5,7 +5,9 @@ are counted from the labelled rows.  Their n-grams run from the start of the
 word, up to GRAM bytes; both back off to the same distribution, estimated from
 the pooled continuation counts, so an expression that neither has seen weighs
 nothing and a rare one little, while the forms of a toxic stem share its
-weight.  A document's score compares the two log-likelihoods, normalised by
+weight.  The counts and the model are tables sharded by Spark, with every
+n-gram; the distinct n-grams of a chunk of documents are joined with them.  A
+document's score compares the two log-likelihoods, normalised by
 length, over the whole text and at its most toxic word, through a logistic
 curve fitted on labelled rows that the counts have not seen.
 """
@@ -16,19 +18,26 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
+from tessera.llm import kneser_ney as kn
+from tessera.llm.common import batches_of, bucket_count, shuffle_partitions, stored
 from tessera.llm.decontaminate import plain_words
 
-#: Longest n-gram in bytes; most n-grams of the model (the commonest; the rest
-#: back off); most labelled rows that the curve is fitted on.
-GRAM, MODEL_GRAMS, CURVE_ROWS = 6, 1_000_000, 50_000
+#: Longest n-gram in bytes; most labelled rows that the curve's four weights are
+#: fitted on.
+GRAM, CURVE_ROWS = 6, 50_000
 #: Labelled rows are dealt into FOLDS by the CRC-32 of their id: fold 0 is held
 #: out, the last one fits the curve, the others are counted.
 FOLDS = 5
-_CACHE = 400_000
+#: Text of one chunk: its n-grams are looked up together, each distinct one once.
+CHUNK_BYTES = 3 << 20
+#: Chunks that go to a Python task at once.
+CHUNK_ROWS = 8
 
 
 def _grams(ws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -46,95 +55,176 @@ def _grams(ws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return word[at > 0], key[at > 0]
 
 
-def _discounts(c: np.ndarray) -> tuple[float, float, float]:
-    n1, n2, n3, n4 = (int((c == k).sum()) for k in (1, 2, 3, 4))
-    if not (n1 and n2 and n3 and n4):
-        return 0.5, 0.75, 0.9
-    y = n1 / (n1 + 2 * n2)
-    raw = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)
-    return tuple(min(max(d, 0.05), k - 0.05) for k, d in zip((1, 2, 3), raw, strict=True))
-
-
-def _taken(c: np.ndarray) -> np.ndarray:
-    d = _discounts(c[c > 0])
-    return np.where(c <= 0, 0.0, np.where(c == 1, d[0], np.where(c == 2, d[1], d[2])))
-
-
-def _shared(grams: np.ndarray) -> np.ndarray:
-    """Pooled probability of each n-gram's last byte after its context without
-    the first byte, by continuation counts, order below order."""
-    n_bytes = np.ones(len(grams), np.int64)
-    for k in range(1, GRAM):
-        n_bytes += grams >= 1 << (8 * k)
-    low, which, c = np.unique(grams & ((np.int64(1) << (8 * (n_bytes - 1))) - 1), return_inverse=True, return_counts=True)
-    _, ctx = np.unique(low >> 8, return_inverse=True)
-    total, off = np.bincount(ctx, c), _taken(c)
-    below = np.full(len(low), 1 / 256)
-    longer = low >= 256
-    if longer.any():
-        below[longer] = _shared(low[longer])
-    return ((c - off) / total[ctx] + np.bincount(ctx, off)[ctx] / total[ctx] * below)[which]
-
-
-class Model:
-    """Log-likelihood ratio (toxic over ordinary) of a byte after its context:
-    by n-gram where one is known, else by context, else none."""
-
-    def __init__(self, grams: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray):
-        order = np.argsort(grams)
-        self.grams, counts = grams[order], (toxic[order], ordinary[order])
-        self.contexts, ctx = np.unique(self.grams >> 8, return_inverse=True)
-        below = _shared(self.grams) if len(grams) else np.empty(0)
-        logs = []
-        for c in counts:
-            off, total = _taken(c), np.bincount(ctx, c, minlength=len(self.contexts))
-            backoff = np.where(total > 0, np.bincount(ctx, off, minlength=len(total)) / np.maximum(total, 1), 1.0)
-            p = np.where(total[ctx] > 0, (c - off) / np.maximum(total[ctx], 1), 0) + backoff[ctx] * below
-            logs.append((np.log(np.maximum(p, 1e-12)), np.log(np.maximum(backoff, 1e-12))))
-        self.ratio = (logs[0][0] - logs[1][0]).astype(np.float32)
-        self.unseen = (logs[0][1] - logs[1][1]).astype(np.float32)
-
-    def words(self, ws: list[bytes]) -> np.ndarray:
-        """Summed ratio of each word."""
-        if not ws or not len(self.grams):
-            return np.zeros(len(ws))
-        word, key = _grams(ws)
-        at = np.minimum(np.searchsorted(self.grams, key), len(self.grams) - 1)
-        ctx = np.minimum(np.searchsorted(self.contexts, key >> 8), len(self.contexts) - 1)
-        v = np.where(self.grams[at] == key, self.ratio[at], np.where(self.contexts[ctx] == key >> 8, self.unseen[ctx], 0))
-        return np.bincount(word, v, minlength=len(ws))
-
-
-def _features(model: Model, cache: dict[bytes, float], texts: list) -> np.ndarray:
-    """Per text: the highest ratio of a word, the highest by byte, and the mean
-    by byte over the text (0 without words)."""
-    docs = [plain_words(t) for t in texts]
-    new = list({w for ws in docs for w in ws if w not in cache})
-    if len(cache) + len(new) > _CACHE:
-        cache.clear()
-        new = list({w for ws in docs for w in ws})
-    for lo in range(0, len(new), 50_000):
-        part = new[lo:lo + 50_000]
-        cache.update(zip(part, model.words(part).tolist(), strict=True))
-    out = np.zeros((len(docs), 3))
-    for k, ws in enumerate(docs):
-        if ws:
-            r = np.fromiter(map(cache.__getitem__, ws), np.float64, len(ws))
-            n = np.fromiter(map(len, ws), np.float64, len(ws)) + 1
-            out[k] = r.max(), (r / np.maximum(n, 5)).max(), r.sum() / n.sum()
-    return out
-
-
-def _in_slices(texts: list, size: int = 4 << 20):
-    """Slices of a batch with a few MB of text each."""
-    lo, have = 0, 0
-    for k, t in enumerate(texts):
-        have += len(t or "")
-        if have >= size:
-            yield lo, k + 1
-            lo, have = k + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
+def _pack(a: np.ndarray) -> bytes:
+    """Numbers by byte planes, compressed."""
+    return zstandard.ZstdCompressor(level=6).compress(np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _unpack(b: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+_CHUNK = StructType([StructField("chunk", LongType()), StructField("ids", ArrayType(StringType())), StructField("words", BinaryType()),
+                     StructField("lens", BinaryType()), StructField("held", BinaryType()), StructField("times", BinaryType())])
+
+
+def _chunk_rows(batches):
+    """Documents as the distinct words of their chunk that they hold, in order,
+    and how often."""
+    base, seq = TaskContext.get().partitionId() << 32, 0
+    ids, lens, held, times, size = [], [], [], [], 0
+    known: dict[bytes, int] = {}
+
+    def row():
+        words = zstandard.ZstdCompressor(level=6).compress(b" ".join(known))
+        return pd.DataFrame([(base + seq, ids, words, _pack(np.array(lens)), _pack(np.concatenate(held)), _pack(np.concatenate(times)))], columns=_CHUNK.names)
+
+    for pdf in batches:
+        for i, t in zip(pdf["id"], pdf["text"], strict=True):
+            c = Counter(plain_words(t))
+            at = np.fromiter((known.setdefault(w, len(known)) for w in c), np.int64, len(c))
+            order = np.argsort(at)
+            ids.append(i)
+            lens.append(len(c))
+            held.append(np.diff(at[order], prepend=0))
+            times.append(np.fromiter(c.values(), np.int64, len(c))[order])
+            size += len(t or "") + 16
+            if size >= CHUNK_BYTES:
+                yield row()
+                ids, lens, held, times, size, seq, known = [], [], [], [], 0, seq + 1, {}
+    if ids:
+        yield row()
+
+
+def _read(r) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct words, words held by document, which, how often) of a chunk."""
+    lens, held = _unpack(r.lens), _unpack(r.held)
+    run = np.cumsum(held)
+    first = np.cumsum(lens) - lens
+    before = np.append(0, run)[first]  # what the documents in front add up to
+    return zstandard.ZstdDecompressor().decompress(r.words).split(), lens, run - np.repeat(before, lens), _unpack(r.times)
+
+
+def _taken(c: Column, d: tuple[float, float, float]) -> Column:
+    return F.when(c <= 0, 0.0).when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
+
+
+def _shorter(key: str) -> Column:
+    """The n-gram without its first byte."""
+    n = " + ".join(f"int({key} >= {1 << (8 * k)}L)" for k in range(1, GRAM))
+    return F.expr(f"{key} & (shiftleft(1L, 8 * ({n})) - 1L)")
+
+
+def _shared(grams: DataFrame) -> DataFrame:
+    """(low, below): pooled probability of the last byte of ``low``, an n-gram of
+    ``grams`` (key) without its first byte, after the others, by continuation
+    counts, order below order."""
+    levels = []
+    longer = grams.select("key")
+    for _ in range(GRAM - 1):
+        levels.append(stored(longer.groupBy(_shorter("key").alias("low")).agg(F.count("*").alias("c")), "toxic-continued"))
+        longer = levels[-1].where("low >= 256").select(F.col("low").alias("key"))
+    below = None
+    for level in reversed(levels):
+        d = kn._discounts(level)
+        level = level.withColumn("ctx", F.shiftright("low", 8)).withColumn("off", _taken(F.col("c"), d))
+        sums = level.groupBy("ctx").agg(F.sum("c").alias("total"), F.sum("off").alias("taken"))
+        level = level.join(sums, "ctx")
+        if below is None:
+            rest = F.lit(1 / 256)
+        else:
+            level = level.withColumn("suffix", F.when(F.col("low") >= 256, _shorter("low"))).join(
+                below.select(F.col("low").alias("suffix"), "below"), "suffix", "left")
+            rest = F.when(F.col("low") >= 256, F.col("below")).otherwise(1 / 256)
+        below = stored(level.select("low", ((F.col("c") - F.col("off")) / F.col("total") + F.col("taken") / F.col("total") * rest).alias("below")), "toxic-below")
+    return below
+
+
+def model(counts: DataFrame) -> DataFrame:
+    """(ctx, key, ratio, unseen) of every n-gram of ``counts`` (key, ordinary,
+    toxic): its context, the log-likelihood ratio (toxic over ordinary) of its
+    last byte, and the ratio of a byte not seen after this context."""
+    rows = counts.withColumn("ctx", F.shiftright("key", 8)).withColumn("low", _shorter("key"))
+    sums = []
+    for c in ("toxic", "ordinary"):
+        d = kn._discounts(counts.select(F.col(c).alias("c")))
+        rows = rows.withColumn(f"{c}_off", _taken(F.col(c), d))
+        sums += [F.sum(c).alias(f"{c}_total"), F.sum(f"{c}_off").alias(f"{c}_taken")]
+    rows = rows.join(rows.groupBy("ctx").agg(*sums), "ctx").join(_shared(counts), "low")
+    log = {}
+    for c in ("toxic", "ordinary"):
+        total = F.col(f"{c}_total")
+        backoff = F.when(total > 0, F.col(f"{c}_taken") / total).otherwise(1.0)
+        p = F.when(total > 0, (F.col(c) - F.col(f"{c}_off")) / total).otherwise(0.0) + backoff * F.col("below")
+        log[c] = F.log(F.greatest(p, F.lit(1e-12))), F.log(F.greatest(backoff, F.lit(1e-12)))
+    return rows.select("ctx", "key", *[(log["toxic"][k] - log["ordinary"][k]).cast("float").alias(n) for k, n in enumerate(("ratio", "unseen"))])
+
+
+def _buckets(key: np.ndarray, n_buckets: int):
+    """(bucket, positions in ``key``) of every bucket that has some; an n-gram is
+    in its context's."""
+    b = (key >> 8) % n_buckets
+    order = np.argsort(b, kind="stable")
+    edge = np.flatnonzero(np.diff(b[order])) + 1
+    for part in np.split(order, edge) if len(key) else []:
+        yield int(b[part[0]]), part
+
+
+def _look_up(chunk: DataFrame, table: DataFrame, n_buckets: int) -> DataFrame:
+    """(id, peak, by_byte, mean) of every document: the highest ratio of a word,
+    the highest by byte, and the mean by byte over the text (0 without words)."""
+    cell = StructType([StructField("bucket", IntegerType()), StructField("chunk", LongType()), StructField("payload", BinaryType())])
+
+    def ask(batches):
+        pack = zstandard.ZstdCompressor(level=3)
+        for pdf in batches:
+            for r in pdf.itertuples():
+                ws = zstandard.ZstdDecompressor().decompress(r.words).split()
+                if ws:
+                    key = np.unique(_grams(ws)[1])
+                    yield pd.DataFrame([(b, r.chunk, pack.compress(np.diff(key[part], prepend=0).tobytes())) for b, part in _buckets(key, n_buckets)], columns=cell.names)
+
+    def answer(cells: pd.DataFrame, grams: pd.DataFrame) -> pd.DataFrame:
+        grams = grams.sort_values("key")
+        have = np.append(grams["key"].to_numpy(np.int64), -1)  # a last entry that no key equals
+        ratio, unseen = (np.append(grams[c].to_numpy(np.float32), np.float32(0)) for c in ("ratio", "unseen"))
+        out = []
+        for r in cells.itertuples():
+            key = np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(r.payload), np.int64))
+            at = np.searchsorted(have[:-1], key)
+            ctx = np.searchsorted(have[:-1], key >> 8 << 8)  # the first n-gram of the context, if any
+            v = np.where(have[at] == key, ratio[at], np.where(have[ctx] >> 8 == key >> 8, unseen[ctx], np.float32(0)))
+            out.append((r.bucket, r.chunk, zstandard.ZstdCompressor(level=3).compress(v.astype(np.float32).tobytes())))
+        return pd.DataFrame(out, columns=cell.names)
+
+    schema = StructType([StructField("id", StringType()), *[StructField(c, DoubleType()) for c in ("peak", "by_byte", "mean")]])
+
+    def features(said: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        by = dict(zip(said["bucket"], said["payload"], strict=True))
+        out = []
+        for r in held.itertuples():
+            ws, lens, at, times = _read(r)
+            x = np.zeros((len(lens), 3))
+            if ws:
+                word, key = _grams(ws)
+                key, which = np.unique(key, return_inverse=True)
+                value = np.empty(len(key))
+                for b, part in _buckets(key, n_buckets):
+                    value[part] = np.frombuffer(zstandard.ZstdDecompressor().decompress(by[b]), np.float32)
+                ratio = np.bincount(word, value[which], minlength=len(ws))[at]
+                n = (np.fromiter(map(len, ws), np.float64, len(ws)) + 1)[at]
+                some = np.flatnonzero(lens)
+                first = (np.cumsum(lens) - lens)[some]
+                x[some] = np.c_[np.maximum.reduceat(ratio, first), np.maximum.reduceat(ratio / np.maximum(n, 5), first),
+                                np.add.reduceat(ratio * times, first) / np.add.reduceat(n * times, first)]
+            out.append(pd.DataFrame(x, columns=schema.names[1:]).assign(id=list(r.ids))[schema.names])
+        return pd.concat(out) if out else pd.DataFrame(columns=schema.names)
+
+    asked = chunk.select("chunk", "words").mapInPandas(ask, cell)
+    shard = table.select("key", "ratio", "unseen", F.pmod("ctx", F.lit(n_buckets)).cast("int").alias("bucket"))
+    answers = asked.groupBy("bucket").cogroup(shard.groupBy("bucket")).applyInPandas(answer, cell)
+    return answers.groupBy("chunk").cogroup(chunk.groupBy("chunk")).applyInPandas(features, schema)
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -167,64 +257,55 @@ def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     A null or empty text scores as one without any evidence; repeated rows
     score alike; a null id is held out and stays null; other columns are not
     read.  Without labels of both classes the score is the toxic share of the
-    labels, 0.5 if there are none.  No documents, no rows."""
+    labels, 0.5 if there are none.  No documents, no rows.
+
+    The documents are written to the shared folder as the words they hold, and
+    every n-gram of the counted rows is in the model, whatever their number."""
     id_type = df.schema[id_col].dataType
-    docs = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("fold", fold(F.col("id")))
+    spark = df.sparkSession
+    docs = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
     known = (labels.select(F.col(id_col).cast("string").alias("id"), F.col(label_col).cast("int").alias("label"))
              .where("label IN (0, 1)").groupBy("id").agg(F.max("label").alias("label")).where(fold(F.col("id")) != 0))
+    n_buckets = max(-(-bucket_count(docs) // 4), 2 * shuffle_partitions(spark)) | 1
+    with batches_of(spark):
+        chunk = stored(docs.mapInPandas(_chunk_rows, _CHUNK), "toxic-chunks")
     # labels grow with the documents: the same shuffled join at every size
-    train = docs.where("fold <> 0").join(known.hint("shuffle_hash"), "id")
+    picked = (chunk.select("chunk", F.posexplode("ids").alias("at", "id")).where(fold(F.col("id")).between(1, FOLDS - 2))
+              .join(known.hint("shuffle_hash"), "id").groupBy("chunk").agg(F.collect_list(F.struct("at", "label")).alias("picked")))  # within a chunk
+    picked = picked.select("chunk", F.col("picked.at").alias("at"), F.col("picked.label").alias("label"))
 
     def count(batches):
         for pdf in batches:
-            for lo, hi in _in_slices(pdf["text"].tolist()):
-                part = pdf.iloc[lo:hi]
-                seen = Counter(), Counter()
-                for t, y in zip(part["text"], part["label"], strict=True):
-                    seen[y].update(plain_words(t))
-                ws = list(seen[0].keys() | seen[1].keys())
-                if ws:
-                    word, key = _grams(ws)
+            for r in pdf.itertuples():
+                ws, lens, held, times = _read(r)
+                label = np.full(len(lens), -1)
+                label[np.asarray(r.at)] = np.asarray(r.label)
+                label = np.repeat(label, lens)
+                n = [np.bincount(held[label == y], times[label == y], minlength=len(ws)) for y in (0, 1)]
+                some = np.flatnonzero(n[0] + n[1])
+                if len(some):
+                    word, key = _grams([ws[k] for k in some])
                     key, which = np.unique(key, return_inverse=True)
-                    n = [np.bincount(which, np.fromiter((c[w] for w in ws), np.float64, len(ws))[word]).astype(np.int64) for c in seen]
+                    n = [np.bincount(which, c[some][word]).astype(np.int64) for c in n]
                     yield pd.DataFrame({"key": key, "ordinary": n[0], "toxic": n[1]})
 
     schema = StructType([StructField("key", LongType()), StructField("ordinary", LongType()), StructField("toxic", LongType())])
-    counts = (train.where(F.col("fold") < FOLDS - 1).select("text", "label").mapInPandas(count, schema)
-              .groupBy("key").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")))
-    got = counts.orderBy(F.desc(F.col("ordinary") + F.col("toxic")), "key").limit(MODEL_GRAMS).toPandas()  # MODEL_GRAMS rows
-    model = Model(got["key"].to_numpy(np.int64), got["toxic"].to_numpy(np.float64), got["ordinary"].to_numpy(np.float64))
-    sc = df.sparkSession.sparkContext
-    shared = sc.broadcast(model)  # bounded by MODEL_GRAMS
-
-    def features(batches):
-        cache: dict[bytes, float] = {}
-        for pdf in batches:
-            x = [np.zeros((0, 3))]
-            texts = pdf["text"].tolist()
-            for lo, hi in _in_slices(texts):
-                x.append(_features(shared.value, cache, texts[lo:hi]))
-            yield pd.DataFrame(np.concatenate(x), columns=["peak", "by_byte", "mean"]).assign(label=pdf["label"].to_numpy())
+    with batches_of(spark, CHUNK_ROWS):
+        counts = stored(chunk.drop("ids").join(picked.hint("shuffle_hash"), "chunk").mapInPandas(count, schema)
+                        .groupBy("key").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")), "toxic-counts")
+    with batches_of(spark, CHUNK_ROWS):
+        found = stored(_look_up(chunk, model(counts), n_buckets), "toxic-features")
 
-    fit = train.where(F.col("fold") == FOLDS - 1).select("text", "label").mapInPandas(features, "peak double, by_byte double, mean double, label int")
+    fit = found.where(fold(F.col("id")) == FOLDS - 1).join(known.hint("shuffle_hash"), "id").select("peak", "by_byte", "mean", "label")
     fit = fit.orderBy(F.xxhash64("peak", "by_byte", "mean"), "label").limit(CURVE_ROWS).toPandas()  # CURVE_ROWS rows
-    share = known.agg(F.avg("label")).first()[0]
-    both = fit["label"].nunique() == 2 and len(got)
-    curve = _curve(fit[["peak", "by_byte", "mean"]].to_numpy(), fit["label"].to_numpy(np.float64)) if both else None
-
-    def score(batches):
-        cache: dict[bytes, float] = {}
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            s = np.full(len(texts), 0.5 if share is None else float(share))
-            if curve is not None:
-                for lo, hi in _in_slices(texts):
-                    x = _features(shared.value, cache, texts[lo:hi])
-                    s[lo:hi] = 1 / (1 + np.exp(-np.clip(x @ curve[:-1] + curve[-1], -30, 30)))
-            yield pd.DataFrame({"id": pdf["id"], "fold": pdf["fold"], "score": s})
-
-    out = docs.mapInPandas(score, StructType([StructField("id", StringType()), StructField("fold", IntegerType()), StructField("score", DoubleType())]))
-    return out.select(F.col("id").cast(id_type).alias(id_col), (F.col("fold") == 0).alias("held_out"), "score")
+    if fit["label"].nunique() == 2 and not counts.isEmpty():
+        *weights, at0 = _curve(fit[["peak", "by_byte", "mean"]].to_numpy(), fit["label"].to_numpy(np.float64)).tolist()
+        x = sum((F.col(c) * w for c, w in zip(("peak", "by_byte", "mean"), weights, strict=True)), F.lit(at0))
+        score = 1 / (1 + F.exp(-F.greatest(F.least(x, F.lit(30.0)), F.lit(-30.0))))
+    else:
+        share = known.agg(F.avg("label")).first()[0]
+        score = F.lit(0.5 if share is None else float(share))
+    return found.select(F.col("id").cast(id_type).alias(id_col), (fold(F.col("id")) == 0).alias("held_out"), score.alias("score"))
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:

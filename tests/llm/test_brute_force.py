@@ -205,6 +205,38 @@ def test_toxicity_on_held_out_rows(spark):
     assert auc > 0.92 and ((got["score"] >= 0.5) == y).mean() > 0.93
 
 
+def test_toxicity_keeps_rare_expressions(spark):
+    """Toxic words counted once weigh beside more than a million other n-grams."""
+    from zlib import crc32
+
+    from tessera.llm.toxicity import toxicity
+
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=10))
+    by_fold = collections.defaultdict(list)
+    for i in range(6000):
+        by_fold[crc32(str(i).encode()) % 5].append(i)
+    filler = [[word() for _ in range(600)] for _ in range(300)]
+    rows, labels = [], []
+
+    def add(fold, ws, y):
+        rows.append((by_fold[fold].pop(), " ".join(ws)))
+        labels.append((rows[-1][0], y))
+
+    for ws in filler:  # every word twice in the counted rows
+        add(1, ws, 0)
+        add(2, ws, 0)
+    for _ in range(150):
+        rare = word()
+        for fold in (3, 4, 0):
+            add(fold, [*rnd.choices(filler[0], k=30), rare], 1)
+            add(fold, rnd.choices(filler[1], k=31), 0)
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels).join(labels, "doc_id").where("held_out").toPandas()
+    rank, y = got["score"].rank(), got["toxic"] == 1
+    assert len(got) == 300 and (rank[y].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (~y).sum()) > 0.95
+
+
 def test_template_of_a_host_is_removed(spark):
     rows = []
     for i in range(40):
