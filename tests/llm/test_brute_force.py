@@ -365,6 +365,17 @@ def test_vector_recall(spark):
     assert [i for i, _ in got[100]] == [99, 101, 102, 103, 104]
 
 
+def test_two_licenses_in_one_line():
+    scan = license_scan.Scanner().text
+    gpl = "This work is licensed under the GNU General Public License, version 3."
+    mit, cc = "Licensed under the MIT License.", "Licensed under CC BY-SA 4.0."
+    apache, agpl = "Licensed under the Apache License, Version 2.0.", gpl.replace("General", "Affero General")
+    for text, want in ((f"Code: {mit} Text: {gpl}", {"MIT", "GPL-3.0"}), (f"{apache} Licensed under CC BY-NC 4.0.", {"Apache-2.0", "CC-BY-NC-4.0"}),
+                       (f"Licensed under CC0 1.0. {agpl}", {"CC0-1.0", "AGPL-3.0"}), (f"{mit} {cc}", {"MIT", "CC-BY-SA-4.0"}),
+                       (agpl, {"AGPL-3.0"}), (f"{agpl} {agpl}", {"AGPL-3.0"})):
+        assert {x[0] for x in scan(text)} == want, text
+
+
 def test_blocks_cover_every_key_word():
     rnd = random.Random(1)
     lines = [" ".join(rnd.choice(["word", "licensed", "x"]) for _ in range(rnd.randint(0, 500))) for _ in range(30)]
