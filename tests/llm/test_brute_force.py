@@ -5,6 +5,7 @@ import hashlib
 import math
 import os
 import random
+import textwrap
 
 import duckdb
 import numpy as np
@@ -376,6 +377,15 @@ def test_two_licenses_in_one_line():
         assert {x[0] for x in scan(text)} == want, text
 
 
+@pytest.mark.parametrize("width", [30, 60, 78])
+def test_notices_over_lines(width):
+    for name, text in license_scan.TEMPLATES:
+        for front in ("", "# ", " * "):
+            wrapped = "\n".join(front + x for x in textwrap.wrap(text, width))
+            got = license_scan.Scanner().text(f"Title\n\n{wrapped}\n\nThe end of it.")
+            assert [(x[0], x[4]) for x in got] == [(name, 2)], (text, got)
+
+
 def test_blocks_cover_every_key_word():
     rnd = random.Random(1)
     lines = [" ".join(rnd.choice(["word", "licensed", "x"]) for _ in range(rnd.randint(0, 500))) for _ in range(30)]
