@@ -195,6 +195,19 @@ def test_quality_rejects_junk_and_keeps_clean(spark):
     assert by[(0, False)] >= 0.9 * (by[(0, False)] + by.get((0, True), 0))
 
 
+def test_quality_threshold_needs_different_texts(spark):
+    """One trusted text, however often, rejects none; a language with few takes
+    the quantile of all."""
+    rnd = random.Random(8)
+    text = lambda: " ".join(rnd.choices(["a", "bee", "sea", "Delta,", "echo.", "fox"], k=40))
+    rows = [(i, "xx", text()) for i in range(40)] + [(i, "xx", rows0) for rows0 in [text()] for i in range(100, 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    assert quality.quality(docs, docs.where("doc_id >= 100")).where("NOT keep").count() == 0
+    more = spark.createDataFrame([(i, "yy", text()) for i in range(1000, 1000 + 2 * quality.MIN_TEXTS)], docs.schema)
+    got = quality.quality(docs.union(more), docs.union(more).where("doc_id >= 100")).select("lang", "threshold").distinct().collect()
+    assert len({r.threshold for r in got}) <= 2 and all(r.threshold < 100 for r in got)
+
+
 def test_toxicity_on_held_out_rows(spark):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic")
     from tessera.llm.toxicity import toxicity
