@@ -74,10 +74,60 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
 
+_ITEM = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode({0}::VARCHAR)) || ':' || {0}::VARCHAR END"
+_LEAF = "sha256(" + " || ".join(_ITEM.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+# crc32, eight shifts a byte
+_CRC = ("xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda c: ord(c)::BIGINT)), "
+        "lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))))")
+# nodes of every level over (s, i, n, h): tree, place, nodes in the level, hash; and what stands beside each
+_TREE = """
+{0}_n AS (SELECT 0 AS l, s, i, n, h FROM {0} UNION ALL
+          SELECT l + 1, s, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM {0}_n WHERE n > 1 GROUP BY l + 1, s, i // 3, (n + 2) // 3),
+{0}_s AS (SELECT l, s, i, COALESCE(string_agg(h, '') OVER (PARTITION BY l, s, i // 3 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+                 COALESCE(string_agg(h, '') OVER (PARTITION BY l, s, i // 3 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b FROM {0}_n WHERE n > 1)"""
+
+OP11 = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, {_LEAF.format('text')} AS leaf,
+         CASE WHEN {_CRC.format('doc_id::VARCHAR')} % 2 = 0 THEN {_LEAF.format("replace(text, chr(10), '')")} ELSE {_LEAF.format('text')} END AS changed FROM documents),
+src AS (SELECT source, count(*)::BIGINT AS n, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS s FROM d GROUP BY source),
+x AS (SELECT d.*, s, n, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d JOIN src ON d.source IS NOT DISTINCT FROM src.source),
+low AS (SELECT s, i, n, leaf AS h FROM x),{_TREE.format('low')},
+sub AS (SELECT s, h FROM low_n WHERE n = 1),
+high AS (SELECT 0 AS s, s AS i, (SELECT count(*) FROM src)::BIGINT AS n, h FROM sub),{_TREE.format('high')},
+step AS (SELECT r, l, a, b FROM x JOIN low_s ON x.s = low_s.s AND x.i // (3 ** l)::BIGINT = low_s.i
+         UNION ALL SELECT r, 100 + l, a, b FROM x JOIN high_s ON x.s // (3 ** l)::BIGINT = high_s.i),
+k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY l) AS k FROM step),
+fold AS (SELECT r, 0::BIGINT AS k, changed AS h FROM d UNION ALL SELECT fold.r, k.k, sha256(a || h || b) FROM fold JOIN k ON k.r = fold.r AND k.k = fold.k + 1),
+proof AS (SELECT r, string_agg(a || b, '' ORDER BY k) AS p FROM k GROUP BY r),
+done AS (SELECT r, arg_max(h, k) AS folded_root FROM fold GROUP BY r),
+root AS (SELECT h AS root FROM high_n WHERE n = 1)
+SELECT doc_id, leaf, sub.h AS subroot, root, sha256(COALESCE(p, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM x JOIN sub USING (s) JOIN done USING (r) LEFT JOIN proof USING (r), root
+"""
+
+_RUN = "regexp_extract_all(" + _LOWER.format("text") + ", '[a-zÀ-ÿ]+')"
+OP12 = rf"""
+WITH RECURSIVE run AS (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest({_RUN}) AS w FROM documents) WHERE length(w) >= 6 GROUP BY ALL),
+h AS (SELECT w, c, {_CRC.replace("string_split({0}, '')", "regexp_extract_all(hex(encode({0})), '..')").replace("ord(c)", "('0x' || c)").format("doc_id || ':' || w")} AS h FROM run),
+word AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, (h % length(w))::INTEGER) || substr(w, (h % length(w))::INTEGER + 2) ELSE w END AS word, c FROM h),
+v AS (SELECT word, sum(c)::BIGINT AS n FROM word WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+less AS (SELECT word, k, substr(word, 1, k - 1) || substr(word, k + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1))::INTEGER AS k FROM v)),
+near AS (SELECT a.word, b.word AS other FROM less a JOIN less b ON a.k = b.k AND a.rest = b.rest AND a.word <> b.word
+         UNION SELECT less.word, v.word FROM less JOIN v ON rest = v.word UNION SELECT v.word, less.word FROM less JOIN v ON rest = v.word),
+best AS (SELECT near.word, count(*) AS n_near, arg_min(other, (-v.n, other)) AS form, max(v.n) AS form_n FROM near JOIN v ON other = v.word GROUP BY near.word),
+f AS (SELECT v.word, v.n, COALESCE(n_near, 0)::BIGINT AS n_near, CASE WHEN form_n >= 5 * n THEN form END AS form, CASE WHEN form_n >= 5 * n THEN form_n END AS form_n
+      FROM v LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS at FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON walk.at = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, w.at AS root, f.n, f.n_near, f.form_n FROM f JOIN walk w USING (word) JOIN f e ON w.at = e.word AND e.form IS NULL
+"""
+
 ORACLE_SQL = {
     "op2_substring_dedup": OP2,
     "op3_decontaminate": OP3,
     "op4_mix_sources": OP4,
     "op8_ngram_join": OP8,
     "op10_nearest": OP10,
+    "op11_merkle_manifest": OP11,
+    "op12_spelling_variants": OP12,
 }
