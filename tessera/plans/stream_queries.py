@@ -9,24 +9,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.fixtures import AS_OF, HOME_URL, fixture
+from tessera.operators.usage import normalise_usage, sessionize
 from tessera.plans.merge_queries import _M2_BASE
 from tessera.plans.oracle_sql import usage_ctes
 from tessera.plans.registry import REGISTRY, register
 from tessera.plans.request_queries import LOCALES
 from tessera.session import scratch_path
 from tessera.streaming import jobs as S
+from tessera.streaming.log import TableLog
 
 
 def _run_dir(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:10]}")
 
 
+#: Arrival order of the request rows: the middle days first, then the newest, then
+#: the oldest; a tenth of the first slice is delivered once more with the last.
+_FIRST, _SECOND = "2024-01-11", "2024-01-21"
+
+
 def _ingest(spark: SparkSession, sf_dir: str) -> str:
-    """Land the request rows as files and run X1 over them; returns the run folder."""
+    """Land the request rows as files in three slices, out of order, and run X1
+    after each; returns the path of the log."""
     base = _run_dir(spark, "x1")
-    fixture(spark, sf_dir, "usage_raw").write.parquet(f"{base}/in")
-    S.usage_stream(spark, f"{base}/in", f"{base}/usage", f"{base}/ckpt-x1", HOME_URL, LOCALES).awaitTermination()
-    return base
+    raw = fixture(spark, sf_dir, "usage_raw")
+    day = F.date_format("event_at", "yyyy-MM-dd")
+    middle = raw.where((day >= _FIRST) & (day < _SECOND))
+    for rows in (middle, raw.where(day >= _SECOND), raw.where(day < _FIRST).unionByName(middle.where("id % 10 = 0"))):
+        rows.write.mode("append").parquet(f"{base}/in")
+        S.usage_stream(spark, f"{base}/in", f"{base}/usage", f"{base}/ckpt-x1", HOME_URL, LOCALES).awaitTermination()
+    return f"{base}/usage"
+
+
+def _land_usage(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, str]:
+    """Normalised request rows as files, in two arrivals of which the second
+    holds the older days; returns the run folder and the schema."""
+    base = _run_dir(spark, name)
+    usage = normalise_usage(fixture(spark, sf_dir, "usage_raw"), HOME_URL)
+    for rows in (usage.where(F.col("event_on") >= _FIRST), usage.where(F.col("event_on") < _FIRST)):
+        rows.write.mode("append").parquet(f"{base}/in")
+    return base, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in usage.schema)
 
 
 _X1_COLS = ["id", "site_id", "token_id", "http_code", "request_uri", "event_on", "is_api", "is_file",
@@ -45,18 +67,66 @@ def _x1_oracle() -> str:
 @register("x1_usage_stream", oracle=_x1_oracle())
 def x1_usage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X1 (+M13, U1, P6): streaming ingest of every request row, de-duplicated on id."""
-    base = _ingest(spark, sf_dir)
-    return spark.read.parquet(f"{base}/usage").select(*_X1_COLS)
+    return TableLog(spark, _ingest(spark, sf_dir)).table("usage").select(*_X1_COLS)
+
+
+@register("x1_late_rows", oracle=usage_ctes() + f"""
+SELECT id, event_on, (epoch_us(top) - epoch_us(event_at)) // 1000000 AS seconds_behind
+  FROM usage, (SELECT max(event_at) AS top FROM usage) WHERE event_on < '{_FIRST}' AND top - event_at > INTERVAL 1 DAY
+""")
+def x1_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The side table of requests that came more than a day behind the newest one then known."""
+    late = TableLog(spark, _ingest(spark, sf_dir)).table("late")
+    return late.select("id", F.date_format("event_at", "yyyy-MM-dd").alias("event_on"),
+                       F.floor(F.expr("unix_micros(timestamp'1970-01-01 00:00:00' + behind) / 1000000")).alias("seconds_behind"))
+
+
+_X2_ROWS = """
+ FROM usage WHERE NOT is_deleted AND NOT is_api AND http_code BETWEEN 200 AND 299
+"""
+_X2_COUNTS = "COUNT(CASE WHEN NOT is_file THEN id END) AS pages, COUNT(CASE WHEN is_file THEN id END) AS files"
+_X2_DISTINCT = """COUNT(DISTINCT CASE WHEN NOT is_file THEN token_id END) AS approx_cids,
+       COUNT(DISTINCT CASE WHEN NOT is_file THEN coalesce(from_ip, '') || coalesce(agent, '') END) AS approx_page_agents,
+       COUNT(DISTINCT CASE WHEN is_file THEN coalesce(from_ip, '') || coalesce(agent, '') END) AS approx_file_agents"""
+
+
+def _daily(spark: SparkSession, sf_dir: str) -> str:
+    base, schema = _land_usage(spark, sf_dir, "x2")
+    S.usage_daily_stream(spark, f"{base}/in", f"{base}/daily", f"{base}/ckpt", schema, max_files_per_trigger=4).awaitTermination()
+    return f"{base}/daily"
 
 
-@register("x2_usage_daily_stream")
+@register("x2_usage_daily_stream", oracle=usage_ctes() + f"SELECT site_id, event_on, {_X2_COUNTS}, {_X2_DISTINCT}" + _X2_ROWS + "GROUP BY site_id, event_on")
 def x2_usage_daily_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Streaming daily counters per site over the ingested log (rows-only: distinct counts are estimates)."""
-    base = _ingest(spark, sf_dir)
-    schema = spark.read.parquet(f"{base}/usage").schema
-    S.usage_daily_stream(spark, f"{base}/usage", f"{base}/daily", f"{base}/ckpt-x2", "2 days",
-                         schema=schema.simpleString()[len("struct<"):-1].replace(":", " ")).awaitTermination()
-    return S.latest(spark, f"{base}/daily", ["site_id", "event_on"])
+    """Streaming daily counters per site from stored sketches; the oracle counts
+    exactly, as a sketch does up to some hundred distinct values a day and site."""
+    return S.usage_daily(spark, _daily(spark, sf_dir))
+
+
+@register("x2_usage_daily_counts", oracle=usage_ctes() + f"SELECT site_id, event_on, {_X2_COUNTS}" + _X2_ROWS + "GROUP BY site_id, event_on")
+def x2_usage_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact page and file counters of the streaming daily report."""
+    return S.usage_daily(spark, _daily(spark, sf_dir)).select("site_id", "event_on", "pages", "files")
+
+
+@register("x2_usage_range", oracle=usage_ctes() + f"""
+, e AS (SELECT site_id, {_X2_COUNTS}, {_X2_DISTINCT}""" + _X2_ROWS + """ AND event_on BETWEEN '2024-01-08' AND '2024-01-21' GROUP BY site_id)
+SELECT site_id, pages, files, true AS cids_near, true AS page_agents_near, true AS file_agents_near FROM e
+""")
+def x2_usage_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two weeks' counters and distinct visitors per site, from the daily sketches alone;
+    the estimates are held against exact counts, within three standard errors."""
+    est = S.usage_daily(spark, _daily(spark, sf_dir), ("site_id",), "2024-01-08", "2024-01-21")
+    usage = normalise_usage(fixture(spark, sf_dir, "usage_raw"), HOME_URL).where(
+        "NOT is_deleted AND NOT is_api AND http_code BETWEEN 200 AND 299 AND event_on BETWEEN '2024-01-08' AND '2024-01-21'")
+    visitor = F.concat(F.coalesce("from_ip", F.lit("")), F.coalesce("agent", F.lit("")))
+    exact = usage.groupBy("site_id").agg(
+        F.countDistinct(F.when(~F.col("is_file"), F.col("token_id"))).alias("cids"),
+        F.countDistinct(F.when(~F.col("is_file"), visitor)).alias("page_agents"),
+        F.countDistinct(F.when(F.col("is_file"), visitor)).alias("file_agents"))
+    error = 3 * 1.04 / 2 ** (S.SKETCH_LG_K / 2)
+    near = [(F.abs(F.col(f"approx_{c}") - F.col(c)) <= F.col(c) * error).alias(f"{c}_near") for c in ("cids", "page_agents", "file_agents")]
+    return est.withColumnRenamed("site_id", "_site").join(exact, F.col("_site").eqNullSafe(F.col("site_id"))).select("site_id", "pages", "files", *near)
 
 
 SESSION_GAP_DAYS = 1
@@ -75,12 +145,10 @@ SELECT token_id, strftime(min(event_at), '%Y-%m-%d %H:%M:%S.%g') AS session_star
 """)
 def x3_token_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Idle-expiring sessions (1-day gap) of every token in the ingested log."""
-    base = _ingest(spark, sf_dir)
-    schema = spark.read.parquet(f"{base}/usage").schema
-    S.token_sessions(spark, f"{base}/usage", f"{base}/sessions", f"{base}/ckpt-x3", SESSION_GAP_DAYS,
-                     schema=schema.simpleString()[len("struct<"):-1].replace(":", " "),
-                     output_mode="complete").awaitTermination()
-    out = S.newest(spark, f"{base}/sessions")
+    base, schema = _land_usage(spark, sf_dir, "x3")
+    S.token_sessions_stream(spark, f"{base}/in", f"{base}/sessions", f"{base}/ckpt", SESSION_GAP_DAYS, schema,
+                            max_files_per_trigger=4).awaitTermination()
+    out = S.token_sessions(spark, f"{base}/sessions")
     return out.select("token_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss.SSS").alias("session_start"),
                       F.date_format("session_end", "yyyy-MM-dd HH:mm:ss.SSS").alias("session_end"), "requests")
 
@@ -93,9 +161,8 @@ def _note_stream(spark: SparkSession, sf_dir: str) -> str:
     slices = [F.col("version") == 0, F.col("version").between(1, 3), F.col("version") >= 4]
     for cond in slices:
         v.filter(cond).repartition(n, "note_id").write.mode("append").parquet(f"{base}/in")
-    S.note_changes_stream(spark, f"{base}/in", f"{base}/current", f"{base}/history", f"{base}/ckpt-x4", AS_OF,
-                          max_files_per_trigger=n).awaitTermination()
-    return base
+    S.note_changes_stream(spark, f"{base}/in", f"{base}/notes", f"{base}/ckpt-x4", AS_OF, max_files_per_trigger=n).awaitTermination()
+    return f"{base}/notes"
 
 
 @register("x4_note_history", oracle=_M2_BASE + """
@@ -104,8 +171,7 @@ SELECT note_id, version, type, content, is_private FROM s
 """)
 def x4_note_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X4 (+M2): history rows written by the note change stream over all versions."""
-    base = _note_stream(spark, sf_dir)
-    return spark.read.parquet(f"{base}/history").select("note_id", "version", "type", "content", "is_private")
+    return S.note_history(spark, _note_stream(spark, sf_dir)).select("note_id", "version", "type", "content", "is_private")
 
 
 @register("x4_note_current", oracle=_M2_BASE + """
@@ -113,32 +179,14 @@ SELECT note_id, version, type, content, is_private FROM s WHERE nv IS NULL
 """)
 def x4_note_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X4 (+M2): current notes after the note change stream over all versions."""
-    base = _note_stream(spark, sf_dir)
-    return S.latest(spark, f"{base}/current", ["note_id"]).select("note_id", "version", "type", "content", "is_private")
+    return S.current_notes(spark, _note_stream(spark, sf_dir)).select("note_id", "version", "type", "content", "is_private")
 
 
 @register("x3_token_sessions_batch", oracle=REGISTRY["x3_token_sessions"].oracle)
 def x3_token_sessions_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X3 in batch: the same 1-day idle sessions computed with the skew-safe
     sessionizer over the normalised log (no streaming)."""
-    from tessera.operators.usage import normalise_usage, sessionize
-
     usage = normalise_usage(fixture(spark, sf_dir, "usage_raw"), HOME_URL).filter(~F.col("is_deleted"))
     s = sessionize(usage, "token_id", "event_at", SESSION_GAP_DAYS * 86400)
     return s.select("token_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss.SSS").alias("session_start"),
                     F.date_format("session_end", "yyyy-MM-dd HH:mm:ss.SSS").alias("session_end"), "requests")
-
-
-@register("x2_usage_daily_counts", oracle=usage_ctes() + """
-SELECT site_id, event_on, COUNT(CASE WHEN NOT is_file THEN id END) AS pages, COUNT(CASE WHEN is_file THEN id END) AS files
-  FROM usage WHERE NOT is_deleted AND NOT is_api AND http_code BETWEEN 200 AND 299
- GROUP BY site_id, event_on
-""")
-def x2_usage_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The exact page and file counters of the streaming daily report (the
-    distinct-count estimates are checked rows-only in x2_usage_daily_stream)."""
-    base = _ingest(spark, sf_dir)
-    schema = spark.read.parquet(f"{base}/usage").schema
-    S.usage_daily_stream(spark, f"{base}/usage", f"{base}/daily", f"{base}/ckpt-x2", "2 days",
-                         schema=schema.simpleString()[len("struct<"):-1].replace(":", " ")).awaitTermination()
-    return S.latest(spark, f"{base}/daily", ["site_id", "event_on"]).select("site_id", "event_on", "pages", "files")
