@@ -11,10 +11,11 @@ ids plus the current maximum (one scalar row), never from a global window.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.catalog import ADMIN_TYPES, best_locale, match_account, note_can_edit
+from tessera.operators.catalog import ADMIN_TYPES, best_locale, match_account
 from tessera.operators.sequence import next_in_sequence
 from tessera.sources.tables import live
 
@@ -104,17 +105,61 @@ def merge_notes(cur: DataFrame, chg: DataFrame, as_of: str) -> tuple[DataFrame,
 NOTE_TYPES = ["note.normal", "note.secret", "note.private", "note.locked"]
 
 
+def _permitted(upd: DataFrame, acct: DataFrame, cur: DataFrame, hist: DataFrame) -> DataFrame:
+    """The (note_id, request_id) of the updates that their account may make
+    (J9), each judged on the note as the earlier ones of the batch left it.
+
+    Admin and global accounts may always; the note's last editor and, of a
+    public note, its past ones may while the note is not deleted.  Only these
+    accounts' requests can change a note, so all others leave before the ordered
+    pass, and of the past editors a batch can add, the one that matters is the
+    editor before the batch (the others are admins or were past ones already).
+    The pass therefore reads the requests of a note in order with a state of a
+    few values; no note's requests are held together."""
+    a = live(acct).select(F.col("id").alias("account_id"), F.col("type").isin(ADMIN_TYPES).alias("admin"))
+    past = live(hist).select("note_id", F.col("updated_by").alias("account_id"), F.lit(True).alias("past")).distinct()
+    n = cur.select(F.col("id").alias("note_id"), F.col("updated_by").alias("editor0"), F.col("is_private").alias("private0"),
+                   F.col("is_deleted").alias("deleted0"), F.xxhash64("type").alias("type0"),
+                   F.xxhash64(F.coalesce("content", F.lit(""))).alias("content0"))
+    rows = upd.join(a, "account_id").join(n, "note_id").join(past, ["note_id", "account_id"], "left").select(
+        "note_id", "request_id", "account_id", "admin", F.coalesce("past", F.lit(False)).alias("past"),
+        "is_private", (F.length("content") == 0).alias("blank"), F.xxhash64("type").alias("type"), F.xxhash64("content").alias("content"),
+        F.coalesce("editor0", F.lit(-1)).alias("editor0"), F.coalesce("private0", F.lit(True)).alias("private0"), "deleted0", "type0", "content0")
+    rows = rows.where(F.col("admin") | F.col("past") | (F.col("account_id") == F.col("editor0")))
+
+    def judge(batches):
+        note = object()
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                if r.note_id != note:
+                    note, editor, private, deleted = r.note_id, r.editor0, r.private0, r.deleted0
+                    text, moved = (r.type0, r.content0, private), False
+                past = r.past or moved and r.account_id == r.editor0
+                if r.admin or not deleted and (r.account_id == editor or past and not private):
+                    out.append((r.note_id, r.request_id))
+                    now = (r.type, text[1] if r.blank else r.content, r.is_private)
+                    if now != text and editor == r.editor0 and not deleted:
+                        moved = True  # its state is in the history from here on
+                    text, editor, private, deleted = now, r.account_id, r.is_private, r.blank
+            yield pd.DataFrame(out, columns=["note_id", "request_id"])
+
+    ordered = rows.repartition("note_id").sortWithinPartitions("note_id", "request_id")
+    return ordered.mapInPandas(judge, upd.select("note_id", "request_id").schema)
+
+
 def apply_note_changes(cur: DataFrame, chg: DataFrame, acct: DataFrame, hist: DataFrame) -> DataFrame:
     """M3: apply note write requests.
 
     ``chg``: request_id, account_id, note_id (≤ 0 / NULL = new note),
     content, type, private ('Y'/'1'/'TRUE' = private).  Type: the requested
     one when it is a known note type, else 'note.normal'.  Existing notes are
-    updated only by permitted accounts (J9, evaluated on the state before the
-    batch); the last permitted request wins for type, privacy, editor and
-    deletion, blank content keeps the previous content and marks the note
-    deleted.  New notes need a live account and non-blank content; their id
-    is the current maximum id plus the request id.
+    updated only by permitted accounts (J9), and requests act in the order of
+    their ids: each is judged on the note as the ones before left it.  The last
+    permitted request wins for type, privacy, editor and deletion, blank content
+    keeps the previous content and marks the note deleted.  New notes need a live
+    account and non-blank content; their id is the current maximum id plus the
+    request id.
 
     Returns the touched notes: id, type, content, is_private, is_deleted,
     updated_by, action ('update' / 'insert').
@@ -125,8 +170,7 @@ def apply_note_changes(cur: DataFrame, chg: DataFrame, acct: DataFrame, hist: Da
                    F.when(t.isin(NOTE_TYPES), t).otherwise(F.lit("note.normal")).alias("type"),
                    F.upper(F.trim(F.coalesce(F.col("private"), F.lit("")))).isin("Y", "1", "TRUE").alias("is_private"))
     upd = r.filter(F.col("note_id") > 0)
-    perm = note_can_edit(upd.select("account_id", "note_id"), acct, cur, hist)
-    ok = upd.join(perm.filter("can_edit").select("account_id", "note_id"), ["account_id", "note_id"], "left_semi")
+    ok = upd.join(_permitted(upd, acct, cur, hist), ["note_id", "request_id"], "left_semi")
     order = F.struct("request_id")
     agg = ok.groupBy("note_id").agg(
         F.max_by(F.struct("type", "is_private", (F.length("content") == 0).alias("is_deleted"),
@@ -220,15 +264,65 @@ ACCOUNT_DEFAULT_META = [
 ]
 
 
-def _first_claims(new: DataFrame) -> DataFrame:
+#: Pairs of names of one component that a task judges one after another.
+COMPONENT_PAIRS = 2_000_000
+
+
+def _first_claims(new: DataFrame, component_pairs: int = COMPONENT_PAIRS) -> DataFrame:
     """The requests (request_id, login, _mail) that insert an account when all
     act in the order of their ids, and one is refused if an account inserted
     before has its login or its e-mail (NULL: none).
 
-    In each round the requests that are the first left of their login and of
-    their e-mail insert; they and all that share a name with them leave.  The
-    smallest id left always inserts, so the rounds end; there are as many as
-    the longest chain of requests that each free the next."""
+    Of the requests with one pair of names only the first can insert.  Pairs
+    that share no name with another insert at once; the others depend on each
+    other only inside a component of pairs linked by shared names, and each
+    component is judged in order by one pass that keeps the names taken.  The
+    number of jobs grows with the logarithm of the longest chain of requests.
+    A component of more than ``component_pairs`` pairs, whose names a task
+    should not hold, is judged in rounds instead (``_claims_in_rounds``)."""
+    from tessera.operators.graph import components
+    from tessera.operators.sequence import _materialise
+
+    pairs = _materialise(new.groupBy("login", "_mail").agg(F.min("request_id").alias("request_id")))
+    logins = pairs.groupBy("login").agg(F.count("*").alias("_nl"))
+    mails = pairs.filter(F.col("_mail").isNotNull()).groupBy("_mail").agg(F.count("*").alias("_nm"))
+    shared = _materialise(pairs.join(logins, "login").join(mails, "_mail", "left").withColumn(
+        "_alone", (F.col("_nl") == 1) & (F.coalesce("_nm", F.lit(1)) == 1)).select("request_id", "login", "_mail", "_alone"))
+    alone, crowd = shared.filter("_alone").drop("_alone"), shared.filter("NOT _alone").drop("_alone")
+    if crowd.isEmpty():
+        return alone
+    # names by hash: two that fall together join two components, which are then judged together
+    name = lambda kind, c: F.xxhash64(F.lit(kind), F.col(c))
+    crowd = crowd.withColumn("_node", name("login", "login"))
+    roots = components(crowd.filter(F.col("_mail").isNotNull()).select(F.col("_node").alias("a"), name("mail", "_mail").alias("b")))
+    crowd = _materialise(crowd.join(roots.select(F.col("node").alias("_node"), "root"), "_node", "left")
+                         .select("request_id", "login", "_mail", F.coalesce("root", "_node").alias("_root")))
+    huge = crowd.groupBy("_root").agg(F.count("*").alias("n")).filter(F.col("n") > component_pairs).select("_root")
+
+    def judge(batches):
+        root, taken = None, set()
+        for pdf in batches:
+            keep = []
+            for k, (r, login, mail) in enumerate(zip(pdf["_root"], pdf["login"], pdf["_mail"], strict=True)):
+                if r != root:
+                    root, taken = r, set()
+                names = [(0, login)] + ([(1, mail)] if mail is not None else [])
+                if taken.isdisjoint(names):
+                    taken.update(names)
+                    keep.append(k)
+            yield pdf.iloc[keep][["request_id", "login", "_mail"]]
+
+    small = crowd.join(huge, "_root", "left_anti").repartition("_root").sortWithinPartitions("_root", "request_id")
+    out = alone.unionByName(small.mapInPandas(judge, alone.schema))
+    rest = crowd.join(huge, "_root", "left_semi").drop("_root")
+    return out if rest.isEmpty() else out.unionByName(_claims_in_rounds(rest))
+
+
+def _claims_in_rounds(new: DataFrame) -> DataFrame:
+    """``_first_claims`` in rounds: the requests that are the first left of
+    their login and of their e-mail insert; they and all that share a name with
+    them leave.  The smallest id left always inserts, so the rounds end; there
+    are as many as the longest chain of requests that each free the next."""
     from tessera.operators.sequence import _materialise
 
     out, left = None, _materialise(new)

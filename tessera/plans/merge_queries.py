@@ -63,22 +63,30 @@ def m2_notes_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _note_states(spark, sf_dir)[0].select("note_id", "version", "type", "content", "is_private")
 
 
-_M3 = with_fixtures("note", "account", "note_history", "note_change") + f"""
+_M3 = with_fixtures("note", "account", "note_history", "note_change").replace("WITH ", "WITH RECURSIVE ", 1) + f"""
 , r AS (SELECT request_id, account_id, coalesce(note_id, 0) AS note_id, trim(coalesce(content, '')) AS content,
                CASE WHEN lower(trim(coalesce(type, ''))) IN ({", ".join(f"'{t}'" for t in M.NOTE_TYPES)})
                     THEN lower(trim(type)) ELSE 'note.normal' END AS type,
                upper(trim(coalesce(private, ''))) IN ('Y', '1', 'TRUE') AS is_private
           FROM note_change),
-past AS (SELECT DISTINCT note_id, updated_by AS account_id FROM note_history WHERE NOT is_deleted),
-perm AS (SELECT p.account_id, p.note_id,
-                coalesce(a.type IN ('account.global', 'account.admin'), false)
-                OR coalesce(n.updated_by = p.account_id, false)
-                OR (pa.account_id IS NOT NULL AND coalesce(NOT n.is_private, false)) AS can_edit
-           FROM (SELECT DISTINCT account_id, note_id FROM r WHERE note_id > 0) p
-           JOIN account a ON a.id = p.account_id AND NOT a.is_deleted
-           LEFT JOIN note n ON n.id = p.note_id AND NOT n.is_deleted
-           LEFT JOIN past pa ON pa.note_id = p.note_id AND pa.account_id = p.account_id),
-ok AS (SELECT r.* FROM r JOIN perm p ON p.account_id = r.account_id AND p.note_id = r.note_id AND p.can_edit),
+q AS (SELECT r.*, row_number() OVER (PARTITION BY r.note_id ORDER BY request_id) AS k, a.type IN ('account.global', 'account.admin') AS admin
+        FROM r JOIN account a ON a.id = r.account_id AND NOT a.is_deleted JOIN note n ON n.id = r.note_id WHERE r.note_id > 0),
+-- one row a note and request: the note after it
+st AS (SELECT n.id AS note_id, 0::BIGINT AS k, n.type, n.content, n.is_private, n.is_deleted, n.updated_by, false AS ok,
+              coalesce((SELECT list(DISTINCT h.updated_by) FROM note_history h WHERE h.note_id = n.id AND NOT h.is_deleted), []) AS past
+         FROM note n WHERE n.id IN (SELECT note_id FROM q)
+       UNION ALL
+       SELECT note_id, k, CASE WHEN can THEN t ELSE type END, CASE WHEN can AND length(c) > 0 THEN c ELSE content END,
+              CASE WHEN can THEN p ELSE is_private END, CASE WHEN can THEN length(c) = 0 ELSE is_deleted END,
+              CASE WHEN can THEN a ELSE updated_by END, can,
+              CASE WHEN can AND NOT is_deleted AND (t <> type OR p <> is_private OR (length(c) > 0 AND c <> content))
+                   THEN list_append(past, updated_by) ELSE past END
+         FROM (SELECT st.note_id, q.k, st.type, st.content, st.is_private, st.is_deleted, st.updated_by, st.past,
+                      q.type AS t, q.content AS c, q.is_private AS p, q.account_id AS a,
+                      q.admin OR (NOT st.is_deleted AND (st.updated_by = q.account_id
+                                                         OR (NOT st.is_private AND list_contains(st.past, q.account_id)))) AS can
+                 FROM st JOIN q ON q.note_id = st.note_id AND q.k = st.k + 1)),
+ok AS (SELECT q.* FROM q JOIN st ON st.note_id = q.note_id AND st.k = q.k AND st.ok),
 agg AS (SELECT note_id, arg_max(type, request_id) AS type, arg_max(is_private, request_id) AS is_private,
                arg_max(length(content) = 0, request_id) AS is_deleted, arg_max(account_id, request_id) AS updated_by,
                arg_max(content, CASE WHEN length(content) > 0 THEN request_id END) AS last_content
