@@ -541,3 +541,34 @@ SELECT c_custkey AS request_id,
        CASE WHEN c_custkey % 7 = 0 THEN 'short' ELSE 'password' || CAST(c_custkey % 2 AS STRING) END AS password
   FROM customer
 """
+
+# Rows for the declared keys only: every table of the catalogue that other
+# operators do not read, and the guid columns they leave out.
+FIXTURE_SQL["language"] = """
+SELECT DISTINCT lang AS code FROM documents WHERE lang <> 'fr'
+"""
+
+FIXTURE_SQL["location_key"] = """
+SELECT CAST(s_suppkey + 1 AS INT) AS id, CASE WHEN s_suppkey % 8 = 7 THEN NULL ELSE CAST(s_suppkey % 2000 AS INT) END AS updated_by,
+       md5(CAST(s_suppkey % 90 AS STRING)) AS guid
+  FROM supplier
+"""
+
+FIXTURE_SQL["note_key"] = """
+SELECT CAST(doc_id + 1 AS INT) AS id, md5(text) AS guid FROM documents
+"""
+
+FIXTURE_SQL["file_url"] = """
+SELECT o_orderkey AS id, CAST(o_orderkey % 2300 AS INT) AS file_id, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(o_custkey AS INT) END AS account_id,
+       CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_custkey % 1100 + 1 AS INT) END AS token_id,
+       md5(CAST(o_orderkey % 1400 AS STRING) || o_orderstatus) AS guid
+  FROM orders
+"""
+
+FIXTURE_SQL["contact"] = """
+SELECT CAST(conv_id * 100 + turn AS INT) AS id, md5(text) AS guid FROM conversations WHERE turn % 2 = 0
+"""
+
+FIXTURE_SQL["contact_meta"] = """
+SELECT CAST(conv_id * 100 + turn AS INT) AS contact_id, 'sent.' || role AS key FROM conversations WHERE turn % 3 > 0
+"""

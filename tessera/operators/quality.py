@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +81,48 @@ def orphans(child: DataFrame, parent: DataFrame, fk: str, pk: str = "id", name:
                       F.col(fk).cast("string").alias("fk_value"))
 
 
+def orphans_of_all(children: list[tuple[DataFrame, str, list[tuple[str, str, str]]]], parents: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """Q2 for many keys at once: ``children`` lists (rows, row key, keys), each
+    key as (name, column, parent), and ``parents`` names (rows, key column).
+
+    A child table is scanned once for all of its keys: each row gives its (key
+    name, parent, value), of which only the different (parent, value) pairs are
+    shuffled, together with the parents' keys (partial aggregation; a value that
+    most rows hold is one pair a task), and one aggregate finds the pairs that
+    no parent row has.  A second scan gives the rows that hold one; Spark
+    broadcasts the pairs while they are few.  NULL keys pass.
+
+    Semi and anti joins are avoided on purpose: Spark pushes them below the
+    union, with a copy of the other side's whole plan for every table."""
+    def refs(df: DataFrame, row_key: str, keys: list[tuple[str, str, str]]) -> DataFrame:
+        each = F.array(*[F.struct(F.lit(n).alias("fk_name"), F.lit(p).alias("parent"), F.col(c).cast("string").alias("value")) for n, c, p in keys])
+        return df.select(F.col(row_key).cast("string").alias("row_key"), F.explode(each).alias("k")) \
+            .select("k.fk_name", "row_key", "k.parent", "k.value").filter(F.col("value").isNotNull())
+
+    def all_refs() -> DataFrame:
+        return reduce(DataFrame.unionByName, [refs(*child) for child in children])
+
+    own = [df.select(F.lit(n).alias("parent"), F.col(pk).cast("string").alias("value"), F.lit(1).alias("known")) for n, (df, pk) in parents.items()]
+    pairs = reduce(DataFrame.unionByName, own, all_refs().select("parent", "value", F.lit(0).alias("known")))
+    missing = pairs.groupBy("parent", "value").agg(F.max("known").alias("known")).filter("known = 0").select("parent", "value")
+    found = all_refs().join(missing, ["parent", "value"])
+    return found.select("fk_name", "row_key", F.col("value").alias("fk_value"))
+
+
+def duplicates_of_all(tables: list[tuple[DataFrame, list[tuple[str, list[str]]]]]) -> DataFrame:
+    """Q3 for many keys at once: ``tables`` lists (rows, keys), each key as
+    (name, columns).  One scan a table and one aggregate for all keys, counted
+    map-side first.  A key with a NULL column is left out."""
+    def keyed(df: DataFrame, keys: list[tuple[str, list[str]]]) -> DataFrame:
+        # a NULL in any column makes the text of the key NULL
+        text = lambda cols: F.concat(*[x for c in cols for x in (F.lit("|"), F.col(c).cast("string"))][1:])
+        each = F.array(*[F.struct(F.lit(n).alias("check_name"), text(cols).alias("key_value")) for n, cols in keys])
+        return df.select(F.explode(each).alias("k")).select("k.check_name", "k.key_value").filter(F.col("key_value").isNotNull())
+
+    rows = reduce(DataFrame.unionByName, [keyed(*t) for t in tables])
+    return rows.groupBy("check_name", "key_value").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
+
+
 def duplicates(df: DataFrame, cols: list[str], name: str | None = None) -> DataFrame:
     """Q3: key values that occur more than once (NULL keys excluded, as a
     UNIQUE index allows them).  Partial counts are combined map-side."""

@@ -82,45 +82,59 @@ def q1_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.rule_counts(_violations(spark, sf_dir))
 
 
-# (name, child fixture, fk, parent fixture, child key)
+# The 27 declared foreign keys: (child, row key, [(column, parent)]).
 _FKS = [
-    ("location.created_by", "location", "created_by", "account", "id"),
-    ("location.state_id", "location", "state_id", "state", "id"),
-    ("location.note_id", "location", "note_id", "note", "id"),
-    ("account_meta.account_id", "account_meta", "account_id", "account", "key"),
-    ("tokens.account_id", "tokens", "account_id", "account", "id"),
-    ("note.updated_by", "note", "updated_by", "account", "id"),
-    ("site_url.site_id", "site_url", "site_id", "site", "id"),
-    ("file.account_id", "file", "account_id", "account", "id"),
-    ("note_history.note_id", "note_history", "note_id", "note", "id"),
-    ("location_meta.location_id", "location_meta", "location_id", "location", "key"),
+    ("country_region", "id", [("country_code", "country")]),
+    ("state", "id", [("country_code", "country"), ("region_id", "country_region")]),
+    ("locale", "code", [("language_code", "language")]),
+    ("site", "id", [("locale_code", "locale")]),
+    ("site_url", "id", [("site_id", "site")]),
+    ("site_meta", "key", [("site_id", "site")]),
+    ("account", "id", [("locale_code", "locale")]),
+    ("account_meta", "key", [("account_id", "account")]),
+    ("tokens", "id", [("account_id", "account")]),
+    ("note", "id", [("updated_by", "account")]),
+    ("note_meta", "key", [("note_id", "note")]),
+    ("note_history", "id", [("note_id", "note"), ("updated_by", "account")]),
+    ("file", "id", [("account_id", "account")]),
+    ("file_meta", "key", [("file_id", "file")]),
+    ("file_url", "id", [("file_id", "file"), ("account_id", "account"), ("token_id", "tokens")]),
+    ("usage_raw", "id", [("site_id", "site"), ("token_id", "tokens")]),
+    ("contact_meta", "key", [("contact_id", "contact")]),
+    ("location", "id", [("country_code", "country"), ("state_id", "state"), ("created_by", "account")]),
+    ("location_key", "id", [("updated_by", "account")]),
+    ("location_meta", "key", [("location_id", "location")]),
 ]
+_PARENT_KEYS = {"country": "code", "locale": "code", "language": "code"}
+_PARENTS = sorted({p for _, _, keys in _FKS for _, p in keys})
 
 
-@register("q2_orphans", oracle=with_fixtures(*sorted({x for fk in _FKS for x in (fk[1], fk[3])})) + "\n UNION ALL\n".join(
-    f"SELECT '{n}' AS fk_name, CAST(c.{k} AS VARCHAR) AS row_key, CAST(c.{fk} AS VARCHAR) AS fk_value FROM {ch} c "
-    f"WHERE c.{fk} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {p} p WHERE p.id = c.{fk})"
-    for n, ch, fk, p, k in _FKS))
+@register("q2_orphans", oracle=with_fixtures(*sorted({ch for ch, _, _ in _FKS} | set(_PARENTS))) + "\n UNION ALL\n".join(
+    f"SELECT '{ch}.{fk}' AS fk_name, CAST(c.{k} AS VARCHAR) AS row_key, CAST(c.{fk} AS VARCHAR) AS fk_value FROM {ch} c "
+    f"WHERE c.{fk} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {p} p WHERE p.{_PARENT_KEYS.get(p, 'id')} = c.{fk})"
+    for ch, k, keys in _FKS for fk, p in keys))
 def q2_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q2: rows whose foreign key names no parent row, for ten foreign keys."""
+    """Q2: rows whose foreign key names no parent row, for all 27 declared keys."""
     f = lambda n: fixture(spark, sf_dir, n)
-    return reduce(DataFrame.unionByName, [Q.orphans(f(ch), f(p), fk, "id", n, k) for n, ch, fk, p, k in _FKS])
+    return Q.orphans_of_all([(f(ch), k, [(f"{ch}.{fk}", fk, p) for fk, p in keys]) for ch, k, keys in _FKS],
+                            {p: (f(p), _PARENT_KEYS.get(p, "id")) for p in _PARENTS})
 
 
-_DUPS = [("account.login", "account", ["login"]), ("account.email", "account", ["email"]),
-         ("account_meta.pk", "account_meta", ["account_id", "key"]), ("site_url.url", "site_url", ["url"]),
-         ("location_meta.pk", "location_meta", ["location_id", "key"]), ("note_history.id", "note_history", ["id"])]
+# Unique columns (the nine declared ones) and primary keys that several columns make up.
+_DUPS = [("account", [["login"], ["email"], ["guid"]]), ("site", [["guid"]]), ("note_key", [["guid"]]), ("file", [["guid"]]),
+         ("file_url", [["guid"]]), ("contact", [["guid"]]), ("location_key", [["guid"]]), ("account_meta", [["account_id", "key"]]),
+         ("site_url", [["url"]]), ("location_meta", [["location_id", "key"]]), ("note_history", [["id"]])]
 
 
-@register("q3_duplicates", oracle=with_fixtures(*sorted({d[1] for d in _DUPS})) + "\n UNION ALL\n".join(
-    f"SELECT '{n}' AS check_name, concat_ws('|', {', '.join(f'CAST({c} AS VARCHAR)' for c in cols)}) AS key_value, "
+@register("q3_duplicates", oracle=with_fixtures(*[t for t, _ in _DUPS]) + "\n UNION ALL\n".join(
+    f"SELECT '{t}.{'+'.join(cols)}' AS check_name, concat_ws('|', {', '.join(f'CAST({c} AS VARCHAR)' for c in cols)}) AS key_value, "
     f"count(*) AS n FROM {t} WHERE {' AND '.join(f'{c} IS NOT NULL' for c in cols)} "
     f"GROUP BY {', '.join(cols)} HAVING count(*) > 1"
-    for n, t, cols in _DUPS))
+    for t, keys in _DUPS for cols in keys))
 def q3_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q3: duplicate values of unique and primary keys."""
+    """Q3: duplicate values of the unique columns and of primary keys."""
     f = lambda n: fixture(spark, sf_dir, n)
-    return reduce(DataFrame.unionByName, [Q.duplicates(f(t), cols, n) for n, t, cols in _DUPS])
+    return Q.duplicates_of_all([(f(t), [(f"{t}.{'+'.join(cols)}", cols) for cols in keys]) for t, keys in _DUPS])
 
 
 # Declared column catalogue of the driver tables: FIXTURES §2 for the
