@@ -14,6 +14,7 @@ before, by a prefix sum).  A document's ids are a slice of a memory-mapped file.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import sys
@@ -43,7 +44,7 @@ _PRINTS = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LEVEL = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTS)}
 #: A longer piece is encoded each time it occurs; shorter ones are remembered
 #: in two generations of so many.
-PIECE_BYTES, KNOWN = 48, 300_000
+PIECE_BYTES, KNOWN = 48, 200_000
 
 
 def cut_places(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -143,6 +144,14 @@ class Encoder:
             yield bytes(out[at[k]:at[k + 1]]) + self.end
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str, end_id: int) -> Encoder:
+    """The encoder of a worker process, which its tasks share with all that it
+    remembers: a tokenizer takes longer to load than many parts take to encode,
+    and one a task would be held until the last is collected."""
+    return Encoder(path, end_id)
+
+
 def cuts_at_space(path: str) -> bool:
     """Whether the tokenizer file splits by the byte-level pattern alone, so
     that no token spans the place between a character and white space."""
@@ -218,7 +227,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str =
                 if not batch.num_rows:
                     continue
                 if encode is None:
-                    encode = Encoder(tokenizer, end_id)
+                    encode = encoder(tokenizer, end_id)
                     store, at = _store(path)
                     ids = store.open_output_stream(f"{at}/ids-{name}.bin", buffer_size=1 << 20)
                     offsets = store.open_output_stream(f"{at}/offsets-{name}.bin", buffer_size=1 << 16)
