@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.paging import page_bounds
 from tessera.sources.tables import live
 
 # Extension → MIME fallback table.
@@ -254,10 +255,10 @@ def page(df: DataFrame, order: list[Column], count: int | None, page_no: int | N
          cap: int, default: int) -> DataFrame:
     """One page of an ordered result: count above the cap → cap, ≤ 0 →
     default; page below 0 → 0; offset = page × count.  Planned as a
-    TakeOrdered of offset + count rows (each task keeps only that many)."""
-    count = default if count is None or count <= 0 else min(count, cap)
-    page_no = 0 if page_no is None or page_no < 0 else page_no
-    return df.orderBy(*order).offset(page_no * count).limit(count)
+    TakeOrdered of offset + count rows (each task keeps only that many), for
+    the first pages; ``paging.build_page_index`` serves any page."""
+    offset, size = page_bounds(count, page_no, cap, default)
+    return df.orderBy(*order).offset(offset).limit(size)
 
 
 def plan_renditions(df: DataFrame, name_col: str = "name", width_col: str = "width",

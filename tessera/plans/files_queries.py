@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.fixtures import QUOTA_BYTES, fixture, with_fixtures
+from tessera.fixtures import QUOTA_BYTES, fixture, table, with_fixtures
 from tessera.operators import files as FL
+from tessera.operators.paging import build_page_index, read_page
 from tessera.plans.registry import register
+from tessera.session import scratch_path
 
 
 def _sql_map(table: dict[str, str], key: str) -> str:
@@ -61,6 +65,18 @@ def p9_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FL.page(up, [F.col("bytes").desc(), F.col("id")], count=400, page_no=2, cap=250, default=25)
 
 
+@register("p9_deep_page", oracle="""
+SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DOUBLE) AS price FROM lineitem
+ ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 250 OFFSET 5000
+""")
+def p9_deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page far into all line items by price, read through a page index."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("double").alias("price"))
+    path = scratch_path(spark, f"p9-{uuid.uuid4().hex}")
+    build_page_index(rows, [F.col("price").desc(), F.col("l_orderkey"), F.col("l_linenumber")], path)
+    return read_page(spark, path, count=400, page_no=20, cap=250, default=25)
+
+
 _J17_EXT = "trim(CASE WHEN contains(name, '.') THEN split_part(name, '.', -1) ELSE '' END)"
 _J17 = with_fixtures("file_upload") + f"""
 , e AS (SELECT id, name, given_mime,

@@ -19,7 +19,7 @@ FUNCTIONS = {
     "P1": "operators.catalog.country_list", "P2": "operators.catalog.account_profile",
     "P3": "operators.catalog.entitlement", "P4": "operators.catalog.visible_to",
     "P5": "operators.catalog.mask_account / mask_file", "P6": "operators.usage.classify_probe",
-    "P7": "operators.usage.parse_route", "P8": "operators.usage.guid_from_path", "P9": "operators.files.page",
+    "P7": "operators.usage.parse_route", "P8": "operators.usage.guid_from_path", "P9": "operators.files.page, operators.paging.build_page_index / read_page",
     "P10": "operators.geo.clean_attempts", "P11": "operators.files.valid_uploads", "P12": "operators.files.acl_flags",
     "J1": "operators.catalog.location_detail", "J2": "operators.catalog.meta_rows",
     "J3": "operators.catalog.resolve_host", "J4": "operators.catalog.site_by_domain",
@@ -57,9 +57,9 @@ FUNCTIONS = {
     "D1": "operators.dates.api_dates", "D2": "operators.dates.convert_times", "D3": "operators.dates.age_buckets",
     "D4": "operators.dates.valid_date / hms_to_seconds / seconds_to_hms",
     "D5": "operators.dates.format_sizes / pad_ids",
-    "X1": "streaming.jobs.usage_stream", "X2": "streaming.jobs.usage_daily_stream",
-    "X3": "streaming.jobs.token_sessions (+ operators.usage.sessionize)", "X4": "streaming.jobs.note_changes_stream",
-    "Q1": "operators.quality.check_rules", "Q2": "operators.quality.orphans", "Q3": "operators.quality.duplicates",
+    "X1": "streaming.jobs.usage_stream (+ streaming.log.TableLog)", "X2": "streaming.jobs.usage_daily_stream / usage_daily",
+    "X3": "streaming.jobs.token_sessions_stream / token_sessions (+ operators.usage.sessionize)", "X4": "streaming.jobs.note_changes_stream / current_notes / note_history",
+    "Q1": "operators.quality.check_rules", "Q2": "operators.quality.orphans_of_all / orphans", "Q3": "operators.quality.duplicates_of_all / duplicates",
     "Q4": "operators.quality.schema_drift",
 }
 UNIT_TESTED = {"S2": "tests/test_text_units.py (generated JSON files)",
