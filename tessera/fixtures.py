@@ -572,3 +572,17 @@ SELECT CAST(conv_id * 100 + turn AS INT) AS id, md5(text) AS guid FROM conversat
 FIXTURE_SQL["contact_meta"] = """
 SELECT CAST(conv_id * 100 + turn AS INT) AS contact_id, 'sent.' || role AS key FROM conversations WHERE turn % 3 > 0
 """
+
+FIXTURE_SQL["note_meta_change"] = """
+SELECT CAST(doc_id * 7 % 1200 + 1 AS INT) AS note_id,
+       CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN ' Source.' || source WHEN 1 THEN 'geo.place ' WHEN 2 THEN 'plain' ELSE 'Tag.' || lang END AS key,
+       CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 5 = 1 THEN '   ' ELSE ' v' || CAST(doc_id AS STRING) END AS value, doc_id AS seq
+  FROM documents
+"""
+
+FIXTURE_SQL["file_meta_change"] = """
+SELECT CAST(o_orderkey % 50 + 1 AS INT) AS file_id,
+       CASE CAST(o_orderkey % 3 AS INT) WHEN 0 THEN 'Image.W' || CAST(o_orderkey % 400 AS STRING) WHEN 1 THEN 'image.alt' ELSE 'none' END AS key,
+       CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE o_orderpriority END AS value, o_orderkey AS seq
+  FROM orders
+"""

@@ -104,6 +104,25 @@ def j2_meta_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.meta_rows(f("account"), f("account_meta"), "account_id")
 
 
+def _live_meta(parent: str, fk: str) -> str:
+    return with_fixtures(parent, f"{parent}_meta") + (
+        f"SELECT m.{fk}, m.key, m.value FROM {parent} p JOIN {parent}_meta m ON p.id = m.{fk} WHERE NOT p.is_deleted AND NOT m.is_deleted")
+
+
+@register("j2_note_meta", oracle=_live_meta("note", "note_id"))
+def j2_note_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live key/value rows of every live note."""
+    f = _f(spark, sf_dir)
+    return C.meta_rows(f("note"), f("note_meta"), "note_id")
+
+
+@register("j2_site_meta", oracle=_live_meta("site", "site_id"))
+def j2_site_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live key/value rows of every live site."""
+    f = _f(spark, sf_dir)
+    return C.meta_rows(f("site"), f("site_meta"), "site_id")
+
+
 _J3 = with_fixtures("host_request", "site", "site_url", "site_meta", "locale") + """
 , hosts AS (SELECT DISTINCT lower(trim(host)) AS host FROM host_request),
 active AS (SELECT site_id, id AS url_id, url AS site_url FROM (

@@ -34,6 +34,31 @@ def m1_merge_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("account_id", "key", "value", "is_deleted", "touched")
 
 
+def _merged_meta(parent: str, fk: str) -> str:
+    return with_fixtures(parent, f"{parent}_meta", f"{parent}_meta_change") + f"""
+, c AS (SELECT {fk}, lower(trim(key)) AS key, trim(coalesce(value, '')) AS value, seq FROM {parent}_meta_change x
+         WHERE strpos(key, '.') > 0 AND EXISTS (SELECT 1 FROM {parent} p WHERE p.id = x.{fk} AND NOT p.is_deleted)),
+last AS (SELECT {fk}, key, value FROM (SELECT *, row_number() OVER (PARTITION BY {fk}, key ORDER BY seq DESC) AS k FROM c) WHERE k = 1)
+SELECT {fk}, key, value, value = '' AS is_deleted, true AS touched FROM last
+UNION ALL SELECT {fk}, key, value, is_deleted, false FROM {parent}_meta m
+ WHERE NOT EXISTS (SELECT 1 FROM last l WHERE l.{fk} = m.{fk} AND l.key = m.key)
+"""
+
+
+@register("m1_merge_note_meta", oracle=_merged_meta("note", "note_id"))
+def m1_merge_note_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1: apply every note-meta change to the note meta table."""
+    f = _f(spark, sf_dir)
+    return M.merge_meta(f("note_meta"), f("note_meta_change"), f("note"), "note_id", AS_OF).drop("updated_at")
+
+
+@register("m1_merge_file_meta", oracle=_merged_meta("file", "file_id"))
+def m1_merge_file_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1: apply every file-meta change to the file meta table."""
+    f = _f(spark, sf_dir)
+    return M.merge_meta(f("file_meta"), f("file_meta_change"), f("file"), "file_id", AS_OF).drop("updated_at")
+
+
 def _note_states(spark, sf_dir):
     v = fixture(spark, sf_dir, "note_version")
     return M.merge_notes(v.filter(F.col("version") == 0), v.filter(F.col("version") > 0), AS_OF)
