@@ -3,10 +3,7 @@ upload rules, access flags and rendition plans."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.paging import page_bounds
@@ -122,85 +119,64 @@ def quota_remaining(files: DataFrame, limits: DataFrame) -> DataFrame:
     return j.withColumn("bucket_remain", F.greatest(F.col("upload_limit") - F.col("upload_bytes"), F.lit(0)))
 
 
-def _admit_stream(quota_col: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # rows arrive sorted by (account_id, arrival, id) within the task;
-        # the running remainder is carried across Arrow batches
-        current, remaining = None, 0
-        for pdf in batches:
-            acc = pdf["account_id"].to_numpy()
-            size = pdf["bytes"].to_numpy()
-            quota = pdf[quota_col].to_numpy()
-            ok = [False] * len(pdf)
-            left = [0] * len(pdf)
-            for i in range(len(pdf)):
-                if acc[i] != current:
-                    current, remaining = acc[i], int(quota[i])
-                if 0 < size[i] <= remaining:
-                    remaining -= int(size[i])
-                    ok[i] = True
-                left[i] = remaining
-            yield pd.DataFrame({"id": pdf["id"], "account_id": pdf["account_id"],
-                                "accepted": ok, "remaining": left})
-    return run
-
-
-def _sequential_admission(rows: DataFrame, quota_col: str, partitions: int) -> DataFrame:
-    """The greedy recurrence, run in arrival order per account with only
-    (account, remaining) carried between Arrow batches."""
-    ordered = rows.repartition(partitions, "account_id").sortWithinPartitions("account_id", "arrival", "id")
-    return ordered.select("id", "account_id", "arrival", "bytes", quota_col).mapInPandas(
-        _admit_stream(quota_col), "id int, account_id int, accepted boolean, remaining long")
-
-
-def _phase_admission(cands: DataFrame, partitions: int) -> DataFrame:
-    """Late candidates of hot accounts, decided in parallel phases by size class.
-
-    While an account's remainder R is in [2^k, 2^(k+1)), every file below 2^k
-    fits, and the first larger one that fits takes R below 2^k.  So in a phase
-    all small files are accepted, with a skew-safe running sum S in arrival
-    order, up to the event that takes R below 2^k: the first large file with
-    bytes <= R - S, or the small file whose S does it.  Large files before the
-    event do not fit.  The files after it go on with the new remainder, at most
-    half of R, so there are at most as many phases as the quota has bits; the
-    pool is checkpointed after each (iterative, lineage cut)."""
-    from tessera.operators.sequence import _materialise, running_sum
-
-    decided: list[DataFrame] = []
-    pool = cands.select("id", "account_id", "arrival", "bytes", "_R")
-    while True:
-        pool = _materialise(pool.filter(F.col("bytes") <= F.col("_R")))  # the others can never fit again
-        if pool.isEmpty():
-            break
-        floor = F.pow(F.lit(2.0), F.floor(F.log2("_R"))).cast("long")
-        x = pool.withColumn("_small", F.col("bytes") < floor).withColumn("_used", F.when(F.col("_small"), F.col("bytes")).otherwise(F.lit(0)).cast("long"))
-        x = running_sum(x, "account_id", ["arrival", "id"], "_used", "_S", partitions=partitions)
-        left = F.col("_R") - F.col("_S")
-        ends = F.when(F.col("_small"), left < floor).otherwise(F.col("bytes") <= left)
-        at = F.struct("arrival", "id")
-        event = x.filter(ends).groupBy("account_id").agg(
-            F.min(at).alias("_at"), F.min_by(left - F.when(F.col("_small"), F.lit(0)).otherwise(F.col("bytes")), at).alias("_next"))
-        x = _materialise(x.join(event, "account_id", "left"))
-        before = F.col("_at").isNull() | (at <= F.col("_at"))
-        decided.append(x.filter(before).select("id", (F.col("_small") | F.coalesce(at == F.col("_at"), F.lit(False))).alias("_acc")))
-        pool = x.filter(~before).select("id", "account_id", "arrival", "bytes", F.col("_next").alias("_R"))
-    out = cands.limit(0).select("id", F.lit(False).alias("_acc"))  # what no phase accepted is refused by the caller
-    for d in decided:
-        out = out.unionByName(d)
-    return out
-
-
-def admit_uploads(uploads: DataFrame, quotas: DataFrame, partitions: int | None = None,
-                  hot_threshold: int = 1_000_000) -> DataFrame:
+def _late_admission(late: DataFrame, partitions: int) -> DataFrame:
+    """The files of all accounts that are admitted after their account's first
+    overflow: (id).  ``late``: id, account_id, arrival, bytes and ``_R``, what
+    the account has left, with 0 < bytes <= _R.
+
+    Parallel phases by size class, for all accounts at once.  While an
+    account's remainder R is in [2^k, 2^(k+1)), every file below 2^k fits, and
+    the first larger one that fits takes R below 2^k.  So in a phase all small
+    files are accepted up to the event that takes R below 2^k: the first large
+    file with bytes <= R - S, S being the small ones' running sum, or the small
+    file whose S does it.  Large files before the event do not fit.  The files
+    after it go on with the new remainder, one bit shorter, so
+    there are at most as many phases as the largest ``_R`` has bits.
+
+    The files are put into ranges of (account, arrival, id) once; S is summed in
+    each (account, range) and the ranges' totals before it are added, so a huge
+    account is as many pieces as it has ranges.  A phase is checkpointed once
+    (what is left shrinks, the lineage is cut)."""
+    from tessera.operators.sequence import _materialise
+
+    at = F.struct("arrival", "id")
+    inside = Window.partitionBy("account_id", "_range").orderBy("arrival", "id").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("account_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    pool = _materialise(late.select("id", "account_id", "arrival", "bytes", "_R").repartitionByRange(partitions, "account_id", "arrival", "id")
+                        .withColumn("_range", F.spark_partition_id()))
+    admitted = late.select("id").limit(0)
+    while not pool.isEmpty():
+        floor = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin("_R")) - 1)
+        x = pool.withColumn("_small", F.col("bytes") < floor)
+        x = x.withColumn("_used", F.when(F.col("_small"), F.col("bytes")).otherwise(F.lit(0)).cast("long")).withColumn("_floor", floor)
+        totals = x.groupBy("account_id", "_range").agg(F.sum("_used").alias("_sum"))
+        totals = totals.select("account_id", "_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+        x = x.withColumn("_S", F.sum("_used").over(inside)).join(totals, ["account_id", "_range"])
+        x = x.withColumn("_left", F.col("_R") - F.col("_before") - F.col("_S"))
+        ends = F.when(F.col("_small"), F.col("_left") < F.col("_floor")).otherwise(F.col("bytes") <= F.col("_left"))
+        after = F.col("_left") - F.when(F.col("_small"), F.lit(0)).otherwise(F.col("bytes"))
+        event = x.filter(ends).groupBy("account_id").agg(F.min(at).alias("_at"), F.min_by(after, at).alias("_next"))
+        x = x.select("id", "account_id", "arrival", "bytes", "_range", "_small").join(event, "account_id", "left")
+        # decided in this phase: up to the event, and what can never fit again
+        x = x.withColumn("_now", F.col("_at").isNull() | (at <= F.col("_at")))
+        x = x.withColumn("_in", F.col("_now") & (F.col("_small") | F.coalesce(at == F.col("_at"), F.lit(False))))
+        x = _materialise(x.filter(F.col("_in") | (~F.col("_now") & (F.col("bytes") <= F.col("_next")))))
+        admitted = admitted.unionByName(x.filter("_in").select("id"))
+        pool = x.filter(~F.col("_in")).select("id", "account_id", "arrival", "bytes", F.col("_next").alias("_R"), "_range")
+    return admitted
+
+
+def admit_uploads(uploads: DataFrame, quotas: DataFrame, partitions: int | None = None) -> DataFrame:
     """Greedy upload admission per account in arrival order: a file is
     accepted if 0 < bytes ≤ remaining, and only accepted files use space
     (so it is not a plain running sum).  Output: id, account_id, accepted,
     remaining (after the file).
 
     ``uploads``: id (unique), account_id, arrival, bytes (NULL: nothing to
-    admit); ``quotas``: account_id, quota.
+    admit); ``quotas``: account_id, quota (missing: 0).
 
-    Exact, and parallel where the recurrence allows it:
+    Exact, one way for accounts of every size, and no task goes through an
+    account file by file:
 
     1. A skew-safe running sum P of the positive sizes per account (range
        partitions; a huge account spans many tasks).  Until the first file
@@ -208,10 +184,7 @@ def admit_uploads(uploads: DataFrame, quotas: DataFrame, partitions: int | None
        accepted iff bytes > 0, remaining = quota − P.
     2. After that first overflow the remainder R is below the overflowing
        file's size and only shrinks, so only files with 0 < bytes ≤ R can
-       still be accepted.  An account with more than ``hot_threshold`` such
-       candidates is decided in parallel phases, exactly and whatever their
-       number (``_phase_admission``); the others, bounded by that number, go
-       through the sequential pass (``mapInPandas`` over account-ordered rows).
+       still be accepted: parallel phases by size class (``_late_admission``).
     3. Remaining for every later file is R minus a second skew-safe running
        sum of the accepted candidate sizes.
     """
@@ -227,22 +200,8 @@ def admit_uploads(uploads: DataFrame, quotas: DataFrame, partitions: int | None
     tail = p.filter(F.col("_P") > F.col("_quota"))
     rest = tail.groupBy("account_id").agg((F.min("_quota") - F.min(F.col("_P") - F.col("_pos"))).alias("_R"))
     tail = tail.join(rest, "account_id")
-    cands = tail.filter((F.col("bytes") > 0) & (F.col("bytes") <= F.col("_R")))
-    hot = cands.groupBy("account_id").count().filter(F.col("count") > hot_threshold).select("account_id")
-    # cheap pre-check on the input: an account needs more than hot_threshold
-    # files in total to have that many late candidates
-    heavy = u.groupBy("account_id").count().filter(F.col("count") > hot_threshold)
-    if heavy.limit(1).count() == 0 or hot.limit(1).count() == 0:
-        # no hot account: every late candidate takes the sequential pass
-        decided = _sequential_admission(cands, "_R", n).select("id", F.col("accepted").alias("_acc"))
-    else:
-        from tessera.operators.sequence import _materialise
-
-        cands = _materialise(cands)
-        cold = cands.join(hot, "account_id", "left_anti")
-        decided = _sequential_admission(cold, "_R", n).select("id", F.col("accepted").alias("_acc")).unionByName(
-            _phase_admission(cands.join(hot, "account_id", "left_semi"), n))
-    tail = tail.join(decided, "id", "left").withColumn("accepted", F.coalesce("_acc", F.lit(False))) \
+    admitted = _late_admission(tail.filter((F.col("bytes") > 0) & (F.col("bytes") <= F.col("_R"))), n)
+    tail = tail.join(admitted.withColumn("accepted", F.lit(True)), "id", "left").fillna(False, ["accepted"]) \
         .withColumn("_used", F.when(F.col("accepted"), F.col("bytes")).otherwise(F.lit(0)).cast("long"))
     tail = running_sum(tail.select("id", "account_id", "arrival", "accepted", "_used", "_R"), "account_id",
                        ["arrival", "id"], "_used", "_U", partitions=n)

@@ -41,7 +41,7 @@ def test_admit_uploads_phases_match_brute_force(spark):
     quotas = df.select("account_id").distinct().selectExpr("account_id", "1000 AS quota")
     want = _brute(rows, 1000)
     got = {r.id: (r.accepted, r.remaining)
-           for r in FL.admit_uploads(df, quotas, partitions=5, hot_threshold=0).collect()}
+           for r in FL.admit_uploads(df, quotas, partitions=5).collect()}
     assert got == want
 
 
@@ -49,3 +49,18 @@ def test_admit_uploads_null_sizes_are_refused(spark):
     df = spark.createDataFrame([(1, 1, 1, None), (2, 1, 2, 5)], "id int, account_id int, arrival int, bytes int")
     q = spark.createDataFrame([(1, 10)], "account_id int, quota int")
     assert {r.id: (r.accepted, r.remaining) for r in FL.admit_uploads(df, q, partitions=2).collect()} == {1: (False, 10), 2: (True, 5)}
+
+
+def test_admit_uploads_every_account_shape(spark):
+    # quotas of 0, none and 2^40; ties in arrival; halving sizes (one admission a phase); accounts without an overflow
+    rnd = random.Random(21)
+    rows = [(i, 1, 0, 1 << (40 - i)) for i in range(40)] + [(100 + i, 2, rnd.randint(0, 3), rnd.randint(-5, 60)) for i in range(200)]
+    rows += [(400 + i, 3, i, 7) for i in range(20)] + [(500 + i, 4, i, 1) for i in range(5)] + [(600, 5, 0, 3)]
+    quota = {1: (1 << 40) - 1, 2: 333, 3: 1000, 4: 0}
+    df = spark.createDataFrame(rows, "id int, account_id int, arrival int, bytes long")
+    q = spark.createDataFrame(list(quota.items()), "account_id int, quota long")
+    got = {r.id: (r.accepted, r.remaining) for r in FL.admit_uploads(df, q, partitions=3).collect()}
+    want = {}
+    for acc in range(1, 6):
+        want |= _brute([r for r in rows if r[1] == acc], quota.get(acc, 0))
+    assert got == want
