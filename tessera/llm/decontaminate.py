@@ -4,8 +4,11 @@ From the hashes of all k-word grams of a text, every run of w neighbouring
 hashes keeps its smallest (the last one if equal).  A passage of k + w - 1
 words that a document shares with a benchmark item is one such run in both, so
 both keep the same fingerprint from it: joining the fingerprints misses no
-shared window.  Each joint fingerprint is then extended to the maximal run of
-equal words, word by word, and counts if it spans a window.
+shared window.  A fingerprint of common words may join many texts that share no
+window, so what is joined on next is the hash of the windows that kept it: a
+document and an item meet only if they share a window.  Each joint fingerprint
+is then extended to the maximal run of equal words, word by word, and counts if
+it spans a window.
 """
 
 from __future__ import annotations
@@ -14,12 +17,13 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from tessera.llm.cells import concat
-from tessera.llm.common import BASE_A, U64, batches_of, mix, rolling, stored, word_hashes
+from tessera.llm.common import BASE_A, BASE_B, U64, batches_of, mix, rolling, stored, word_hashes
 
 WINDOW = 13
 GRAM = 5
@@ -35,11 +39,11 @@ def plain_words(text: str | None) -> list[bytes]:
 
 
 def winnow(h: np.ndarray, window: int) -> np.ndarray:
-    """Positions kept: the last smallest of every run of ``window`` hashes."""
+    """Position kept of every run of ``window`` hashes: its last smallest."""
     if len(h) < window:
         return np.empty(0, np.int64)
     runs = np.lib.stride_tricks.sliding_window_view(h, window)[:, ::-1]
-    return np.unique(np.arange(len(runs)) + window - 1 - runs.argmin(axis=1))
+    return np.arange(len(runs)) + window - 1 - runs.argmin(axis=1)
 
 
 def fingerprints(w: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,17 +51,27 @@ def fingerprints(w: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     ``span`` words is missed.  ``w``: hashes of its words."""
     k = min(GRAM, span)
     h = mix(rolling(w, k, BASE_A) + U64(span))
-    at = winnow(h, span - k + 1)
+    at = np.unique(winnow(h, span - k + 1))
     return h[at], at
 
 
+def window_runs(w: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprints, how many neighbouring windows of ``span`` words keep each,
+    hashes of all windows in order)."""
+    k = min(GRAM, span)
+    h = mix(rolling(w, k, BASE_A) + U64(span))
+    kept = h[winnow(h, span - k + 1)].view(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], kept[1:] != kept[:-1]]))
+    return kept[first], np.diff(np.append(first, len(kept))), mix(rolling(w, span, BASE_B) + U64(span)).view(np.int64)
+
+
 def _spans(n_words: int, window: int, short: list[int]) -> list[int]:
     return [s for s in [*short, window] if s <= n_words]
 
 
 def _hits(doc: list[bytes], dw: np.ndarray, items: list[tuple], window: int) -> tuple[np.ndarray, list]:
     """(which words are hit, items with an occurring window) for one document
-    and its candidate items (id, text)."""
+    and its candidate items (ids, text)."""
     hit = np.zeros(len(doc) + 1, np.int32)
     found = []
     kept: dict[int, dict[int, list[int]]] = {}
@@ -92,6 +106,44 @@ def _hits(doc: list[bytes], dw: np.ndarray, items: list[tuple], window: int) ->
     return np.cumsum(hit[:-1]) > 0, found
 
 
+def sharing_pairs(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(key, item_key) of the texts that share a window, by fingerprint and window hash.
+
+    ``docs``: key, text; ``items``: item_key, item_text.  Only fingerprints that
+    the items have go on with their windows, at most window - GRAM + 1 each, so
+    the rows joined are a bounded number a document word; no fingerprint,
+    however common, pairs texts that share no window."""
+    def lengths(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"n": sorted({len(plain_words(t)) for t in pdf["item_text"]} & set(range(1, window)))})
+
+    short = sorted(r.n for r in items.select("item_text").mapInPandas(lengths, "n int").distinct().collect())  # below `window`
+
+    def runs(spans_of):
+        def of(batches):
+            for batch in batches:
+                keys, prints, sizes, windows = [], [], [], []
+                for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    w = word_hashes(plain_words(t))
+                    for span in spans_of(len(w)):
+                        kept, n, hashes = window_runs(w, span)
+                        keys.append(np.full(len(kept), key, np.int64))
+                        prints.append(kept)
+                        sizes.append(n)
+                        windows.append(hashes)
+                ends = np.concatenate([[0], np.cumsum(concat(sizes, np.int64))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(concat(keys, np.int64)), pa.array(concat(prints, np.int64)),
+                                                  pa.ListArray.from_arrays(ends, concat(windows, np.int64))], names=schema.names)
+        return of
+
+    schema = StructType([StructField("key", LongType()), StructField("print", LongType()), StructField("windows", ArrayType(LongType()))])
+    of_item = items.select("item_key", "item_text").mapInArrow(runs(lambda n: [min(window, n)] if n else []), schema)
+    of_item = stored(of_item.select(F.col("key").alias("item_key"), "print", F.explode("windows").alias("win")).distinct(), "item-windows")
+    of_doc = docs.select("key", "text").mapInArrow(runs(lambda n: _spans(n, window, short)), schema)
+    of_doc = of_doc.join(of_item.select("print").distinct(), "print", "left_semi").select("key", "print", F.explode("windows").alias("win"))
+    return of_doc.join(of_item, ["print", "win"]).select("key", "item_key").distinct()
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """Which words of each document lie in windows of benchmark items.
@@ -115,36 +167,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     docs = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("item_text"))
 
-    def lengths(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"n": sorted({len(plain_words(t)) for t in pdf["item_text"]} & set(range(1, window)))})
-
-    short = sorted(r.n for r in items.select("item_text").mapInPandas(lengths, "n int").distinct().collect())  # below `window`
-
-    def of_items(batches):
-        for pdf in batches:
-            rows = [(i, t, fingerprints(word_hashes(ws), min(window, len(ws)))[0].view(np.int64).tolist())
-                    for i, t in zip(pdf["item"], pdf["item_text"], strict=True) if (ws := plain_words(t))]
-            yield pd.DataFrame(rows, columns=["item", "item_text", "prints"])
-
-    def of_docs(batches):
-        for pdf in batches:
-            out = []
-            for i, t in zip(pdf["id"], pdf["text"], strict=True):
-                w = word_hashes(plain_words(t))
-                got = concat([fingerprints(w, s)[0] for s in _spans(len(w), window, short)], U64)
-                out.append((i, np.unique(got).view(np.int64)))
-            yield pd.DataFrame(out, columns=["id", "prints"])
-
     id_field = StructField("id", StringType())
-    prints = StructField("prints", ArrayType(LongType()))
-    item_prints = items.mapInPandas(of_items, StructType([StructField("item", StringType()), StructField("item_text", StringType()), prints]))
-    doc_prints = docs.mapInPandas(of_docs, StructType([id_field, prints]))
-    joint = (doc_prints.select("id", F.explode("prints").alias("print"))
-             .join(item_prints.select("item", "item_text", F.explode("prints").alias("print")), "print")
-             .select("id", "item", "item_text").distinct())
+    # different item texts with their ids; documents go by a hash of the text, so that equal texts (and null ids) need no group
+    items = items.groupBy("item_text").agg(F.collect_set("item").alias("item"))
+    items = stored(items.withColumn("item_key", F.xxhash64("item_text")), "items")
+    docs = docs.withColumn("key", F.xxhash64("text"))
     with batches_of(docs.sparkSession):
-        candidates = stored(joint.groupBy("id").agg(F.collect_list(F.struct("item", "item_text")).alias("candidates")), "candidates")
+        joint = sharing_pairs(docs, items, window)
+        candidates = joint.join(items, "item_key").groupBy("key").agg(F.collect_list(F.struct("item", "item_text")).alias("candidates"))
+        candidates = stored(candidates, "candidates")
 
     def extend(batches):
         for pdf in batches:
@@ -154,14 +185,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 if cand is None or not len(cand):
                     out.append((i, len(doc), 0, [], []))
                     continue
-                hit, found = _hits(doc, word_hashes(doc), [(c["item"], c["item_text"]) for c in cand], window)
+                hit, found = _hits(doc, word_hashes(doc), [(list(c["item"]), c["item_text"]) for c in cand], window)
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-                out.append((i, len(doc), int(hit.sum()), sorted({f for f in found if f is not None}), edge.reshape(-1, 2).tolist()))
+                out.append((i, len(doc), int(hit.sum()), sorted({f for ids in found for f in ids}), edge.reshape(-1, 2).tolist()))
             yield pd.DataFrame(out, columns=schema.names)
 
     schema = StructType([id_field, StructField("n_words", LongType()), StructField("n_hit", LongType()),
                          StructField("items", ArrayType(StringType())), StructField("spans", ArrayType(ArrayType(IntegerType())))])
-    both = docs.join(candidates.withColumnRenamed("id", "found"), F.col("id").eqNullSafe(F.col("found")), "left").drop("found")
+    both = docs.join(candidates, "key", "left").select("id", "text", "candidates")
     out = both.mapInPandas(extend, schema)
     return out.select(F.col("id").cast(id_type).alias(id_col), *schema.names[1:]).withColumn(
         "contaminated", ((F.col("n_hit") > 0) & (F.lit(SHARE) * F.col("n_hit") >= F.col("n_words"))).cast(BooleanType()))
