@@ -26,7 +26,10 @@ MIN_PAGES, SHARE_OUTSIDE, SHARE_INSIDE = 5, 0.2, 0.5
 #: Places over which the pages of one host are spread.
 SALTS = 32
 #: Elements that are never main text, whatever is in them.
-DROPPED = frozenset("nav footer aside form button select option textarea input label fieldset dialog menu audio video object canvas map".split())
+DROPPED = frozenset("nav footer aside select option textarea input menu audio video canvas map".split())
+#: Elements that go as well, unless they are wrapped around an article, main or
+#: h1 from outside the main element (some sites put the whole page into a form).
+WRAPPERS = frozenset("form button label fieldset dialog object".split())
 #: Elements whose content is not text at all.
 _RAW = "script|style|noscript|template|title|iframe|svg|math|xmp|noembed|noframes|textarea"
 BLOCK = frozenset("""address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2
@@ -41,7 +44,9 @@ replies reply respond responses share sharing sidebar signup social sponsor spon
 #: "related" marks a list of links, not a section on related matters.
 _RELATED = frozenset("related posts post articles article stories links content items reading news box list block widget".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+ROLES = frozenset("alert banner complementary contentinfo menu menubar navigation".split())
+#: Roles that go like WRAPPERS.
+WRAPPER_ROLES = frozenset("dialog form search toolbar".split())
 #: An open element that a start tag of the group closes, up to the named borders.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
          "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
@@ -57,19 +62,20 @@ _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SETTING = frozenset("area block box container inner item items left link links list outer right section top bottom".split())
 #: A name with one of these tells the state of what holds it.
 _STATE = frozenset("has is no not with without".split())
-#: An element with one of these is no mark's, whatever its class or id.
+#: An element with one of these is no mark's, whatever its class or id, and no wrapper's.
 _KEPT = frozenset("article main h1".split())
 
 
 def _is_dropped(tag: str, attrs: str, in_main: bool) -> bool:
     """By its tag, role or state, whatever it holds."""
-    if tag in DROPPED or (tag == "header" and not in_main):
+    if tag in DROPPED or (tag in WRAPPERS and in_main) or (tag == "header" and not in_main):
         return True
     if attrs and not attrs.isspace() and tag not in ("html", "body", "article", "main") and tag not in _HEADINGS:
         for name, a, b, c in _ATTR.findall(attrs):
             value = (a or b or c).lower()
             name = name.lower()
-            if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in ROLES):
+            if name == "hidden" or (name == "aria-hidden" and value == "true") or (
+                    name == "role" and (value in ROLES or (in_main and value in WRAPPER_ROLES))):
                 return True
     elif tag == "article" and attrs and any({"comment", "comments", "reply"} & set(_PART.findall((a or b or c).lower())) for _, a, b, c in _ATTR.findall(attrs)):
         return True
@@ -77,11 +83,16 @@ def _is_dropped(tag: str, attrs: str, in_main: bool) -> bool:
 
 
 def _is_marked(tag: str, attrs: str, in_main: bool) -> bool:
-    """By a class or id that is a word of MARKS or has it as its head: the last
-    part of the name that says more than how a thing is set."""
+    """As a wrapper by its tag or role, or by a class or id that is a word of
+    MARKS or has it as its head: the last part of the name that says more than
+    how a thing is set."""
+    if tag in WRAPPERS:
+        return True
     if not attrs or attrs.isspace() or tag in ("html", "body", "article", "main") or tag in _HEADINGS:
         return False
     for kind, a, b, c in _ATTR.findall(attrs):
+        if kind.lower() == "role" and (a or b or c).lower() in WRAPPER_ROLES:
+            return True
         if kind.lower() in ("class", "id"):
             for name in (a or b or c).split():
                 parts = [x.lower() for x in _NAME_PART.findall(name)]
