@@ -13,7 +13,7 @@ import pytest
 
 from tessera.llm import kneser_ney, license_scan, mixing, quality, queries, shuffle_shards, signature_tree, vector_search
 from tessera.llm.common import BASE_A, lower_words, rolling, words
-from tessera.llm.decontaminate import contamination, plain_words
+from tessera.llm.decontaminate import contamination, plain_words, sharing_pairs
 from tessera.llm.ngram_join import near_duplicates
 from tessera.llm.page_text import extract_text
 from tessera.llm.substring_dedup import remove_repeated_windows
@@ -467,3 +467,52 @@ def test_digest_of_kept_text(spark):
     r = queries.QUERIES["op2_substring_dedup"](spark, SF).where("n_removed = 0").first()
     text = spark.read.parquet(f"{SF}/documents.parquet").where(f"doc_id = {r.doc_id}").first().text
     assert r.kept_sha256 == hashlib.sha256(b" ".join(words(text))).hexdigest()
+
+
+def test_common_words_make_no_candidates(spark):
+    # eight words stand in every text, so all fingerprints of them are joint; only one pair shares 13 words
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(9))
+    common = "these eight common words stand in every text"
+    texts = [" ".join([word() for _ in range(10)] + [common] + [word() for _ in range(10)]) for _ in range(160)]
+    docs = spark.createDataFrame(list(enumerate(texts[:80])) + [(80, texts[100]), (None, texts[100] + " x")], "key long, text string")
+    items = spark.createDataFrame([(i, t) for i, t in enumerate(texts[80:])], "item_key long, item_text string")
+    assert sorted((r.key, r.item_key) for r in sharing_pairs(docs.fillna(-1, ["key"]), items).collect()) == [(-1, 20), (80, 20)]
+    out = {r.doc_id: r for r in contamination(docs.withColumnRenamed("key", "doc_id"), items, "doc_id", "text", "item_key", "item_text").collect()}
+    assert {k for k, r in out.items() if r.contaminated} == {80, None}
+    assert out[80].n_hit == 28 and list(out[80]["items"]) == ["20"]
+
+
+def test_wrappers_around_the_article_stay(spark):
+    article = "<article><p>First words.</p><form><p>Mail me</p></form></article>"
+    pages = {
+        "form": (f"<body><form id=aspnetForm><nav>Menu</nav>{article}<input><label>Name</label></form></body>", "First words."),
+        "role": (f"<body><div role=search>{article}</div><div role=search>Find</div></body>", "First words."),
+        "label": (f"<body><fieldset><label>{article}</label></fieldset></body>", "First words."),
+        "heading": ("<body><form action=/><h1>Head</h1><div>Body text</div><button>Send</button></form></body>", "Head\nBody text"),
+        "subscribe": ("<body><form><div>Your mail</div></form><div role=dialog>Accept</div><p>Text <button>Go</button>here</p></body>", "Text here"),
+    }
+    df = spark.createDataFrame([(k, f"https://{k}.example/", v[0]) for k, v in pages.items()], "page_id string, url string, html string")
+    assert {r.page_id: r.text for r in extract_text(df).collect()} == {k: v[1] for k, v in pages.items()}
+
+
+def test_large_hypergeometric_draws_follow_the_law():
+    # small sizes against the law itself
+    rng = np.random.default_rng(8)
+    for a, b, n in ((5, 7, 6), (40, 400, 90), (3000, 200, 1500)):
+        draws = 20_000
+        got = collections.Counter(shuffle_shards.ratio_of_uniforms(rng, a, b, n) for _ in range(draws))
+        law = {k: math.comb(a, k) * math.comb(b, n - k) / math.comb(a + b, n) for k in range(max(0, n - b), min(a, n) + 1)}
+        assert set(got) <= set(law)
+        cells = [(got[k], draws * p) for k, p in law.items() if draws * p >= 5]
+        chi = sum((x - y) ** 2 / y for x, y in cells)
+        assert chi < len(cells) + 4.5 * (2 * len(cells)) ** 0.5
+    # 10^12 rows: neighbours' chances in the exact ratio, and mean and deviation as they should be
+    a, b, n = 4 * 10**11, 6 * 10**11, 3 * 10**9
+    for k in (1_200_000_000, 1_200_050_000, 1_199_900_001):
+        step = math.log((a - k) * (n - k)) - math.log((k + 1) * (b - n + k + 1))
+        got = shuffle_shards._log_chance(k + 1, a, b, n) - shuffle_shards._log_chance(k, a, b, n)
+        assert abs(got - step) < 1e-9
+    x = np.array([shuffle_shards._two(rng, a, b, n) for _ in range(4000)], float)
+    sd = (n * 0.24 * (a + b - n) / (a + b - 1)) ** 0.5
+    assert abs(x.mean() - 0.4 * n) < 4.5 * sd / 4000 ** 0.5 and abs(x.std() / sd - 1) < 0.06
