@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import stored
 
-SYMBOL_BITS = 12
+SYMBOL_BITS = 16
 SYMBOLS = 1 << SYMBOL_BITS
 
 
@@ -29,18 +29,27 @@ def _discounts(counts: DataFrame) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), k - 0.05) for k, d in zip((1, 2, 3), raw, strict=True))
 
 
-def _discount(d: tuple[float, float, float]):
-    return F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
+def _discount(d: tuple[float, float, float], less: int = 0):
+    return F.when(F.col("c") == 1 + less, d[0]).when(F.col("c") == 2 + less, d[1]).otherwise(d[2])
 
 
 class Model:
-    """``grams``: (key, logp, backoff) for every seen n-gram of two or more
-    symbols, the order in bits 60 and up of ``key``; ``logp`` has the opposite
-    sign where the n-gram was counted once, and is null for a mere context, ``backoff`` (log weight of the next lower order after this
-    context) for a mere n-gram.  ``logp1`` and ``backoff1`` by symbol."""
+    """``grams``: (key, logp, backoff, own, own_backoff) for every seen n-gram of
+    two or more symbols, the order in bits 60 and up of ``key``; ``logp`` is null
+    for a mere context, ``backoff`` (log weight of the next lower order after this
+    context) for a mere n-gram.  ``own`` and ``own_backoff`` are the same for a
+    document that was itself counted, as if the n-gram had been counted once less
+    (null: not at all) and an n-gram counted once had not followed the context.
+    ``logp1``, ``backoff1``, ``own1`` and ``own_backoff1`` by symbol."""
 
-    def __init__(self, grams: DataFrame, order: int, logp1: np.ndarray, backoff1: np.ndarray):
-        self.grams, self.order, self.logp1, self.backoff1 = grams, order, logp1, backoff1
+    def __init__(self, grams: DataFrame, order: int, logp1: np.ndarray, backoff1: np.ndarray, own1: np.ndarray, own_backoff1: np.ndarray):
+        self.grams, self.order = grams, order
+        self.logp1, self.backoff1, self.own1, self.own_backoff1 = logp1, backoff1, own1, own_backoff1
+
+
+def _first_order(c: np.ndarray, total: float, d: tuple[float, float, float], spread: float) -> np.ndarray:
+    off = np.where(c == 1, d[0], np.where(c == 2, d[1], np.where(c > 2, d[2], 0)))
+    return np.log((c - off) / total + spread / total / SYMBOLS)
 
 
 def fit(counts: DataFrame, order: int) -> Model:
@@ -53,11 +62,13 @@ def fit(counts: DataFrame, order: int) -> Model:
     c1 = np.zeros(SYMBOLS)
     for r in by_order[1].collect():  # at most SYMBOLS rows
         c1[r.key] = r.c
-    logp1, backoff1 = np.full(SYMBOLS, -np.log(SYMBOLS)), np.zeros(SYMBOLS)
+    logp1, backoff1, own_backoff1 = np.full(SYMBOLS, -np.log(SYMBOLS)), np.zeros(SYMBOLS), np.zeros(SYMBOLS)
+    own1 = logp1
     if c1.sum():
         d = _discounts(by_order[1])
-        off = np.where(c1 == 1, d[0], np.where(c1 == 2, d[1], np.where(c1 > 2, d[2], 0)))
-        logp1 = np.log((c1 - off) / c1.sum() + off.sum() / c1.sum() / SYMBOLS)
+        spread = sum(x * n for x, n in zip(d, ((c1 == 1).sum(), (c1 == 2).sum(), (c1 > 2).sum()), strict=True))
+        logp1 = _first_order(c1, c1.sum(), d, spread)
+        own1 = _first_order(np.maximum(c1 - 1, 0), c1.sum(), d, spread)
 
     lower = None  # p of the order below, by key
     context_of = {}
@@ -68,25 +79,29 @@ def fit(counts: DataFrame, order: int) -> Model:
         mask = (1 << (SYMBOL_BITS * (k - 1))) - 1
         c = by_order[k].select("key", "c", F.shiftright("key", SYMBOL_BITS).alias("ctx"), F.col("key").bitwiseAND(F.lit(mask)).alias("low"))
         ctx = c.groupBy("ctx").agg(F.sum("c").alias("total"), F.sum(_discount(d)).alias("taken"))
-        context_of[k] = stored(ctx.select("ctx", "total", (F.col("taken") / F.col("total")).alias("weight")), f"kn-context{k}")
+        context_of[k] = stored(ctx.select(
+            "ctx", "total", (F.col("taken") / F.col("total")).alias("weight"),
+            F.when(F.col("total") > 1, F.greatest(F.col("taken") - d[0], F.lit(1e-9)) / (F.col("total") - 1)).otherwise(1.0).alias("own_weight")), f"kn-context{k}")
         if lower is None:
             lower = spark.createDataFrame([(i, float(np.exp(logp1[i]))) for i in range(SYMBOLS)], "low long, below double")
         p = (F.col("c") - _discount(d)) / F.col("total") + F.col("weight") * F.col("below")
-        grams[k] = stored(c.join(context_of[k], "ctx").join(lower, "low").select("key", "c", p.alias("p")), f"kn-grams{k}")
+        own = F.when(F.col("c") > 1, (F.col("c") - 1 - _discount(d, 1)) / (F.col("total") - 1) + F.col("weight") * F.col("below"))
+        grams[k] = stored(c.join(context_of[k], "ctx").join(lower, "low").select("key", p.alias("p"), own.alias("own")), f"kn-grams{k}")
         lower = grams[k].select(F.col("key").alias("low"), F.col("p").alias("below"))
     for r in context_of[2].collect():  # at most SYMBOLS rows
-        backoff1[r.ctx] = np.log(r.weight)
+        backoff1[r.ctx], own_backoff1[r.ctx] = np.log(r.weight), np.log(r.own_weight)
 
     out = None
     for k in range(2, order + 1):
-        part = grams[k].select("key", F.when(F.col("c") == 1, -F.log("p")).otherwise(F.log("p")).alias("logp"))
+        part = grams[k].select("key", F.log("p").alias("logp"), F.log("own").alias("own"))
         if k < order:
-            part = part.join(context_of[k + 1].select(F.col("ctx").alias("key"), F.log("weight").alias("backoff")), "key", "full")
+            part = part.join(context_of[k + 1].select(F.col("ctx").alias("key"), F.log("weight").alias("backoff"),
+                                                      F.log("own_weight").alias("own_backoff")), "key", "full")
         else:
-            part = part.withColumn("backoff", F.lit(None).cast("double"))
-        part = part.select(F.col("key").bitwiseOR(F.lit(k << 60)).alias("key"), "logp", "backoff")
+            part = part.withColumn("backoff", F.lit(None).cast("double")).withColumn("own_backoff", F.lit(None).cast("double"))
+        part = part.select(F.col("key").bitwiseOR(F.lit(k << 60)).alias("key"), "logp", "backoff", "own", "own_backoff")
         out = part if out is None else out.unionByName(part)
-    return Model(out, order, logp1, backoff1)
+    return Model(out, order, logp1, backoff1, own1, own_backoff1)
 
 
 def keys(padded: np.ndarray, order: int) -> list[np.ndarray]:

@@ -149,10 +149,14 @@ def test_kneser_ney_by_hand(spark):
     """The sharded tables give the probabilities of a plain implementation."""
     docs = _corpus(spark, 60, 6).selectExpr("doc_id", "text", "'en' AS lang")
     trusted = docs.where("doc_id % 2 = 0").select("doc_id")
-    vocabulary = quality._vocabulary(docs.select("text"), 50, 7)
+    vocabulary, alike = quality._vocabulary(docs, 7, 1 / 2000, 3)
+    said = collections.Counter(w for r in docs.collect() for w in words(r.text))
+    own = {w for w, c in said.items() if c >= max(3, said.total() / 2000)}
+    assert 50 < len(own) == len(vocabulary) < len(said)
+    assert sum(np.exp(alike[quality.SHAPES:quality.FIRST_WORD]).round()[np.unique([quality.shape(w) for w in set(said) - own])]) == len(set(said) - own)
     symbols = quality._Symbols(vocabulary)
     order = 3
-    seqs = {r.doc_id: [quality.BEGIN] * (order - 1) + symbols(words(r.text)).tolist() for r in docs.collect()}
+    seqs = {r.doc_id: [quality.BEGIN] * (order - 1) + symbols(words(r.text), "en").tolist() for r in docs.collect()}
     grams = collections.Counter(tuple(s[i - 2:i + 1]) for d, s in seqs.items() if d % 2 == 0 for i in range(2, len(s)))
     counts = {3: grams}
     for k in (2, 1):
@@ -179,11 +183,24 @@ def test_kneser_ney_by_hand(spark):
         c = own.get(gram, 0)
         return (c - off(c)) / total + sum(map(off, own.values())) / total * p(gram[1:])
 
-    got = {r.doc_id: r for r in quality.perplexities(docs, trusted, "doc_id", "text", "lang", order, 50).selectExpr("CAST(id AS LONG) AS doc_id", "nll", "trusted").collect()}
+    def left_out(gram):
+        """p for a document that was counted: each n-gram counts once less."""
+        k, off = len(gram), lambda c: ds[len(gram)][min(c, 3) - 1] if c else 0
+        own = {g: c for g, c in counts[k].items() if g[:-1] == gram[:-1]}
+        total, c, taken = sum(own.values()), counts[k][gram] - 1, sum(map(off, own.values()))
+        if k == 1:
+            return (c - off(c)) / total + taken / total / kneser_ney.SYMBOLS
+        if c:
+            return (c - off(c)) / (total - 1) + taken / total * p(gram[1:])
+        return ((taken - off(1)) / (total - 1) if total > 1 else 1) * left_out(gram[1:])
+
+    got = {r.doc_id: r for r in quality.perplexities(docs, trusted, "doc_id", "text", "lang", order, 1 / 2000, 3).selectExpr("CAST(id AS LONG) AS doc_id", "nll", "trusted").collect()}
     for d in [d for d in seqs if d % 2][:12]:
-        want = -sum(math.log(p(tuple(seqs[d][i - 2:i + 1]))) for i in range(2, len(seqs[d])))
+        want = sum(alike[seqs[d][i]] - math.log(p(tuple(seqs[d][i - 2:i + 1]))) for i in range(2, len(seqs[d])))
         assert got[d].nll == pytest.approx(want, rel=1e-4) and not got[d].trusted
-    assert all(got[d].trusted for d in seqs if d % 2 == 0)
+    for d in [d for d in seqs if d % 2 == 0][:12]:
+        want = sum(alike[seqs[d][i]] - math.log(left_out(tuple(seqs[d][i - 2:i + 1]))) for i in range(2, len(seqs[d])))
+        assert got[d].nll == pytest.approx(want, rel=1e-4) and got[d].trusted
 
 
 def test_quality_rejects_junk_and_keeps_clean(spark):
@@ -195,6 +212,33 @@ def test_quality_rejects_junk_and_keeps_clean(spark):
     assert by[(0, False)] >= 0.9 * (by[(0, False)] + by.get((0, True), 0))
 
 
+def test_quality_tells_replaced_and_shuffled_words(spark):
+    """An invented language whose content words go together by topic: clean
+    texts stay; with other words, made up or in any order, they go."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("bdgklmnprst") + rnd.choice("aeiou") for _ in range(rnd.randint(2, 4)))
+    little, content = [word()[:3] for _ in range(40)], [word() for _ in range(3000)]
+    weight = [1 / (i + 10) for i in range(3000)]
+
+    def clean():
+        out = []
+        while len(out) < 150:
+            a, b = rnd.choice(little), rnd.choices(content, weight)[0]
+            out += [a, b] if rnd.random() < 0.6 else [a, rnd.choice(little), b]
+        return out
+
+    def other(ws):
+        return [w if w in little else word() for w in ws]
+
+    texts = [("clean", clean()) for _ in range(900)]
+    texts += [("replaced", other(clean())) for _ in range(200)] + [("shuffled", rnd.sample(x := clean(), len(x))) for _ in range(200)]
+    rows = [(i, kind, " ".join(ws), "xx") for i, (kind, ws) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, kind string, text string, lang string").repartition(4)
+    got = quality.quality(docs, docs.where("doc_id < 600")).join(docs.select("doc_id", "kind"), "doc_id").where("doc_id >= 600").toPandas()
+    kept = got.groupby("kind")["keep"].mean()
+    assert kept["clean"] >= 0.95 and kept["replaced"] <= 0.05 and kept["shuffled"] <= 0.05, kept
+
+
 def test_quality_threshold_needs_different_texts(spark):
     """One trusted text, however often, rejects none; a language with few takes
     the quantile of all."""
