@@ -203,6 +203,23 @@ def test_kneser_ney_by_hand(spark):
         assert got[d].nll == pytest.approx(want, rel=1e-4) and got[d].trusted
 
 
+def test_quality_words_of_many_languages(spark):
+    """More words than 16-bit symbols: the same text in 70 languages that share
+    no word scores the same in each, and each word is a symbol of its language."""
+    rnd = random.Random(3)
+    text = [" ".join(rnd.choices([f"w{i}" for i in range(950)], k=400)) for _ in range(2)] + [" ".join(f"w{i}" for i in range(950))] * 2
+    rows = [(4 * k + i, f"l{k}", t) for k in range(70) for i, t in enumerate(text)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(4).cache()
+    vocabulary, _ = quality._vocabulary(docs, 7, 1 / 4000, 1)
+    assert len(vocabulary) == 70 * 950 > kneser_ney.SYMBOLS
+    symbols = quality._Symbols(vocabulary)
+    for lang in ("l0", "l69"):
+        assert (np.sort(symbols(words(text[2]), lang)[:-1]) == quality.FIRST_WORD + np.arange(950)).all()
+    got = quality.perplexities(docs, docs.where("doc_id % 4 < 3"), "doc_id", "text", "lang", 3, 1 / 4000, 1).toPandas()
+    for _, nll in got.groupby(got["id"].astype(int) % 4)["nll"]:
+        assert len(nll) == 70 and nll.max() == pytest.approx(nll.min(), rel=1e-6)
+
+
 def test_quality_rejects_junk_and_keeps_clean(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
