@@ -73,14 +73,17 @@ def usage_stream(spark: SparkSession, src: str, out: str, ckpt: str, home_url: s
     Rows of one id on one day are one request delivered again: the first stays,
     in one batch the earliest.  A batch reads the ids of the days it touches
     and no others (partition pruning by a list of days), so its cost does not
-    grow with the age of the log.  Rows without an id are all kept."""
+    grow with the age of the log.  Rows without an id are all kept.
+
+    A batch's rows are dealt out before they are parsed, however few files they
+    came in, and each different user agent is parsed once."""
     log = TableLog(spark, out)
     raw = _reader(spark, USAGE_RAW_SCHEMA, max_files_per_trigger).parquet(src)
-    rows = normalise_usage(parse_user_agent(raw, "agent"), home_url)
-    routed = classify_probe(parse_route(rows, locales or [], "request_uri"))
-    routed = routed.drop("req_path", "route", "pg_root", "pg_sub", "pg_segments")
 
-    def apply(batch: DataFrame, head: dict) -> tuple[list[dict], dict]:
+    def apply(arrived: DataFrame, head: dict) -> tuple[list[dict], dict]:
+        rows = normalise_usage(parse_user_agent(arrived.repartition("id", "event_at"), "agent", distinct=True), home_url)
+        batch = classify_probe(parse_route(rows, locales or [], "request_uri"))
+        batch = batch.drop("req_path", "route", "pg_root", "pg_sub", "pg_segments")
         keys = ["id", "event_on"]
         alone = F.when(F.col("id").isNull(), F.monotonically_increasing_id())
         rest = [c for c in batch.columns if c not in keys]
@@ -88,7 +91,8 @@ def usage_stream(spark: SparkSession, src: str, out: str, ckpt: str, home_url: s
         new = batch.groupBy(*keys, alone.alias("_alone")).agg(first.alias("_r")).select(*keys, "_r.*")
         seen = log.table("usage", head)
         if seen is not None:
-            days = [r.event_on for r in batch.select("event_on").distinct().collect()]  # one row a day
+            day = F.date_format("event_at", "yyyy-MM-dd").alias("event_on")  # as M13 has it
+            days = [r.event_on for r in arrived.select(day).distinct().collect()]  # one row a day
             seen = seen.where(F.col("event_on").isin([d for d in days if d]) | F.lit(None in days) & F.col("event_on").isNull())
             known = seen.select(F.col("id").alias("_id"), F.col("event_on").alias("_on"))
             new = new.join(known, (F.col("id") == F.col("_id")) & F.col("event_on").eqNullSafe(F.col("_on")), "left_anti")
@@ -105,7 +109,7 @@ def usage_stream(spark: SparkSession, src: str, out: str, ckpt: str, home_url: s
         log.merge("usage", partition_by=["event_on"])
         log.merge("late")
 
-    return _start(routed, log, ckpt, apply, after, trigger_once)
+    return _start(raw, log, ckpt, apply, after, trigger_once)
 
 
 # ----------------------------------------------------------------------- X2

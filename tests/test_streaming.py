@@ -120,6 +120,25 @@ def test_usage_stream_in_any_order_is_exactly_once(spark):
     assert seen and seen <= {r.id for r in late.collect()} and late.where("id % 30 = 0").count() == sum(i % 30 == 0 for i in seen)
 
 
+def test_usage_stream_parses_each_agent_once(spark, monkeypatch):
+    """Agents are parsed in the batch, once each and not once a row and a job, and
+    the rows of a single file are dealt out before."""
+    base, seen, parse = _base(spark, "x1a"), [], S.parse_user_agent
+
+    def parsed(df, col, distinct=False):
+        seen.append((df.isStreaming, distinct, "RepartitionByExpression" in df._jdf.queryExecution().logical().toString()))
+        return parse(df, col, distinct)
+
+    monkeypatch.setattr(S, "parse_user_agent", parsed)
+    raw = fixture(spark, SF, "usage_raw").limit(100)
+    raw.coalesce(1).write.parquet(f"{base}/in")
+    S.usage_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ck", HOME_URL, LOCALES).awaitTermination()
+    assert seen == [(False, True, True)]
+    got = TableLog(spark, f"{base}/out").table("usage").select("id", "platform", "browser", "version")
+    want = normalise_usage(parse(raw, "agent"), HOME_URL).select("id", "platform", "browser", "version")
+    assert got.count() == 100 and got.exceptAll(want).isEmpty()
+
+
 def test_usage_stream_nulls_and_conflicts(spark):
     base = _base(spark, "x1")
     raw = fixture(spark, SF, "usage_raw").limit(1)
