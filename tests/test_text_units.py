@@ -95,3 +95,13 @@ def test_animated_gifs(spark):
     assert got == {"one.gif": (1, False), "two.gif": (2, True)}
     cat = {r.name: r.sha256 for r in FS.crawl_files(spark, d).collect()}
     assert cat["note.txt"] == hashlib.sha256(b"not a gif").hexdigest()
+
+
+def test_scrub_notes_holds_few_texts(spark):
+    """Long notes reach the worker some at a time, not 10,000 in an Arrow batch."""
+    df = spark.createDataFrame([(1, "<p>a<b>b"), (2, None), (3, "")], "id int, note string")
+    got = T.scrub_notes(df, "note")
+    assert got.columns == ["id", "note", "scrubbed"]
+    assert [r.scrubbed for r in got.orderBy("id").collect()] == [T.scrub_note_text(t) for t in ("<p>a<b>b", None, "")]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "MapInPandas" not in plan
