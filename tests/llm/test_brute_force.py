@@ -220,6 +220,25 @@ def test_quality_words_of_many_languages(spark):
         assert len(nll) == 70 and nll.max() == pytest.approx(nll.min(), rel=1e-6)
 
 
+def test_pipeline_words_of_many_languages(spark, tmp_path, monkeypatch):
+    """The pipeline's quality filter, too, takes more words than 16-bit symbols."""
+    import corpus_pipeline
+
+    whole, sizes = quality._vocabulary, []
+
+    def vocabulary(docs, n_buckets, share, least):
+        got = whole(docs, n_buckets, 1 / 4000, 1)
+        sizes.append(len(got[0]))
+        return got
+
+    monkeypatch.setattr(quality, "_vocabulary", vocabulary)
+    text = " ".join(f"w{i}" for i in range(950))
+    docs = spark.createDataFrame([(k, f"l{k}", text) for k in range(70)], "doc_id long, lang string, text string")
+    spark.createDataFrame([(k, 1) for k in range(70)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.quality_filter(spark, docs, str(tmp_path)).count() == 70
+    assert sizes == [70 * 950]
+
+
 def test_quality_rejects_junk_and_keeps_clean(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
