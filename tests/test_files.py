@@ -1,6 +1,9 @@
+import gzip
+import hashlib
 import random
 
 from tessera.operators import files as FL
+from tessera.sources import files as FS
 
 
 def _brute(rows, quota):
@@ -64,3 +67,32 @@ def test_admit_uploads_every_account_shape(spark):
     for acc in range(1, 6):
         want |= _brute([r for r in rows if r[1] == acc], quota.get(acc, 0))
     assert got == want
+
+
+def test_large_files_are_hashed_split_by_split(spark, tmp_path, monkeypatch):
+    rnd = random.Random(4)
+    contents = {
+        "random.bin": rnd.randbytes(60_000), "end.bin": rnd.randbytes(50_000) + b"\n", "mark.csv": b"\xef\xbb\xbf" + b"a;b\r\n" * 9_000,
+        "mark and no end.csv": b"\xef\xbb\xbf" + b"a;b\n" * 9_000 + b"last", "feeds.txt": b"\n" * 40_000, "one line.txt": b"\0" * 45_000,
+        "long lines.txt": b"\n".join(rnd.randbytes(7_000).replace(b"\n", b"") for _ in range(6)), "returns.txt": b"\r" * 30_000 + b"\n\r" * 9_000,
+        "twice.bin": b"ab\n\xff" * 10_000, "twice too.bin": b"ab\n\xff" * 10_000, "small.bin": rnd.randbytes(9_000),
+        "packed.gz": gzip.compress(rnd.randbytes(15_000)),
+    }
+    for i, (name, data) in enumerate(contents.items()):
+        folder = tmp_path / f"sub {i % 3}"
+        folder.mkdir(exist_ok=True)
+        (folder / name).write_bytes(data)
+    monkeypatch.setattr(FS, "WHOLE_BYTES", 10_000)
+    # no value may hold a whole large file; splits of a few KB, rests of several files in one partition
+    conf = {"spark.sql.sources.binaryFile.maxLength": "20000", "spark.sql.files.maxPartitionBytes": "6000", "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = {r.name: (r.bytes, r.sha256) for r in FS.crawl_files(spark, str(tmp_path)).collect()}
+        some = {r.name for r in FS.crawl_files(spark, str(tmp_path), "*.csv").collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {name: (len(data), hashlib.sha256(data).hexdigest()) for name, data in contents.items()}
+    assert some == {"mark.csv", "mark and no end.csv"}
