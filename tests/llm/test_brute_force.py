@@ -596,3 +596,25 @@ def test_large_hypergeometric_draws_follow_the_law():
     x = np.array([shuffle_shards._two(rng, a, b, n) for _ in range(4000)], float)
     sd = (n * 0.24 * (a + b - n) / (a + b - 1)) ** 0.5
     assert abs(x.mean() - 0.4 * n) < 4.5 * sd / 4000 ** 0.5 and abs(x.std() / sd - 1) < 0.06
+
+
+def test_pipeline_bounds_drop_nothing(spark, tmp_path, monkeypatch):
+    """Sizes of shards, visits, bins, pieces and broadcasts cut the work of the
+    stages, not their results: with tiny ones every stage keeps the same rows."""
+    import corpus_pipeline as p
+    from tessera.llm import common, ngram_join
+
+    docs = _corpus(spark, 120, 11).selectExpr("doc_id", "text", "'en' AS lang", "concat('s', doc_id % 4) AS source", "CAST(length(text) AS LONG) AS n_chars").cache()
+    spark.createDataFrame([(1, docs.where("doc_id = 33").first().text)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, 1) for i in range(0, 360, 6)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    def kept():
+        out = [collections.Counter((r.doc_id, r.text) for r in stage(spark, docs, str(tmp_path)).collect()) for _, stage in p.STAGES[:-1]]
+        shards = shuffle_shards.uniform_shards(docs, 24, piece_rows=shuffle_shards.PIECE_ROWS).collect()
+        return [*out, collections.Counter((r.doc_id, r.text) for r in shards), collections.Counter(r.shard for r in shards)]
+
+    whole = kept()
+    for module, name, least in ((ngram_join, "SHARD_SETS", 2), (ngram_join, "VISITORS", 1), (mixing, "BINS", 2), (shuffle_shards, "PIECE_ROWS", 1), (common, "BROADCAST_BYTES", 0)):
+        monkeypatch.setattr(module, name, least)
+    assert kept() == whole
+    assert whole[1].total() < 120 and 0 < whole[2].total() < 120
