@@ -275,6 +275,30 @@ def test_quality_tells_replaced_and_shuffled_words(spark):
     assert kept["clean"] >= 0.95 and kept["replaced"] <= 0.05 and kept["shuffled"] <= 0.05, kept
 
 
+def _pairs(spark, share):
+    """Texts of pairs of rare words of one shape: 400 trusted ones, 60 more, and 60
+    whose words are those of other pairs."""
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("bdgklmnprst") + rnd.choice("aeiou") for _ in range(4))
+    pairs = [(word(), word()) for _ in range(1000)]
+
+    def text(crossed):
+        took = rnd.sample(pairs, 30)
+        return " ".join(f"{a} {b}" for (a, _), (_, b) in zip(took, took[crossed:] + took[:crossed], strict=True))
+
+    docs = spark.createDataFrame([(i, "xx", text(i >= 460)) for i in range(520)], "doc_id long, lang string, text string").repartition(4)
+    said = collections.Counter(w for r in docs.collect() for w in words(r.text))
+    assert max(said.values()) < max(quality.MIN_COUNT, share * said.total())
+    return docs
+
+
+def test_quality_tells_rare_words(spark):
+    """Words too rare to be symbols of the model of classes are known by the other."""
+    docs = _pairs(spark, quality.MIN_SHARE)
+    kept = {r.doc_id: r.keep for r in quality.quality(docs, docs.where("doc_id < 400")).collect()}
+    assert sum(kept[i] for i in range(400, 460)) >= 57 and sum(kept[i] for i in range(460, 520)) <= 3
+
+
 def test_quality_threshold_needs_different_texts(spark):
     """One trusted text, however often, rejects none; a language with few takes
     the quantile of all."""
