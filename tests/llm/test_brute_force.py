@@ -299,6 +299,16 @@ def test_quality_tells_rare_words(spark):
     assert sum(kept[i] for i in range(400, 460)) >= 57 and sum(kept[i] for i in range(460, 520)) <= 3
 
 
+def test_pipeline_tells_rare_words(spark, tmp_path):
+    """The pipeline's quality filter, too, knows words that are no symbols of the model of classes."""
+    import corpus_pipeline
+
+    docs = _pairs(spark, quality.MIN_SHARE)
+    spark.createDataFrame([(i, 1) for i in range(400)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.quality_filter(spark, docs, str(tmp_path)).collect()}
+    assert len(kept & set(range(400, 460))) >= 57 and len(kept & set(range(460, 520))) <= 3
+
+
 def test_quality_threshold_needs_different_texts(spark):
     """One trusted text, however often, rejects none; a language with few takes
     the quantile of all."""
